@@ -138,7 +138,8 @@ def parse_syslog(
     message = F.when(line.rlike(SYSLOG_IETF), F.regexp_extract(line, SYSLOG_IETF, 8)).when(
         line.rlike(SYSLOG_BSD), F.regexp_extract(line, SYSLOG_BSD, 6)
     )
-    severity = F.element_at(F.array(*map(F.lit, SEVERITIES)), (priority % 8 + 1).cast("int"))
+    names = F.array(*map(F.lit, SEVERITIES))
+    severity = F.when(priority.isNotNull(), F.get(names, priority % 8))
     return lines.select(
         *[c for c in lines.columns if c != text],
         timefmt.int_div(priority, 8).cast("int").alias("facility"),

@@ -194,26 +194,25 @@ def _nothing() -> Column:
     return F.lit(b"")
 
 
-def _varint(number: Column, max_bytes: int) -> Column:
+def _varint(number: Column) -> Column:
     """Base-128 bytes, lowest group first, the high bit set on all but the last."""
-    groups = []
-    for i in range(max_bytes):
-        group = F.shiftrightunsigned(number, 7 * i)
-        low = group.bitwiseAND(F.lit(127))
-        more = F.shiftrightunsigned(number, 7 * (i + 1)) != 0 if i < max_bytes - 1 else F.lit(False)
-        byte = F.unhex(F.lpad(F.hex(F.when(more, low + 128).otherwise(low)), 2, "0"))
-        groups.append(byte if i == 0 else F.when(group != 0, byte).otherwise(_nothing()))
-    return F.concat(*groups)
+    size = timefmt.int_div(F.length(F.bin(number)) + 6, 7).cast("int")
+
+    def byte(i: Column) -> Column:
+        group = F.call_function("shiftrightunsigned", number, (i - 1) * 7).bitwiseAND(F.lit(127))
+        return F.lpad(F.hex(group + F.when(i < size, 128).otherwise(0)), 2, "0")
+
+    return F.unhex(F.array_join(F.transform(F.sequence(F.lit(1), size), byte), ""))
 
 
 def _number_field(number: int, value: Column) -> Column:
     value = value.cast("bigint")
-    field = F.concat(F.lit(bytes([number << 3])), _varint(value, 10))
+    field = F.concat(F.lit(bytes([number << 3])), _varint(value))
     return F.when(value != 0, field).otherwise(_nothing())
 
 
 def _bytes_field(number: int, value: Column, keep_empty: bool = False) -> Column:
     size = F.octet_length(value).cast("bigint")
-    field = F.concat(F.lit(bytes([number << 3 | 2])), _varint(size, 5), value)
+    field = F.concat(F.lit(bytes([number << 3 | 2])), _varint(size), value)
     present = value.isNotNull() if keep_empty else size > 0
     return F.when(present, field).otherwise(_nothing())

@@ -59,15 +59,15 @@ def dense_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LOG_SQL = """{name} AS (
   SELECT event_id, event_type, user_id, value, props, us,
     'svc-' || event_type AS service_name,
-    strftime(at, '%Y-%m-%dT%H:%M:%S') || CASE
+    strftime(moment, '%Y-%m-%dT%H:%M:%S') || CASE
       WHEN us % 1000000 = 0 THEN ''
       WHEN us % 1000 = 0 THEN '.' || lpad(CAST((us % 1000000) // 1000 AS VARCHAR), 3, '0')
       ELSE '.' || lpad(CAST(us % 1000000 AS VARCHAR), 6, '0') END || 'Z' AS "timestamp",
     event_type || ' user=' || user_id || ' ' || props AS message,
     'host-' || (user_id % 10) AS hostname,
-    strftime(at, 'year=%Y/month=%m/day=%d/hour=%H/minute=%M') AS time,
-    at
-  FROM (SELECT *, make_timestamp(us) AS at FROM (SELECT *, {micros} AS us FROM events)))"""
+    strftime(moment, 'year=%Y/month=%m/day=%d/hour=%H/minute=%M') AS time,
+    moment
+  FROM (SELECT *, make_timestamp(us) AS moment FROM (SELECT *, {micros} AS us FROM events)))"""
 LOGS = _LOG_SQL.format(name="logs", micros="epoch_us(ts)")
 DENSE = _LOG_SQL.format(
     name="dense", micros=f"{FIRST_MICROS} + (epoch_us(ts) - {FIRST_MICROS}) // 1440"
@@ -76,7 +76,7 @@ DENSE = _LOG_SQL.format(
 _stored: dict[tuple, str] = {}
 
 
-def _once(spark: SparkSession, sf_dir: str, purpose: str, write) -> str:
+def once(spark: SparkSession, sf_dir: str, purpose: str, write) -> str:
     """Writes a derived table once per session, so that queries can share it."""
     key = (spark.sparkContext.applicationId, sf_dir, purpose)
     if key not in _stored:
@@ -93,7 +93,7 @@ def stored_logs(spark: SparkSession, sf_dir: str) -> str:
         rows = dense_logs(spark, sf_dir).select("message", "timestamp", "service_name", "hostname")
         log_sink.write_logs(log_sink.with_time_partitions(rows), root)
 
-    return _once(spark, sf_dir, "logs", write)
+    return once(spark, sf_dir, "logs", write)
 
 
 def wire_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,7 +118,7 @@ def wire_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def wire_files(spark: SparkSession, sf_dir: str) -> str:
     """Folder of record files, in eight parts by time."""
-    return _once(
+    return once(
         spark,
         sf_dir,
         "wire",
@@ -159,7 +159,7 @@ OBJECTS = (
     LOGS
     + """, objects AS (
   SELECT 'logs/service_name=' || service_name || '/' || time || '/part-' || event_id AS path,
-    CAST(length(message) * 1000 AS BIGINT) AS length, service_name, us, at FROM logs)"""
+    CAST(length(message) * 1000 AS BIGINT) AS length, service_name, us, moment FROM logs)"""
 )
 
 
@@ -342,7 +342,7 @@ def _three_way(column: str) -> Column:
 
 
 def overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = tenants(spark, sf_dir).where(F.col("orders") % 2 == 0)
+    rows = tenants(spark, sf_dir).where(~F.col("tenant").endswith("-O"))
     return rows.select(
         "tenant",
         _three_way("orders").alias("upscale"),
@@ -367,7 +367,7 @@ TENANTS = """tenants AS (
   FROM orders GROUP BY 1),
 overrides AS (
   SELECT tenant, CASE WHEN orders % 3 = 1 THEN true WHEN orders % 3 = 2 THEN false END AS upscale,
-    CAST(NULL AS BOOLEAN) AS downscale FROM tenants WHERE orders % 2 = 0),
+    CAST(NULL AS BOOLEAN) AS downscale FROM tenants WHERE tenant NOT LIKE '%-O'),
 requests AS (
   SELECT tenant, orders % 5 <> 0 AS upscale, orders % 4 <> 0 AS downscale FROM tenants),
 switches AS (
@@ -410,21 +410,21 @@ def offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 OFFSETS = """offsets AS (
   SELECT topic, "partition", CAST(sum(n) OVER (PARTITION BY topic, "partition" ORDER BY day) AS BIGINT)
       * 10000 AS end_offset,
-    1704067200 + day * 60 + CASE WHEN day % 7 = 0 THEN 45 ELSE 0 END + (day // 10) * 600 AS at
+    1704067200 + day * 60 + CASE WHEN day % 7 = 0 THEN 45 ELSE 0 END + (day // 10) * 600 AS snapshot
   FROM (
     SELECT 'logs.' || event_type AS topic, CAST(user_id % 3 AS INTEGER) AS "partition",
       date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS day, count(*) AS n
     FROM events GROUP BY 1, 2, 3)),
 sums AS (
-  SELECT topic, at, CAST(sum(end_offset) AS BIGINT) AS sum_of_end_offsets,
+  SELECT topic, snapshot, CAST(sum(end_offset) AS BIGINT) AS sum_of_end_offsets,
     CAST(count(*) AS INTEGER) AS partitions
-  FROM offsets GROUP BY topic, at),
+  FROM offsets GROUP BY topic, snapshot),
 rates AS (
-  SELECT *, sum_of_end_offsets - previous_sum AS offset_delta, at - previous_at AS elapsed_seconds,
-    CAST(trunc((sum_of_end_offsets - previous_sum) // nullif(at - previous_at, 0)) AS BIGINT) AS rate,
-    coalesce(at - previous_at > 30 AND at - previous_at <= 300, false) AS valid
-  FROM (SELECT *, lag(sum_of_end_offsets) OVER w AS previous_sum, lag(at) OVER w AS previous_at
-    FROM sums WINDOW w AS (PARTITION BY topic ORDER BY at)))"""
+  SELECT *, sum_of_end_offsets - previous_sum AS offset_delta, snapshot - previous_at AS elapsed_seconds,
+    CAST(trunc((sum_of_end_offsets - previous_sum) // nullif(snapshot - previous_at, 0)) AS BIGINT) AS rate,
+    coalesce(snapshot - previous_at > 30 AND snapshot - previous_at <= 300, false) AS valid
+  FROM (SELECT *, lag(sum_of_end_offsets) OVER w AS previous_sum, lag(snapshot) OVER w AS previous_at
+    FROM sums WINDOW w AS (PARTITION BY topic ORDER BY snapshot)))"""
 
 
 def stage_events(spark: SparkSession, sf_dir: str) -> DataFrame:
