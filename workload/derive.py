@@ -10,7 +10,6 @@ from tidelog.sources import wire
 
 TENANT = "ABC"
 # The clock of the freshness queries, shortly after the last event and after midnight.
-NOW = "2024-01-31T00:10:00Z"
 NOW_SECONDS = 1706659800
 FIRST_MICROS = 1704067200000000
 
