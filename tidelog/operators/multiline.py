@@ -1,10 +1,10 @@
 """Grouping of text lines into entries that may span several of them."""
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidelog.functions.timefmt import int_div
+
 
 def _joined(texts: Column) -> Column:
     """Texts of (place, text) structs in order of place, one per line."""
@@ -26,69 +26,64 @@ def group_multiline(
     Lines before a file's first start form entry 0. Line order is (`block`, `row`).
 
     A file may hold most of the lines, so nothing is done per file but to sum counts of
-    chunks. Lines are shuffled by chunk and grouped there into fragments; the entry a
-    chunk begins in follows from the sums, and only fragments are shuffled once more.
-    Text beyond `max_entry_chars` continues in a further `part` of the same entry, so
-    that no row grows without bound and no line is lost.
+    chunks, which are aggregated before they are shuffled. Lines are shuffled by chunk
+    and joined there into fragments of entries; which entry a chunk begins in follows
+    from the sums, and only fragments are shuffled once more. An entry that goes on for
+    more than about `max_entry_chars` continues in further `part`s, so that no row grows
+    without bound and no line is lost.
     """
-    place: Sequence[str] = ("_file", "_block", "_chunk")
+    place = ["_file", "_block", "_chunk"]
     chunked = lines.select(
         F.col(file).alias("_file"),
         F.col(block).cast("bigint").alias("_block"),
-        F.floor(F.col(row) / F.lit(chunk_lines)).alias("_chunk"),
+        int_div(F.col(row).cast("bigint"), chunk_lines).alias("_chunk"),
         F.col(row).cast("bigint").alias("_row"),
         F.coalesce(text, F.lit("")).alias("_text"),
-    ).repartition(*place)
-
-    in_chunk = Window.partitionBy(*place).orderBy("_row")
-    so_far = in_chunk.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    chars = F.length("_text") + 1
-    starts = F.col("_text").rlike(start_pattern).cast("bigint")
-    placed = (
-        chunked.withColumn("_starts", starts)
-        .withColumn("_chars", chars.cast("bigint"))
-        .withColumn("_local", F.sum("_starts").over(so_far))
-        .withColumn("_offset", F.sum("_chars").over(so_far) - F.col("_chars"))
-    )
+    ).withColumn("_starts", F.col("_text").rlike(start_pattern).cast("bigint"))
 
     before = (
         Window.partitionBy("_file")
         .orderBy("_block", "_chunk")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    last_start = F.max(F.when(F.col("_starts") == 1, F.col("_offset")))
-    sums = placed.groupBy(*place).agg(
-        F.sum("_starts").alias("_n"), F.sum("_chars").alias("_size"), last_start.alias("_last")
+    sums = chunked.groupBy(*place).agg(
+        F.sum("_starts").alias("_n"), F.sum(F.length("_text") + 1).alias("_chars")
     )
-    bases = sums.withColumn("_base", F.coalesce(F.sum("_size").over(before), F.lit(0))).select(
+    offset = F.coalesce(F.sum("_chars").over(before), F.lit(0))
+    starts_here = F.when(F.col("_n") > 0, F.col("_offset"))
+    bases = sums.withColumn("_offset", offset).select(
         *place,
-        "_base",
+        "_offset",
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_entries"),
-        F.coalesce(F.max(F.col("_base") + F.col("_last")).over(before), F.lit(0)).alias("_open"),
+        F.coalesce(F.max(starts_here).over(before), F.lit(0)).alias("_open"),
     )
 
-    fragments = placed.groupBy(*place, "_local").agg(
-        F.min("_offset").alias("_offset"),
-        F.count(F.lit(1)).alias("_lines"),
-        _joined(F.collect_list(F.struct(F.col("_row"), F.col("_text").alias("text")))).alias("_text"),
+    in_chunk = (
+        Window.partitionBy(*place)
+        .orderBy("_row")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    fragments = (
+        chunked.withColumn("_local", F.sum("_starts").over(in_chunk))
+        .groupBy(*place, "_local")
+        .agg(
+            F.count(F.lit(1)).alias("_lines"),
+            _joined(F.collect_list(F.struct("_row", F.col("_text").alias("text")))).alias("_text"),
+        )
     )
-    start = F.when(F.col("_local") > 0, F.col("_base") + F.col("_offset")).otherwise(F.col("_open"))
-    written = F.col("_base") + F.col("_offset") - start
+    # Text between the chunk an entry starts in and a later chunk it goes on in.
+    written = F.when(F.col("_local") > 0, 0).otherwise(F.col("_offset") - F.col("_open"))
     return (
-        fragments.join(bases, list(place))
+        fragments.join(bases, place)
         .groupBy(
             F.col("_file").alias(file),
             (F.col("_entries") + F.col("_local")).alias("entry"),
-            F.floor(written / F.lit(max_entry_chars)).cast("int").alias("part"),
+            int_div(written, max_entry_chars).cast("int").alias("part"),
         )
         .agg(
             F.sum("_lines").alias("n_lines"),
             _joined(
-                F.collect_list(
-                    F.struct(
-                        F.col("_block"), F.col("_chunk"), F.col("_local"), F.col("_text").alias("text")
-                    )
-                )
+                F.collect_list(F.struct("_block", "_chunk", F.col("_text").alias("text")))
             ).alias("message"),
         )
     )

@@ -139,6 +139,23 @@ def list_objects(spark: SparkSession, root: str, prefix: str = "") -> DataFrame:
     )
 
 
+def list_hidden_folder(spark: SparkSession, folder: str) -> DataFrame:
+    """Files directly in one small folder that Spark's readers skip, such as a sink's log.
+
+    Asks the file system on the driver; a sink's log keeps only its latest files.
+    """
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    statuses = system.listStatus(path) if system.exists(path) else []
+    rows = [
+        (s.getPath().toString(), s.getLen(), datetime.fromtimestamp(s.getModificationTime() / 1000))
+        for s in statuses
+        if s.isFile()
+    ]
+    return spark.createDataFrame(rows, model.OBJECT_SCHEMA)
+
+
 def relative_to(objects: DataFrame, root: str) -> DataFrame:
     """The same objects with paths that start below `root`."""
     folder = root.rstrip("/").split("/")[-1]

@@ -6,22 +6,12 @@ from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tidelog import model
 from tidelog.functions import sizing
 from tidelog.sinks import versioned
 
-_SINK_ENTRY = T.StructType(
-    [
-        T.StructField("path", T.StringType()),
-        T.StructField("size", T.LongType()),
-        T.StructField("modificationTime", T.LongType()),
-    ]
-)
-
-
 def _collect_progress(query: StreamingQuery, batches: dict[int, dict]) -> None:
     """Keeps progress by batch, as the query itself remembers only the latest ones."""
     for progress in query.recentProgress:
@@ -70,15 +60,18 @@ def _millis(iso: str) -> int:
     return int(at.astimezone(timezone.utc).timestamp() * 1000)
 
 
-def sink_log_entries(spark: SparkSession, root: str) -> DataFrame:
-    """Files a streaming sink has committed: path, size and modification time."""
-    lines = spark.read.text(f"{root}/_spark_metadata")
-    entry = F.from_json("value", _SINK_ENTRY)
+def committed_files(spark: SparkSession, root: str, since_millis: int) -> DataFrame:
+    """Files a streaming sink has committed since an instant, and their sizes.
+
+    Spark takes the files from the sink's log and opens only those recent enough.
+    """
+    recent = F.col("_metadata.file_modification_time") >= F.timestamp_millis(F.lit(since_millis))
     return (
-        lines.where(F.col("value").startswith("{"))
-        .select(entry.alias("entry"))
-        .select("entry.*")
-        .distinct()
+        spark.read.schema(model.TABLE_SCHEMA)
+        .parquet(root)
+        .where(recent)
+        .groupBy(F.col("_metadata.file_path").alias("path"))
+        .agg(F.max("_metadata.file_size").alias("length"))
     )
 
 
@@ -94,11 +87,11 @@ def run_statistics(
     starts = [_millis(b["start"]) for b in batches]
     ends = [s + b["millis"] for s, b in zip(starts, batches)]
     submission, completion = min(starts, default=0), max(ends, default=0)
-    if sink_root is None:
-        written = spark.range(1).select(F.lit(None).cast("bigint").alias("output_bytes"))
+    if sink_root is None or not batches:
+        written = spark.range(1).select(F.lit(None if batches else 0).cast("bigint").alias("output_bytes"))
     else:
-        mine = sink_log_entries(spark, sink_root).where(F.col("modificationTime") >= submission)
-        written = mine.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("output_bytes"))
+        files = committed_files(spark, sink_root, submission)
+        written = files.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("output_bytes"))
     return written.select(
         "output_bytes",
         F.lit(sum(b["rows"] for b in batches)).cast("bigint").alias("input_records"),

@@ -199,7 +199,8 @@ _RECENT = f"us // 60000000 * 60 BETWEEN {derive.NOW_SECONDS} - 3600 AND {derive.
 _DELAY = """, services AS (SELECT DISTINCT service_name FROM catalog UNION SELECT service_name FROM objects),
 newest AS (SELECT service_name, max(us // 60000000 * 60) AS newest FROM objects
   WHERE us // 60000000 * 60 BETWEEN {first} AND {now} GROUP BY service_name)
-SELECT s.service_name, CAST(coalesce({delay}, 180) AS INTEGER) AS delay_minutes
+SELECT s.service_name,
+  CAST(CASE WHEN newest IS NULL THEN 180 ELSE {delay} END AS INTEGER) AS delay_minutes
 FROM services s LEFT JOIN newest n USING (service_name)"""
 
 
