@@ -8,7 +8,7 @@ from tidelog.operators import catalog, freshness, maintenance
 from tidelog.plans import catalog_sync
 from tidelog.sinks import logs as sink
 from tidelog.sinks import versioned
-from tidelog.sources import tables
+from tidelog.sources import listing, tables
 
 OLD, NOW = datetime(2024, 1, 1), datetime(2024, 2, 1)
 
@@ -83,7 +83,7 @@ def test_stored_catalogue_follows_the_log_table(spark, tmp_path):
     rows = [("m", "2024-01-01T00:00:00Z", s) for s in ("a", "b", model.DEAD_LETTER_SERVICE)]
     sink.write_logs(sink.with_time_partitions(spark.createDataFrame(rows, model.INGEST_SCHEMA)), logs)
     versioned.replace_table(catalog_of(spark, ("b", 30, "ABC"), ("old", 30, "ABC"), ("x", 1, "XYZ")), stored)
-    objects = tables.list_objects(spark, logs)
+    objects = listing.list_objects(spark, logs)
     for version in (2, 3):
         assert catalog_sync.sync_services(spark, objects, stored, "ABC", now=F.lit(NOW)) == version
         assert as_set(versioned.read_table(spark, stored, model.SERVICE_SCHEMA)) == {
@@ -161,6 +161,19 @@ def test_hour_prefixes_cross_midnight(spark):
     }
 
 
+def test_delay_needs_only_the_latest_folders(spark, tmp_path):
+    root = str(tmp_path / "logs")
+    times = ["2024-01-01T23:50:00Z", "2024-01-02T00:05:10Z", "2024-01-01T10:00:00Z"]
+    rows = [("m", t, s) for t, s in zip(times, ("a", "b", "old"))]
+    sink.write_logs(sink.with_time_partitions(spark.createDataFrame(rows, model.INGEST_SCHEMA)), root)
+    services = catalog.discover_from_keys(listing.list_top_folders(spark, root))
+    now = F.lit(seconds(2024, 1, 2, 0, 10)).cast("bigint")
+    objects = listing.list_folders(root, freshness.hour_folders(services, now))
+    assert objects.count() == 2
+    delays = {r.service_name: r.delay_minutes for r in freshness.sync_delay(services, objects, now).collect()}
+    assert delays == {"a": 20, "b": 5, "old": 180}
+
+
 def test_retention(spark):
     paths = [key("a", 2024, 1, 10, 5, 0), key("a", 2024, 1, 10, 6, 0), key("a", 2024, 1, 28, 5, 0), key("b", 2024, 1, 28, 5, 0), key("b", 2024, 1, 29, 5, 0)]
     objects = spark.createDataFrame([(p, 10, OLD) for p in paths], model.OBJECT_SCHEMA)
@@ -178,9 +191,9 @@ def test_compaction(spark, tmp_path):
     for i in range(3):
         rows = [(f"m{i}{d}", f"2024-01-0{d}T00:00:00Z", s) for d in (1, 2) for s in ("a", "")]
         sink.write_logs(sink.with_time_partitions(spark.createDataFrame(rows, model.INGEST_SCHEMA)), root)
-    small = maintenance.small_file_partitions(tables.list_objects(spark, root)).collect()
+    small = maintenance.small_file_partitions(listing.list_objects(spark, root)).collect()
     assert {(r.files, r.needed_files) for r in small} == {(3, 1)} and len(small) == 4
     maintenance.compact_table(spark, root, target, days=[("2024", "01", "01")])
-    assert maintenance.small_file_partitions(tables.list_objects(spark, target)).count() == 0
+    assert maintenance.small_file_partitions(listing.list_objects(spark, target)).count() == 0
     left = tables.read_logs(spark, root).where("day = '01'").exceptAll(tables.read_logs(spark, target))
     assert left.count() == 0 and tables.read_logs(spark, target).count() == 6

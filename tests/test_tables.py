@@ -2,6 +2,7 @@ import fnmatch
 import gzip
 import re
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import pytest
 from hypothesis import given, settings
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from tidelog import model
 from tidelog.sinks import logs as sink
 from tidelog.sinks import versioned
-from tidelog.sources import files, kafka, tables
+from tidelog.sources import files, kafka, listing, tables
 
 SERVICES = ["api", "007", "", "a,b", "x}y", "a=b/c", "sp ace"]
 
@@ -95,11 +96,33 @@ def test_globs_cover_the_minutes_and_no_others(start, minutes):
         assert bool(regex.match(path)) == (first <= at <= end), path
 
 
-def test_objects_of_a_table(spark, root):
-    objects = tables.relative_to(tables.list_objects(spark, root), root)
-    assert objects.where(~F.col("path").startswith("service_name=")).count() == 0
-    assert objects.where("length <= 0").count() == 0
-    assert tables.list_objects(spark, root + "-absent").count() == 0
+@pytest.mark.parametrize("levels", [0, 1, 3, 9])
+def test_objects_of_a_table(spark, root, levels):
+    objects = listing.list_objects(spark, root, spread_levels=levels).collect()
+    on_disk = {
+        str(f.relative_to(root)): f.stat().st_size
+        for f in Path(root).rglob("*.parquet")
+    }
+    assert {r.path: r.length for r in objects} == on_disk and len(objects) == len(on_disk)
+    assert all(r.modification_time.year > 2020 for r in objects)
+
+
+def test_objects_of_a_prefix(spark, root):
+    prefix = "service_name=007/year=2024/month=01/day=0"
+    paths = [r.path for r in listing.list_objects(spark, root, prefix).collect()]
+    assert paths and all(p.startswith(prefix) for p in paths)
+    everything = [r.path for r in listing.list_objects(spark, root).collect()]
+    assert sorted(paths) == sorted(p for p in everything if p.startswith(prefix))
+    assert listing.list_objects(spark, root, "service_name=00").count() == len(
+        [p for p in everything if p.startswith("service_name=00")]
+    )
+
+
+def test_absent_folders_have_no_objects(spark, root):
+    assert listing.list_objects(spark, root + "-absent").count() == 0
+    folders = spark.createDataFrame([("service_name=absent",), ("service_name=api",)], "path string")
+    assert listing.list_folders(root, folders).count() > 0
+    assert {r.path for r in listing.list_top_folders(spark, root).collect()} >= {"service_name=api/"}
 
 
 def test_extra_and_missing_columns(spark, tmp_path):

@@ -51,8 +51,10 @@ def test_encoding_on_the_jvm_equals_the_runtime(spark, record_type):
         for i, c in enumerate(CASES)
     ]
     df = spark.createDataFrame(rows, "id int, s string, m string, l string, t bigint, n int")
-    encoded = wire.encode_record(F.col("s"), F.col("m"), F.col("l"), F.col("t"), F.when(F.col("t").isNotNull(), F.col("n")))
-    for row in df.select("id", encoded.alias("value")).collect():
+    nanos = F.when(F.col("t").isNotNull(), F.col("n"))
+    encoded = wire.encode_records(df, F.col("s"), F.col("m"), F.col("l"), F.col("t"), nanos)
+    assert encoded.columns == [*df.columns, "value"]
+    for row in encoded.collect():
         assert bytes(row.value) == record(record_type, **CASES[row.id])
 
 

@@ -5,23 +5,22 @@ from pyspark.sql import functions as F
 
 from tidelog.functions import timefmt
 
-_SERVICE = "service_name=(.+?)/"
-_MINUTE = r"year=(\d{4})/month=(\d{2})/day=(\d{2})/hour=(\d{2})/minute=(\d{2})"
+SERVICE_PATTERN = "service_name=(.+?)/"
+_MINUTE = r"year=(\d{4}/month=\d{2}/day=\d{2}/hour=\d{2}/minute=\d{2})"
+_MINUTE_FORMAT = "yyyy'/month='MM'/day='dd'/hour='HH'/minute='mmX"
 _CLOCK = r"hour=(\d{2})/minute=(\d{2})"
 _SINK_LOG = r"^\d+(\.compact.*)?$"
 
 
 def service_from_key(path: Column) -> Column:
     """First `service_name=` value of a key, NULL where there is none."""
-    return F.nullif(F.regexp_extract(path, _SERVICE, 1), F.lit(""))
+    return F.nullif(F.regexp_extract(path, SERVICE_PATTERN, 1), F.lit(""))
 
 
 def minute_from_key(path: Column) -> Column:
     """Epoch seconds of the minute a key belongs to, NULL where the key has none."""
-    part = [F.regexp_extract(path, _MINUTE, i) for i in range(1, 6)]
-    date = F.try_to_date(F.concat_ws("-", part[0], part[1], part[2]))
-    clock = part[3].try_cast("bigint") * 3600 + part[4].try_cast("bigint") * 60
-    return F.unix_date(date).cast("bigint") * timefmt.DAY + clock
+    text = F.concat(F.regexp_extract(path, _MINUTE, 1), F.lit("Z"))
+    return F.unix_seconds(F.try_to_timestamp(text, F.lit(_MINUTE_FORMAT)))
 
 
 def clock_from_key(path: Column) -> tuple[Column, Column]:

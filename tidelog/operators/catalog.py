@@ -12,7 +12,10 @@ _KEY = ["tenant", "service_name"]
 
 
 def discover_services(logs: DataFrame) -> DataFrame:
-    """Distinct services of log rows, without the one that holds undecodable records."""
+    """Distinct services of log rows, without the one that holds undecodable records.
+
+    Opens every file for its row count; on a large table use `discover_from_keys`.
+    """
     service = F.col("service_name")
     return (
         logs.where(service.isNotNull() & (service != model.DEAD_LETTER_SERVICE))
@@ -22,9 +25,12 @@ def discover_services(logs: DataFrame) -> DataFrame:
 
 
 def discover_from_keys(objects: DataFrame) -> DataFrame:
-    """Distinct services of an object listing; reads no log file."""
-    return discover_services(
-        objects.select(keys.service_from_key(F.col("path")).alias("service_name"))
+    """The same from object keys, or from just the table's top folders; reads no log file."""
+    service = F.regexp_extract("path", keys.SERVICE_PATTERN, 1)
+    return (
+        objects.select(service.alias("service_name"))
+        .where(~F.col("service_name").isin("", model.DEAD_LETTER_SERVICE, model.NULL_PARTITION))
+        .distinct()
     )
 
 

@@ -31,7 +31,7 @@ def sync_delay(
     """
     minute = keys.minute_from_key(F.col("path"))
     first_hour = (now_seconds - max_hours * 3600) - F.pmod(now_seconds, F.lit(3600))
-    newest = newest_minutes(objects.where((minute >= first_hour) & (minute <= now_seconds)))
+    newest = newest_minutes(objects.where(F.call_function("between", minute, first_hour, now_seconds)))
     if legacy_clock:
         clock = F.pmod(F.col("newest"), F.lit(timefmt.DAY))
         now_clock = F.pmod(now_seconds, F.lit(timefmt.DAY))
@@ -56,14 +56,16 @@ def sync_delay(
 def recent_objects(objects: DataFrame, now_seconds: Column, hours: int = 1) -> DataFrame:
     """Objects whose minute lies in the last hours."""
     minute = keys.minute_from_key(F.col("path"))
-    return objects.where((minute >= now_seconds - hours * 3600) & (minute <= now_seconds))
+    return objects.where(
+        F.call_function("between", minute, now_seconds - hours * 3600, now_seconds)
+    )
 
 
 def object_counts(objects: DataFrame, prefix: str, now_seconds: Column, hours: int = 1) -> DataFrame:
     """Number of recent objects and of common prefixes below `prefix`."""
     path = F.col("path")
     minute = keys.minute_from_key(path)
-    recent = (minute >= now_seconds - hours * 3600) & (minute <= now_seconds)
+    recent = F.call_function("between", minute, now_seconds - hours * 3600, now_seconds)
     return objects.agg(
         F.count_if(recent & path.startswith(prefix)).alias("recent_objects"),
         F.count_distinct(keys.common_prefix(path, prefix)).alias("total_prefixes"),
@@ -94,6 +96,14 @@ def newest_key(objects: DataFrame) -> DataFrame:
     return objects.agg(F.max("path").alias("path"))
 
 
+def hour_folders(
+    services: DataFrame, now_seconds: Column, hours: int = model.MAX_SYNC_DELAY_HOURS
+) -> DataFrame:
+    """Folders of those hours, the only ones to list for a delay of at most `hours`."""
+    prefix = F.regexp_replace("prefix", "/minute=$", "")
+    return hour_prefixes(services, now_seconds, hours).select(prefix.alias("path"))
+
+
 def hour_prefixes(
     services: DataFrame, now_seconds: Column, hours: int = model.MAX_SYNC_DELAY_HOURS
 ) -> DataFrame:

@@ -11,6 +11,8 @@ RUNTIME_DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.streaming.stateless.enabled": "true",
+    # Each directory of a small batch costs a file to open, so small batches are spread too.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
 }
 
 

@@ -12,8 +12,14 @@ from tidelog.functions import timefmt
 
 # Syslog severity names by number, and the two line formats.
 SEVERITIES = ["emerg", "alert", "crit", "err", "warning", "notice", "info", "debug"]
-SYSLOG_BSD = r"^<(\d{1,3})>([A-Z][a-z]{2} [ \d]\d \d{2}:\d{2}:\d{2}) (\S+) ([^\s:\[]+)(?:\[(\d+)\])?: ?(.*)$"
-SYSLOG_IETF = r"^<(\d{1,3})>1 (\S+) (\S+) (\S+) (\S+) (\S+) (-|(?:\[.*?\])+) ?(.*)$"
+_WORD = r"([^\s\x01]+)"
+SYSLOG_BSD = (
+    rf"^<(\d{{1,3}})>([A-Z][a-z]{{2}} [ \d]\d \d{{2}}:\d{{2}}:\d{{2}}) {_WORD} "
+    r"([^\s:\[\x01]+)(?:\[(\d+)\])?: ?(.*)$"
+)
+SYSLOG_IETF = (
+    rf"^<(\d{{1,3}})>1 {_WORD} {_WORD} {_WORD} {_WORD} {_WORD} (?:-|(?:\[.*?\])+) ?(.*)$"
+)
 
 
 def read_text_lines(
@@ -55,30 +61,28 @@ def read_text_lines(
     return lines.select(*columns, "value")
 
 
-def number_lines(lines: DataFrame) -> DataFrame:
+def number_lines(lines: DataFrame, chunk_lines: int = 65_536) -> DataFrame:
     """Adds `line_no`, counted from 0 in each file.
 
-    Lines are counted per split first; only those counts, one row per split, are summed
-    up in file order, so a huge file does not end up in one task.
+    Lines are counted per chunk of a split first; only those counts are summed up in file
+    order, so neither a huge file nor an unsplittable one ends up in one task.
     """
-    splits = lines.groupBy("file_path", "block").agg(
+    place = ["file_path", "block", "_chunk"]
+    chunked = lines.withColumn("_chunk", timefmt.int_div(F.col("row"), chunk_lines))
+    counts = chunked.groupBy(*place).agg(
         F.count(F.lit(1)).alias("_lines"), F.min("row").alias("_first")
     )
     before = (
         Window.partitionBy("file_path")
-        .orderBy("block")
+        .orderBy("block", "_chunk")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    starts = splits.select(
-        "file_path",
-        "block",
-        "_first",
-        F.coalesce(F.sum("_lines").over(before), F.lit(0)).alias("_before"),
-    )
+    earlier = F.coalesce(F.sum("_lines").over(before), F.lit(0))
+    starts = counts.select(*place, (earlier - F.col("_first")).alias("_shift"))
     return (
-        lines.join(starts, ["file_path", "block"], "left")
-        .withColumn("line_no", F.col("_before") + F.col("row") - F.col("_first"))
-        .drop("_before", "_first")
+        chunked.join(starts, place, "left")
+        .withColumn("line_no", F.col("row") + F.col("_shift"))
+        .select(*lines.columns, "line_no")
     )
 
 
@@ -106,15 +110,13 @@ def read_json_lines(
     return parse_json_lines(read_text_lines(spark, paths, **kwargs), schema)
 
 
-def _pick(text: Column, bsd_group: int | None, ietf_group: int | None) -> Column:
-    """The group of whichever format the line has; NULL where it has none or `-`."""
-    column = F.lit(None).cast("string")
-    if ietf_group:
-        column = F.when(text.rlike(SYSLOG_IETF), F.regexp_extract(text, SYSLOG_IETF, ietf_group))
-    if bsd_group:
-        bsd = F.when(text.rlike(SYSLOG_BSD), F.regexp_extract(text, SYSLOG_BSD, bsd_group))
-        column = F.coalesce(column, bsd) if ietf_group else bsd
-    return F.when(~column.isin("", "-"), column)
+def _groups(text: Column, pattern: str, numbers: Sequence[int]) -> Column:
+    """Some groups of an anchored pattern as an array, NULL where the text does not match.
+
+    All come from one replacement, not from one search per group.
+    """
+    joined = F.regexp_replace(text, pattern, "\x01".join(f"${n}" for n in numbers))
+    return F.when(text.rlike(pattern), F.split(joined, "\x01", len(numbers)))
 
 
 def parse_syslog(
@@ -133,23 +135,29 @@ def parse_syslog(
     line = F.col(text)
     oversized = F.octet_length(line) > max_bytes
     lines = lines.withColumn("oversized", oversized) if on_oversized == "flag" else lines.where(~oversized)
-    parsed = line.rlike(SYSLOG_IETF) | line.rlike(SYSLOG_BSD)
-    priority = _pick(line, 1, 1).cast("int")
-    message = F.when(line.rlike(SYSLOG_IETF), F.regexp_extract(line, SYSLOG_IETF, 8)).when(
-        line.rlike(SYSLOG_BSD), F.regexp_extract(line, SYSLOG_BSD, 6)
+    # Priority, time, host, application, process, message.
+    groups = F.coalesce(
+        _groups(line, SYSLOG_IETF, [1, 2, 3, 4, 5, 7]), _groups(line, SYSLOG_BSD, [1, 2, 3, 4, 5, 6])
     )
-    names = F.array(*map(F.lit, SEVERITIES))
-    severity = F.when(priority.isNotNull(), F.get(names, priority % 8))
+    kept = [c for c in lines.columns if c != text]
+    lines = lines.withColumn("_groups", groups)
+
+    def given(index: int) -> Column:
+        value = F.get("_groups", F.lit(index))
+        return F.when(~value.isin("", "-"), value)
+
+    priority = given(0).cast("int")
+    severity = F.get(F.array(*map(F.lit, SEVERITIES)), priority % 8)
     return lines.select(
-        *[c for c in lines.columns if c != text],
+        *kept,
         timefmt.int_div(priority, 8).cast("int").alias("facility"),
-        severity.alias("severity"),
-        _pick(line, 2, 2).alias("syslog_time"),
-        _pick(line, 3, 3).alias("hostname"),
-        _pick(line, 4, 4).alias("app_name"),
-        _pick(line, 5, 5).alias("process_id"),
-        F.coalesce(message, line).alias("message"),
-        parsed.alias("parsed"),
+        F.when(priority.isNotNull(), severity).alias("severity"),
+        given(1).alias("syslog_time"),
+        given(2).alias("hostname"),
+        given(3).alias("app_name"),
+        given(4).alias("process_id"),
+        F.coalesce(F.get("_groups", F.lit(5)), line).alias("message"),
+        F.col("_groups").isNotNull().alias("parsed"),
     )
 
 

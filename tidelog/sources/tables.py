@@ -1,4 +1,4 @@
-"""Readers of the partitioned log table, its objects and the metadata tables."""
+"""Readers of the partitioned log table and the metadata tables."""
 
 import re
 from collections.abc import Sequence
@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from tidelog import model
 from tidelog.checks import is_missing_path, not_empty
-from tidelog.functions import keys, timefmt
+from tidelog.functions import timefmt
 
 # Fixed value: characters Spark writes as %XX in a partition directory name.
 _ESCAPED_IN_PATHS = "\"#%'*/:=?\\{[]^\x7f"
@@ -124,58 +124,6 @@ def _directories(at: datetime, level: str) -> tuple[str, str]:
     return "/".join(f"{f}={values[f]}" for f in above), values[level]
 
 
-def list_objects(spark: SparkSession, root: str, prefix: str = "") -> DataFrame:
-    """Path, length and modification time of the objects below `root`; no content is read."""
-    try:
-        objects = (
-            spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-        )
-    except AnalysisException as error:
-        if not is_missing_path(error):
-            raise
-        return spark.createDataFrame([], model.OBJECT_SCHEMA)
-    return with_prefix(
-        objects.select("path", "length", F.col("modificationTime").alias("modification_time")), prefix
-    )
-
-
-def list_hidden_folder(spark: SparkSession, folder: str) -> DataFrame:
-    """Files directly in one small folder that Spark's readers skip, such as a sink's log.
-
-    Asks the file system on the driver; a sink's log keeps only its latest files.
-    """
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(folder)
-    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    statuses = system.listStatus(path) if system.exists(path) else []
-    rows = [
-        (s.getPath().toString(), s.getLen(), datetime.fromtimestamp(s.getModificationTime() / 1000))
-        for s in statuses
-        if s.isFile()
-    ]
-    return spark.createDataFrame(rows, model.OBJECT_SCHEMA)
-
-
-def relative_to(objects: DataFrame, root: str) -> DataFrame:
-    """The same objects with paths that start below `root`."""
-    folder = root.rstrip("/").split("/")[-1]
-    return objects.withColumn("path", F.substring_index("path", f"/{folder}/", -1))
-
-
-def with_prefix(objects: DataFrame, prefix: str) -> DataFrame:
-    return objects.where(F.col("path").startswith(prefix)) if prefix else objects
-
-
-def list_common_prefixes(objects: DataFrame, prefix: str, delimiter: str = "/") -> DataFrame:
-    """Distinct key prefixes up to the first delimiter after `prefix`."""
-    return (
-        with_prefix(objects, prefix)
-        .select(keys.common_prefix(F.col("path"), prefix, delimiter).alias("prefix"))
-        .where(F.col("prefix").isNotNull())
-        .distinct()
-    )
-
-
 def tenant_rows(table: DataFrame, tenant: str) -> DataFrame:
     return table.where(F.col("tenant") == tenant)
 

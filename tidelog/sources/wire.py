@@ -175,27 +175,54 @@ def log_rows(
     )
 
 
-def encode_record(
-    service: Column, message: Column, level: Column | None, seconds: Column, nanos: Column
-) -> Column:
-    """Wire bytes of a record, from built-in functions; empty or NULL fields are left out."""
-    clock = F.concat(_number_field(1, seconds), _number_field(2, nanos))
+def encode_records(
+    df: DataFrame,
+    service: Column,
+    message: Column,
+    level: Column | None,
+    seconds: Column,
+    nanos: Column,
+    value: str = "value",
+) -> DataFrame:
+    """Adds the wire bytes of a record per row; empty or NULL fields are left out."""
     texts = {"service_name": service, "message": message, "log_level": level}
-    fields = [
-        _bytes_field(model.WIRE_FIELDS[name][0], F.encode(text, "UTF-8"))
-        for name, text in texts.items()
-        if text is not None
-    ]
-    clock_field = _bytes_field(model.WIRE_FIELDS["timestamp"][0], clock, keep_empty=True)
-    return F.concat(*fields, clock_field)
+    texts = {name: text for name, text in texts.items() if text is not None}
+    # Columns used more than once get a projection of their own.
+    staged = df.withColumns(
+        {f"_{name}": F.encode(text, "UTF-8") for name, text in texts.items()}
+        | {"_seconds": seconds.cast("bigint"), "_nanos": nanos.cast("bigint")}
+    ).withColumns(
+        {f"_{name}_size": F.octet_length(f"_{name}").cast("bigint") for name in texts}
+        | {"_clock": F.concat(_number_field(1, F.col("_seconds")), _number_field(2, F.col("_nanos")))}
+    )
+    fields = [_bytes_field(name, F.col(f"_{name}_size"), F.col(f"_{name}")) for name in texts]
+    clock_size = F.octet_length("_clock").cast("bigint")
+    clock = F.concat(_key("timestamp", 2), _varint(clock_size), F.col("_clock"))
+    fields.append(F.when(F.col("_seconds").isNotNull(), clock).otherwise(F.lit(b"")))
+    return staged.select(*[F.col(c) for c in df.columns if c != value], F.concat(*fields).alias(value))
+
+
+_ALL_BYTES = bytes(range(256))
+_SHORT_GROUPS = 5
 
 
-def _nothing() -> Column:
-    return F.lit(b"")
+def _byte(number: Column) -> Column:
+    return F.substring(F.lit(_ALL_BYTES), number.cast("int") + 1, F.lit(1))
 
 
 def _varint(number: Column) -> Column:
     """Base-128 bytes, lowest group first, the high bit set on all but the last."""
+    limit = 1 << 7 * _SHORT_GROUPS
+    short = F.lit(b"")
+    for i in reversed(range(_SHORT_GROUPS)):
+        group = F.shiftright(number, 7 * i).bitwiseAND(F.lit(127))
+        last = number < (1 << 7 * (i + 1))
+        short = F.when(last, _byte(group)).otherwise(F.concat(_byte(group + 128), short))
+    return F.when((number >= 0) & (number < limit), short).otherwise(_long_varint(number))
+
+
+def _long_varint(number: Column) -> Column:
+    """The same for numbers of any size and sign."""
     size = timefmt.int_div(F.length(F.bin(number)) + 6, 7).cast("int")
 
     def byte(i: Column) -> Column:
@@ -205,14 +232,16 @@ def _varint(number: Column) -> Column:
     return F.unhex(F.array_join(F.transform(F.sequence(F.lit(1), size), byte), ""))
 
 
+def _key(field: str | int, wire_type: int) -> Column:
+    number = field if isinstance(field, int) else model.WIRE_FIELDS[field][0]
+    return F.lit(bytes([number << 3 | wire_type]))
+
+
 def _number_field(number: int, value: Column) -> Column:
-    value = value.cast("bigint")
-    field = F.concat(F.lit(bytes([number << 3])), _varint(value))
-    return F.when(value != 0, field).otherwise(_nothing())
+    field = F.concat(_key(number, 0), _varint(value))
+    return F.when(value != 0, field).otherwise(F.lit(b""))
 
 
-def _bytes_field(number: int, value: Column, keep_empty: bool = False) -> Column:
-    size = F.octet_length(value).cast("bigint")
-    field = F.concat(F.lit(bytes([number << 3 | 2])), _varint(size), value)
-    present = value.isNotNull() if keep_empty else size > 0
-    return F.when(present, field).otherwise(_nothing())
+def _bytes_field(name: str, size: Column, value: Column) -> Column:
+    field = F.concat(_key(name, 2), _varint(size), value)
+    return F.when(size > 0, field).otherwise(F.lit(b""))

@@ -99,14 +99,15 @@ def wire_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dense logs as record bytes: values below 1 are cut short, below 2 have no timestamp."""
     rows = dense_logs(spark, sf_dir)
     us = F.when((F.col("value") >= 1) & (F.col("value") < 2), F.lit(None)).otherwise(F.col("us"))
-    record = wire.encode_record(
+    rows = wire.encode_records(
+        rows,
         F.col("service_name"),
         F.col("message"),
         F.col("event_type"),
         timefmt.int_div(us, 1_000_000),
         F.pmod(us, F.lit(1_000_000)) * 1000,
+        value="value_bytes",
     )
-    rows = rows.withColumn("value_bytes", record)
     cut = F.substring(F.col("value_bytes"), F.lit(1), F.octet_length("value_bytes") - 1)
     return rows.select(
         "event_id",

@@ -11,7 +11,7 @@ from tidelog.operators import multiline, predicates, shaping
 from tidelog.plans import search
 from tidelog.session import work_folder
 from tidelog.sinks import logs as log_sink
-from tidelog.sources import files, tables, wire
+from tidelog.sources import files, listing, tables, wire
 from workload import derive
 from workload.registry import query
 
@@ -86,9 +86,8 @@ def _(spark, sf):
 )
 def _(spark, sf):
     root = derive.stored_logs(spark, sf)
-    objects = tables.relative_to(tables.list_objects(spark, root), root)
     return (
-        tables.with_prefix(objects, "service_name=")
+        listing.list_objects(spark, root, "service_name=")
         .groupBy(keys.common_prefix(F.col("path"), "service_name=").alias("prefix"))
         .agg(F.count_distinct(keys.minute_from_key(F.col("path"))).alias("directories"))
     )
@@ -101,7 +100,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     urls = derive.table(spark, sf, "pages").select(F.col("url").alias("path"))
-    return tables.list_common_prefixes(urls, "http://")
+    return listing.list_common_prefixes(urls, "http://")
 
 
 _TEXT_FILES = f"""WITH {derive.LINES}

@@ -9,7 +9,7 @@ from tidelog.operators import catalog, freshness, maintenance, metrics
 from tidelog.plans import catalog_sync
 from tidelog.session import work_folder
 from tidelog.sinks import versioned
-from tidelog.sources import tables
+from tidelog.sources import listing, tables
 from workload import derive
 from workload.registry import query
 
@@ -152,11 +152,11 @@ UNION ALL SELECT service_name, 3, 'ABC', {_NOW_MILLIS} FROM kept
 WHERE service_name NOT IN (SELECT service_name FROM catalog WHERE tenant = 'ABC')""",
 )
 def _(spark, sf):
-    """Against the listing of the stored log table; other tenants stay as they are."""
+    """Against the top folders of the stored log table; other tenants stay as they are."""
     root = work_folder(spark, "sync")
     columns = model.SERVICE_SCHEMA.fieldNames()
     versioned.replace_table(derive.catalog(spark, sf).select(*columns), root)
-    objects = tables.list_objects(spark, derive.stored_logs(spark, sf))
+    objects = listing.list_top_folders(spark, derive.stored_logs(spark, sf))
     catalog_sync.sync_services(spark, objects, root, derive.TENANT, now=now_timestamp())
     return _with_millis(versioned.read_table(spark, root, model.SERVICE_SCHEMA))
 
