@@ -2,9 +2,11 @@
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from tidelog import model
 from tidelog.functions import timefmt
+from tidelog.sources import wire
 
 
 def with_time_partitions(logs: DataFrame) -> DataFrame:
@@ -48,6 +50,36 @@ def write_logs(
     )
 
 
+def queue_rows(logs: DataFrame, prefix: str = model.TOPIC_PREFIX) -> DataFrame:
+    """Topic and record bytes of log rows, as the queue sink takes them."""
+    instant = timefmt.instant(F.col("timestamp"))
+    fraction = F.rpad(F.substring("timestamp", F.lit(21), F.length("timestamp") - 21), 9, "0")
+    level = F.col("log_level") if "log_level" in logs.columns else None
+    encoded = wire.encode_records(
+        route_topics(logs, prefix),
+        F.col("service_name"),
+        F.col("message"),
+        level,
+        F.unix_seconds(instant),
+        fraction.try_cast("int"),
+    )
+    return encoded.select("topic", "value")
+
+
+def start_queue_sink(
+    logs: DataFrame, bootstrap_servers: str, checkpoint: str, compression: str = "zstd"
+) -> StreamingQuery:
+    """Starts the stream of log rows to one topic per service; needs the Kafka package."""
+    return (
+        queue_rows(logs)
+        .writeStream.format("kafka")
+        .option("kafka.bootstrap.servers", bootstrap_servers)
+        .option("kafka.compression.type", compression)
+        .option("checkpointLocation", checkpoint)
+        .start()
+    )
+
+
 def route_topics(logs: DataFrame, prefix: str = model.TOPIC_PREFIX) -> DataFrame:
     """Adds the topic of each row's service; the queue sink writes to the topic named there."""
     return logs.withColumn("topic", F.concat(F.lit(prefix), "service_name"))

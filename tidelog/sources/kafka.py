@@ -1,4 +1,4 @@
-"""Message-queue source and the options it takes."""
+"""Message-queue source and sink, and the options they take."""
 
 from dataclasses import asdict, dataclass
 

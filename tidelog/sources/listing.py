@@ -67,6 +67,13 @@ def _expand(entries: DataFrame, root: str, recursive: bool) -> DataFrame:
     return entries.mapInArrow(expand, _ENTRY)
 
 
+def _spread(entries: DataFrame) -> DataFrame:
+    """A fixed number of tasks: few bytes of names stand for many requests to the store."""
+    spark = entries.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return entries.repartition(max(tasks, spark.sparkContext.defaultParallelism), "path")
+
+
 def _folders(paths: DataFrame) -> DataFrame:
     return paths.select(
         "path",
@@ -91,15 +98,15 @@ def list_objects(spark: SparkSession, root: str, prefix: str = "", spread_levels
             path = F.col("path")
             leads = F.lit(prefix).startswith(F.concat(path, F.lit("/")))
             entries = entries.where(path.startswith(prefix) | leads)
-        entries = entries.repartition("path")
+        entries = _spread(entries)
     objects = _expand(entries, root, recursive=True).drop("is_folder")
     return with_prefix(objects, prefix)
 
 
 def list_folders(root: str, folders: DataFrame) -> DataFrame:
     """Objects anywhere below the folders (`path`, relative to `root`); absent ones have none."""
-    spread = folders.select("path").distinct()
-    return _expand(_folders(spread), root, recursive=True).drop("is_folder")
+    distinct = _folders(folders.select("path").distinct())
+    return _expand(_spread(distinct), root, recursive=True).drop("is_folder")
 
 
 def list_common_prefixes(objects: DataFrame, prefix: str, delimiter: str = "/") -> DataFrame:

@@ -9,7 +9,6 @@ from tidelog import model
 from tidelog.functions import keys, patterns, timefmt
 from tidelog.operators import multiline, predicates, shaping
 from tidelog.plans import search
-from tidelog.session import work_folder
 from tidelog.sinks import logs as log_sink
 from tidelog.sources import files, listing, tables, wire
 from workload import derive
@@ -232,6 +231,18 @@ def _(spark, sf):
     return log_sink.route_topics(derive.logs(spark, sf)).select("event_id", "topic")
 
 
+@query(
+    "b2_queue_rows",
+    D + "SELECT 'logs.' || service_name AS topic, service_name, message, \"timestamp\" FROM dense",
+)
+def _(spark, sf):
+    """Log rows as topic and record bytes, decoded again."""
+    rows = log_sink.queue_rows(derive.dense_logs(spark, sf))
+    return wire.log_rows(wire.decode_records(rows)).select(
+        "topic", "service_name", "message", "timestamp"
+    )
+
+
 # Projections and row transforms
 
 

@@ -4,7 +4,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog import model
-from tidelog.operators import metrics
 from tidelog.session import work_folder
 from tidelog.sources import tables
 from tidelog.streaming import ingest, runs
@@ -109,6 +108,29 @@ def _(spark, sf):
     )
 
 
+@query(
+    "k5_run_time_limit",
+    f"WITH {derive.INGESTED} SELECT 'timed out' AS status, count(*) AS n FROM ingested",
+)
+def _(spark, sf):
+    """A stream that would go on is stopped when its time is up; a later run ends the work."""
+    root = work_folder(spark, "stream")
+    source = derive.wire_files(spark, sf)
+    rows = ingest.ingest_rows(ingest.read_record_files(spark, source, 4))
+    endless = runs.run_streams(
+        {
+            "ingest": lambda n: ingest.start_sink(
+                rows, f"{root}/logs", f"{root}/checkpoint", n, trigger_seconds=1
+            )
+        },
+        timeout_minutes=2 / 60,
+    )
+    runs.run_streams({"ingest": lambda n: _start(spark, source, root, n)})
+    stored = tables.read_logs(spark, f"{root}/logs")
+    status = F.lit(endless["ingest"]["status"])
+    return stored.agg(F.count(F.lit(1)).alias("n")).select(status.alias("status"), "n")
+
+
 @query(
     "k6_two_streams",
     f"WITH {derive.INGESTED} SELECT side, service_name, count(*) AS n FROM ingested, "
