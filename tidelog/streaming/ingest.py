@@ -29,11 +29,13 @@ def ingest_rows(
 ) -> DataFrame:
     """Log rows with their partition columns, from record bytes; batch or stream."""
     rows = wire.log_rows(
-        wire.decode_records(records, native=native), on_corrupt, on_missing_ts, keep_log_level
+        wire.decode_records(records, native=native),
+        on_corrupt,
+        on_missing_ts,
+        keep_log_level,
+        time_partitions=True,
     )
-    if name_empty:
-        rows = logs.name_empty_services(rows, name_empty)
-    return logs.with_time_partitions(rows)
+    return logs.name_empty_services(rows, name_empty) if name_empty else rows
 
 
 def start_sink(
