@@ -1,3 +1,4 @@
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -33,6 +34,20 @@ def test_iso_text_has_as_few_digits_as_keep_the_instant(spark):
     ]
 
 
+def test_iso_text_and_partitions_of_any_instant(spark):
+    rng = random.Random(0)
+    rows = [(rng.randrange(-62135596800, 253402300800), rng.choice([0, 5, 10**9 - 1])) for _ in range(2000)]
+    seconds = F.col("s")
+    iso = timefmt.iso_instant(seconds, F.col("n"))
+    got = values(spark, rows, "s bigint, n int", "s", "n", iso, timefmt.partition_time(seconds), timefmt.epoch_seconds(iso))
+    for s, n, text, time, again in got:
+        at = datetime(1970, 1, 1) + timedelta(seconds=s)
+        fraction = f".{n:09d}" if n else ""
+        day = f"{at.year:04d}-{at:%m-%d}T{at:%H:%M:%S}"
+        assert text == f"{day}{fraction}Z" and again == s
+        assert time == f"year={at.year:04d}/" + at.strftime("month=%m/day=%d/hour=%H/minute=%M")
+
+
 def test_sql_timestamp_cuts_at_microseconds(spark):
     rows = [(1609459200, 0), (1609459200, 500_000_000), (1609459200, 1_999)]
     at = timefmt.sql_timestamp(F.col("s"), F.col("n"))

@@ -8,7 +8,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidelog import model
-from tidelog.functions import timefmt
 from tidelog.operators import metrics
 from tidelog.sinks import logs as sink
 from tidelog.sources import files, listing, tables, wire

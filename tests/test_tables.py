@@ -233,3 +233,9 @@ def test_syslog_lines(spark):
     assert (rows[4].parsed, rows[4].message, rows[4].severity) == (False, "no syslog at all", None)
     flagged = {r.id: r.oversized for r in files.parse_syslog(df, max_bytes=150, on_oversized="flag").collect()}
     assert flagged[5] is True and flagged[0] is False
+
+
+def test_syslog_files(spark, tmp_path):
+    (tmp_path / "sys.log").write_text("<34>Oct 11 22:14:15 mymachine su: failed\n" + "x" * 102_401 + "\n")
+    rows = files.read_syslog_lines(spark, str(tmp_path)).collect()
+    assert [(r.hostname, r.message, r.file_name) for r in rows] == [("mymachine", "failed", "sys.log")]

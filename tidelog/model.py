@@ -19,7 +19,6 @@ def schema_of(columns: str) -> T.StructType:
 
 
 # Names, order and types of the stored log table.
-INGEST_COLUMNS = ["message", "timestamp", "service_name"]
 TIME_COLUMNS = ["year", "month", "day", "hour", "minute"]
 PARTITION_COLUMNS = ["service_name", *TIME_COLUMNS]
 SEARCH_COLUMNS = ["service_name", "timestamp", "hostname", "message"]

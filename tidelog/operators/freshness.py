@@ -6,8 +6,6 @@ from pyspark.sql import functions as F
 from tidelog import model
 from tidelog.functions import keys, timefmt
 
-_CAP = model.MAX_SYNC_DELAY_HOURS * 60
-
 
 def newest_minutes(objects: DataFrame) -> DataFrame:
     """Newest minute with an object per service, from the keys alone."""

@@ -72,6 +72,9 @@ def search(logs: DataFrame, p: SearchParams, ties: Sequence[str] = ()) -> DataFr
     rows = top_rows(filter_logs(logs, p), p.sort, p.limit, p.order, ties)
     result = shaping.project_columns(rows, p.columns)
     if p.json_fields and "message" in p.columns:
+        if p.json_keys is None:
+            # Looking up the keys runs the search; its few rows are kept for the result.
+            result = result.persist()
         result = shaping.extract_json_fields(result, keys=p.json_keys)
     return shaping.include_fields(result, p.include)
 
