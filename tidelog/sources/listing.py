@@ -67,11 +67,10 @@ def _expand(entries: DataFrame, root: str, recursive: bool) -> DataFrame:
     return entries.mapInArrow(expand, _ENTRY)
 
 
-def _spread(entries: DataFrame) -> DataFrame:
+def _spread(entries: DataFrame, tasks: int | None) -> DataFrame:
     """A fixed number of tasks: few bytes of names stand for many requests to the store."""
-    spark = entries.sparkSession
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return entries.repartition(max(tasks, spark.sparkContext.defaultParallelism), "path")
+    parallel = tasks or 2 * entries.sparkSession.sparkContext.defaultParallelism
+    return entries.repartition(parallel, "path")
 
 
 def _folders(paths: DataFrame) -> DataFrame:
@@ -83,12 +82,19 @@ def _folders(paths: DataFrame) -> DataFrame:
     )
 
 
-def list_objects(spark: SparkSession, root: str, prefix: str = "", spread_levels: int = 3) -> DataFrame:
+def list_objects(
+    spark: SparkSession,
+    root: str,
+    prefix: str = "",
+    spread_levels: int = 3,
+    tasks: int | None = None,
+) -> DataFrame:
     """Path below `root`, length and modification time of its objects; none is opened.
 
     The folders of each of the first levels are spread over tasks, which list them in
-    parallel; below that a task lists whole folders. Names that start with `_` or `.`
-    are left out, as Spark's readers do.
+    parallel; below that a task lists whole folders. `tasks` is by default twice the
+    session's parallelism; set it where executors are added on demand. Names that start
+    with `_` or `.` are left out, as Spark's readers do.
     """
     entries = _folders(spark.range(1).select(F.lit("").alias("path")))
     for _ in range(spread_levels):
@@ -98,15 +104,15 @@ def list_objects(spark: SparkSession, root: str, prefix: str = "", spread_levels
             path = F.col("path")
             leads = F.lit(prefix).startswith(F.concat(path, F.lit("/")))
             entries = entries.where(path.startswith(prefix) | leads)
-        entries = _spread(entries)
+        entries = _spread(entries, tasks)
     objects = _expand(entries, root, recursive=True).drop("is_folder")
     return with_prefix(objects, prefix)
 
 
-def list_folders(root: str, folders: DataFrame) -> DataFrame:
+def list_folders(root: str, folders: DataFrame, tasks: int | None = None) -> DataFrame:
     """Objects anywhere below the folders (`path`, relative to `root`); absent ones have none."""
     distinct = _folders(folders.select("path").distinct())
-    return _expand(_spread(distinct), root, recursive=True).drop("is_folder")
+    return _expand(_spread(distinct, tasks), root, recursive=True).drop("is_folder")
 
 
 def list_common_prefixes(objects: DataFrame, prefix: str, delimiter: str = "/") -> DataFrame:
