@@ -158,24 +158,33 @@ def test_sink_log_is_listed(spark, tmp_path):
     assert listing.list_hidden_folder(spark, f"{root}/absent").count() == 0
 
 
-def test_balanced_batch_splits_a_hot_directory(spark, tmp_path):
-    """One directory with nearly all rows becomes several tasks, the others few files."""
+@pytest.mark.parametrize("streamed", [False, True])
+def test_hot_directory_is_written_by_several_tasks(spark, tmp_path, streamed):
+    """One directory with nearly all rows becomes several files, the others few."""
     source, root = str(tmp_path / "source"), str(tmp_path / "logs")
+    noise = F.sha2(F.col("id").cast("string"), 512)
+    hot = F.when(F.col("id") % 50 == 0, F.concat(F.lit("s"), F.col("id") % 7)).otherwise(F.lit("hot"))
+    spark.range(0, 40_000, 1, 8).select(
+        F.concat(noise, noise).alias("message"),
+        F.lit("2024-01-01T00:00:00Z").alias("timestamp"),
+        hot.alias("service_name"),
+    ).write.parquet(source)
     spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "200000")
     try:
-        noise = F.sha2(F.col("id").cast("string"), 512)
-        hot = F.when(F.col("id") % 50 == 0, F.concat(F.lit("s"), F.col("id") % 7)).otherwise(F.lit("hot"))
-        rows = spark.range(0, 40_000, 1, 8).select(
-            F.concat(noise, noise).alias("message"), F.lit("2024-01-01T00:00:00Z").alias("timestamp"), hot.alias("service_name")
-        )
-        sink.write_logs(sink.with_time_partitions(rows), root)
+        if streamed:
+            rows = sink.with_time_partitions(spark.readStream.schema(model.INGEST_SCHEMA).parquet(source))
+            runs.run_streams(
+                {"hot": lambda n: ingest.start_sink(rows, root, f"{tmp_path}/cp", n, trigger_seconds=None)}
+            )
+        else:
+            sink.write_logs(sink.with_time_partitions(spark.read.parquet(source)), root)
     finally:
         spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
-    sizes = listing.list_objects(spark, root).groupBy(F.regexp_extract("path", "service_name=([^/]*)", 1).alias("s"))
-    counts = {r.s: r["count"] for r in sizes.count().collect()}
+    service = F.regexp_extract("path", "service_name=([^/]*)", 1).alias("s")
+    counts = {r.s: r["count"] for r in listing.list_objects(spark, root).groupBy(service).count().collect()}
     # A directory that shares the hot one's hash partition is split along with it.
-    hot = counts.pop("hot")
-    assert hot > 3 and 1 in counts.values() and set(counts.values()) <= {1, hot}
+    hot_files = counts.pop("hot")
+    assert hot_files > 3 and 1 in counts.values() and set(counts.values()) <= {1, hot_files}
     assert tables.read_logs(spark, root).count() == 40_000
 
 
