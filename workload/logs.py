@@ -182,13 +182,14 @@ def _(spark, sf):
     )
 
 
-_SEVERITY = "['emerg','alert','crit','err','warning','notice','info','debug'][user_id % 8 + 1]"
+# Priorities end at 191.
+_SEVERITY = "['emerg','alert','crit','err','warning','notice','info','debug'][user_id % 192 % 8 + 1]"
 
 
 @query(
     "a12_syslog_lines",
     L + f"""SELECT event_id,
-  CASE WHEN kind <> 'raw' THEN CAST(user_id // 8 AS INTEGER) END AS facility,
+  CASE WHEN kind <> 'raw' THEN CAST(user_id % 192 // 8 AS INTEGER) END AS facility,
   CASE WHEN kind <> 'raw' THEN {_SEVERITY} END AS severity,
   CASE kind WHEN 'ietf' THEN "timestamp" WHEN 'bsd' THEN strftime(moment, '%b %d %H:%M:%S') END AS syslog_time,
   CASE WHEN kind <> 'raw' THEN hostname END AS hostname,
@@ -200,7 +201,7 @@ FROM (SELECT *, CASE event_type WHEN 'view' THEN 'ietf' WHEN 'click' THEN 'ietf'
 )
 def _(spark, sf):
     rows = derive.logs(spark, sf)
-    priority = F.concat(F.lit("<"), "user_id", F.lit(">"))
+    priority = F.concat(F.lit("<"), F.col("user_id") % 192, F.lit(">"))
     ietf = F.concat(
         priority,
         F.concat_ws(" ", F.lit("1"), "timestamp", "hostname", "event_type", "event_id", F.lit("- -"), "message"),
