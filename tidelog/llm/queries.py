@@ -4,7 +4,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import mixing, quality, sharding
+from tidelog.llm import langid, mixing, pieces, quality, sharding, token_counts
+from tidelog.session import work_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,14 +25,48 @@ def op2_mixed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "passes")
 
 
+def _tokenizer(name: str) -> str:
+    """Place of an installed vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op5_piece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and decoded text of every document as digests."""
+    return pieces.encode_and_decode(
+        _table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"), with_texts=False
+    )
+
+
+def op8_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document, learned from those that are not held out."""
+    docs = _table(spark, sf_dir, "documents")
+    model = langid.fit_languages(docs.filter(~langid.held_out()))
+    predicted = langid.predict_languages(docs, model)
+    return predicted.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard and slot of every document."""
     return sharding.shard_rows(_table(spark, sf_dir, "documents"), n_shards=24)
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, through a cache that begins empty."""
+    return token_counts.count_tokens(
+        _table(spark, sf_dir, "documents"),
+        _tokenizer("byte_bpe_50k.json"),
+        work_folder(spark, "token-cache"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_mixed_sources": op2_mixed_sources,
+    "op5_piece_round_trip": op5_piece_round_trip,
+    "op8_languages": op8_languages,
     "op9_shards": op9_shards,
+    "op10_token_counts": op10_token_counts,
 }
 SQL: dict[str, str] = {}
