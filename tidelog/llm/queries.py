@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import langid, mixing, pieces, quality, sharding, token_counts
+from tidelog.llm import langid, mixing, ngram_join, pieces, quality, sharding, token_counts
 from tidelog.session import work_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,12 @@ def op2_mixed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "passes")
 
 
+def op3_ngram_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents linked by their sets of three-word shingles."""
+    join = ngram_join.Join(width=3, top=90, bottom=100)
+    return ngram_join.jaccard_components(_table(spark, sf_dir, "documents"), join)
+
+
 def _tokenizer(name: str) -> str:
     """Place of an installed vocabulary file."""
     import public_tokenizers
@@ -64,6 +70,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_mixed_sources": op2_mixed_sources,
+    "op3_ngram_components": op3_ngram_components,
     "op5_piece_round_trip": op5_piece_round_trip,
     "op8_languages": op8_languages,
     "op9_shards": op9_shards,
