@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import langid, mixing, ngram_join, pieces, quality, sharding, token_counts
+from tidelog.llm import langid, licenses, mixing, ngram_join, pieces, quality, sharding, token_counts
 from tidelog.session import work_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,6 +45,11 @@ def op5_piece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices of every document."""
+    return licenses.scan_licenses(_table(spark, sf_dir, "documents")).drop("findings")
+
+
 def op8_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document, learned from those that are not held out."""
     docs = _table(spark, sf_dir, "documents")
@@ -72,6 +77,7 @@ QUERIES: dict[str, Query] = {
     "op2_mixed_sources": op2_mixed_sources,
     "op3_ngram_components": op3_ngram_components,
     "op5_piece_round_trip": op5_piece_round_trip,
+    "op6_licenses": op6_licenses,
     "op8_languages": op8_languages,
     "op9_shards": op9_shards,
     "op10_token_counts": op10_token_counts,
