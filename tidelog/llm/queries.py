@@ -3,8 +3,9 @@
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidelog.llm import langid, licenses, mixing, ngram_join, pieces, quality, sharding, token_counts
+from tidelog.llm import langid, licenses, mixing, neighbours, ngram_join, pieces, quality, sharding, token_counts
 from tidelog.session import work_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +32,11 @@ def op3_ngram_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(_table(spark, sf_dir, "documents"), join)
 
 
+def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors found of every fiftieth vector."""
+    return neighbours.nearest(_table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5)
+
+
 def _tokenizer(name: str) -> str:
     """Place of an installed vocabulary file."""
     import public_tokenizers
@@ -76,6 +82,7 @@ QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_mixed_sources": op2_mixed_sources,
     "op3_ngram_components": op3_ngram_components,
+    "op4_neighbours": op4_neighbours,
     "op5_piece_round_trip": op5_piece_round_trip,
     "op6_licenses": op6_licenses,
     "op8_languages": op8_languages,
