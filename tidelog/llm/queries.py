@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import langid, licenses, mixing, neighbours, ngram_join, pieces, quality, sharding, token_counts
+from tidelog.llm import html_text, langid, licenses, mixing, neighbours, ngram_join, pieces, quality, sharding, token_counts
 from tidelog.session import work_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,6 +56,11 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(_table(spark, sf_dir, "documents")).drop("findings")
 
 
+def op7_main_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.main_texts(_table(spark, sf_dir, "pages"))
+
+
 def op8_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document, learned from those that are not held out."""
     docs = _table(spark, sf_dir, "documents")
@@ -85,6 +90,7 @@ QUERIES: dict[str, Query] = {
     "op4_neighbours": op4_neighbours,
     "op5_piece_round_trip": op5_piece_round_trip,
     "op6_licenses": op6_licenses,
+    "op7_main_texts": op7_main_texts,
     "op8_languages": op8_languages,
     "op9_shards": op9_shards,
     "op10_token_counts": op10_token_counts,
