@@ -19,8 +19,9 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from tidelog.llm.words import text_or_empty
 
@@ -270,43 +271,44 @@ def fit_languages(
     return train(np.concatenate([vectors for _, vectors in groups]), labels)
 
 
-def _predict(model: LanguageModel):
+def _predict(model: LanguageModel, text_of):
+    """Adds lang_pred and score to the first column; text_of takes the texts out of a batch."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predictor = Predictor(model)
         for batch in batches:
-            found = predictor.predict(_arrays(batch.column("text")))
+            found = predictor.predict(_arrays(text_of(batch)))
             lettered = batch.column("lettered").to_pylist()
             answers = [answer if ok else (UNDETERMINED, 0.0) for answer, ok in zip(found, lettered, strict=True)]
-            rest = [batch.column(i) for i in range(batch.num_columns - 2)]
             languages = pa.array([language for language, _ in answers], pa.string())
             scores = pa.array([score for _, score in answers], pa.float64())
-            names = [*batch.schema.names[:-2], "lang_pred", "score"]
-            yield pa.RecordBatch.from_arrays([*rest, languages, scores], names)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), languages, scores], [batch.schema.names[0], "lang_pred", "score"]
+            )
 
     return run
 
 
-def predict_languages(
-    docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", with_rows: bool = False
-) -> DataFrame:
-    """One row per document: id, lang_pred and score; with_rows adds the input row as struct `row`."""
-    rows = docs.select(
-        *([F.struct("*").alias("row")] if with_rows else []),
-        F.col(id_col).alias("id"),
-        F.col(text_col).alias("text"),
-        text_or_empty(F.col(text_col)).rlike(r"\p{L}").alias("lettered"),
+def _predicted(rows: DataFrame, model: LanguageModel, text_of) -> DataFrame:
+    schema = StructType(
+        [rows.schema.fields[0], StructField("lang_pred", StringType()), StructField("score", DoubleType())]
     )
-    kept = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields if f.name not in ("text", "lettered")]
-    if with_rows:
-        from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+    return rows.mapInArrow(_predict(model, text_of), schema)
+
 
-        schema = StructType([*rows.schema.fields[:2], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
-    else:
-        schema = ", ".join([*kept, "lang_pred string", "score double"])
-    return rows.mapInArrow(_predict(model), schema).withColumnRenamed("id", id_col)
+def _lettered(text_col: str) -> Column:
+    return text_or_empty(F.col(text_col)).rlike(r"\p{L}").alias("lettered")
+
+
+def predict_languages(
+    docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """One row per document: id, lang_pred and score."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), _lettered(text_col))
+    return _predicted(rows, model, lambda batch: batch.column("text")).withColumnRenamed("id", id_col)
 
 
-def held_out(id_col: str = "doc_id"):
+def held_out(id_col: str = "doc_id") -> Column:
     """Rows that are never learned from: crc32 of the id as text leaves 2 when divided by 4."""
     return F.coalesce(F.crc32(F.encode(F.col(id_col).cast("string"), "UTF-8")) % 4 == 2, F.lit(False))
 
@@ -316,5 +318,7 @@ def keep_languages(
 ) -> DataFrame:
     """Documents whose language is found, with their own columns; the others go."""
     model = fit_languages(docs.filter(~held_out(id_col)), id_col=id_col, text_col=text_col, lang_col=lang_col)
-    predicted = predict_languages(docs, model, id_col, text_col, with_rows=True)
+    rows = docs.select(F.struct("*").alias("row"), _lettered(text_col))
+    place = docs.columns.index(text_col)
+    predicted = _predicted(rows, model, lambda batch: batch.column("row").field(place))
     return predicted.filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least_score)).select("row.*")

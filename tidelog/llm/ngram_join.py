@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from tidelog.llm import components
 from tidelog.llm.shingles import in_sets, scatter, set_key
-from tidelog.llm.words import text_or_empty
+from tidelog.llm.words import count_words, text_or_empty
 from tidelog.session import work_folder
 
 _U = np.uint64
@@ -419,18 +419,22 @@ def class_links(join: Join, spark: SparkSession, texts: DataFrame, classes: Data
     return verified.filter("linked").select("a", "b").union(centred)
 
 
-def jaccard_components(
-    docs: DataFrame, join: Join = Join(), id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """One row per document: id, n_shingles, class_id and component_id.
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(
+        F.col(id_col).alias("id"),
+        F.xxhash64(text_or_empty(F.col(text_col))).alias("text_key"),
+        F.col(text_col).alias("text"),
+    )
 
-    class_id is the smallest id of the documents with the same set, component_id the smallest id
-    that can be reached by links.
-    """
-    spark = docs.sparkSession
-    kind = docs.schema[id_col].dataType.simpleString()
-    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_or_empty(F.col(text_col))).alias("text_key"), F.col(text_col).alias("text"))
-    members = _written(texts.mapInArrow(_members(join), f"id {kind}, text_key bigint, cid bigint, n bigint"), "members")
+
+def _grouped(texts: DataFrame, join: Join) -> DataFrame:
+    """Each row's id, text_key and number n of tokens, with the root of its component, its smallest
+    id and that of its class; the last three are NULL for empty sets."""
+    spark = texts.sparkSession
+    kind = texts.schema["id"].dataType.simpleString()
+    members = _written(
+        texts.mapInArrow(_members(join), f"id {kind}, text_key bigint, cid bigint, n bigint"), "members"
+    )
     classes = members.filter("cid is not null").groupBy("cid").agg(
         F.min("id").alias("class_id"), F.min("text_key").alias("text_key"), F.max("n").alias("n")
     )
@@ -439,15 +443,49 @@ def jaccard_components(
     named = classes.join(roots.withColumnRenamed("node", "cid"), "cid", "left")
     named = named.select("cid", "class_id", F.coalesce("root", "cid").alias("root"))
     least = named.groupBy("root").agg(F.min("class_id").alias("component_id"))
-    named = named.join(least, "root").select("cid", "class_id", "component_id")
+    named = named.join(least, "root").withColumnRenamed("cid", "key")
     # Rows without a set get keys of their own, so that they do not meet in one task.
-    key = F.coalesce("cid", F.xxhash64(F.col("id"), F.lit(1)))
-    rows = members.select("id", "n", "cid", key.alias("key"))
-    joined = rows.join(named.withColumnRenamed("cid", "key"), "key", "left")
-    is_empty = F.col("cid").isNull()
-    return joined.select(
+    key = F.coalesce("cid", F.xxhash64("id", F.lit(1)))
+    rows = members.select("id", "text_key", "n", "cid", key.alias("key")).join(named, "key", "left")
+    found = [F.when(F.col("cid").isNotNull(), F.col(c)).alias(c) for c in ("root", "class_id", "component_id")]
+    return rows.select("id", "text_key", "n", *found)
+
+
+def jaccard_components(
+    docs: DataFrame, join: Join = Join(), id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """One row per document: id, n_shingles, class_id and component_id.
+
+    class_id is the smallest id of the documents with the same set, component_id the smallest id
+    that can be reached by links.
+    """
+    return _grouped(_texts(docs, id_col, text_col), join).select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),
-        F.when(is_empty, F.col("id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.when(is_empty, F.col("id")).otherwise(F.col("component_id")).alias("component_id"),
+        F.coalesce("class_id", "id").alias("class_id"),
+        F.coalesce("component_id", "id").alias("component_id"),
+    )
+
+
+def one_of_each_component(
+    docs: DataFrame, join: Join = Join(), id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """The documents without those that another of their component stands for.
+
+    The one with the smallest id stays, once; documents with empty sets all stay.
+    """
+    grouped = _grouped(_texts(docs, id_col, text_col), join)
+    chosen = grouped.filter("root is not null").groupBy("root").agg(F.min(F.struct("id", "text_key")).alias("first"))
+    chosen = chosen.select("first.id", "first.text_key")
+    rows = docs.select(
+        F.struct("*").alias("row"),
+        F.col(id_col).alias("id"),
+        F.xxhash64(text_or_empty(F.col(text_col))).alias("text_key"),
+        (count_words(F.col(text_col)) == 0).alias("is_empty"),
     )
+    # Rows that agree in id and text: one of them is enough, before anything is moved.
+    same = Window.partitionBy("id", "text_key").orderBy(F.xxhash64("row"))
+    single = rows.filter(~F.col("is_empty")).withColumn("copy", F.row_number().over(same)).filter("copy = 1")
+    both = F.col("s.id").eqNullSafe(F.col("c.id")) & (F.col("s.text_key") == F.col("c.text_key"))
+    kept = single.alias("s").join(chosen.alias("c"), both, "left_semi").select("row")
+    return kept.union(rows.filter("is_empty").select("row")).select("row.*")

@@ -122,19 +122,25 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     rows = rows.select(*(c for c in rows.columns if c != "_hashes"), grams.alias("_grams"))
     some_repeat = F.size(F.array_distinct("_grams")) < F.size("_grams")
     repeated = F.when(some_repeat, _repeated_words(F.col("_grams"), WINDOW)).otherwise(F.lit(0))
-    return rows.select("row", *(repeated.cast("bigint").alias(m) if m == "n_repeat_words" else m for m in MEASURES))
+    # A filter on a verdict would otherwise be moved below all this, with every measure written
+    # out in place of its name; it cannot pass a column that is not deterministic.
+    return rows.select(
+        "row",
+        *(repeated.cast("bigint").alias(m) if m == "n_repeat_words" else m for m in MEASURES),
+        F.monotonically_increasing_id().alias("_place"),
+    )
 
 
 def judge(measured: DataFrame, rules: tuple[Rule, ...] = METHOD_RULES) -> DataFrame:
     """Adds base_failed, kept and the names of the failed rules to measured rows."""
-    base = BASE_RULES[0].fails()
+    base = (F.col("_place") < 0) | BASE_RULES[0].fails()
     for rule in BASE_RULES[1:]:
         base = base | rule.fails()
     table = (*BASE_RULES, *rules)
     names = F.array_compact(F.array(*(F.when(r.fails(), F.lit(r.name)) for r in table)))
     return measured.select(
         "*", base.alias("base_failed"), F.concat_ws(",", names).alias("failed_rules")
-    ).select("*", (F.col("failed_rules") == "").alias("kept"))
+    ).select("*", ((F.col("failed_rules") == "") & (F.col("_place") >= 0)).alias("kept"))
 
 
 def quality_verdicts(
