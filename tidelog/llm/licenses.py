@@ -31,6 +31,8 @@ MERGED = 4
 # Part of a template's runs that a finding needs, and how far it may be stretched.
 LEAST_SHARE = 0.6
 MOST_STRETCH = 1.5
+# Characters of templates up to which their table goes to every task.
+MOST_BROADCAST = 1_000_000
 
 # Phrases and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -199,6 +201,9 @@ def scan_licenses(
     )
     rows = texts.select("row", F.inline(F.concat(heads, runs)))
     positions = template_positions(spark, templates)
+    # Spark does not know how small a table made of a list is.
+    if sum(len(text) for texts_ in templates.values() for text in texts_) <= MOST_BROADCAST:
+        positions = F.broadcast(positions)
     hits = rows.join(positions, "run", "left").filter(F.col("label").isNotNull() | F.col("head").isNotNull())
     votes = hits.select(
         "row", "head", "template", "label", "n_runs", "at", (F.col("at") - F.col("place")).alias("diagonal")
