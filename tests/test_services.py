@@ -182,6 +182,13 @@ def test_retention(spark):
     )
     got = {(r.service_name, str(r.day), r.objects, r.bytes) for r in expired.collect()}
     assert got == {("a", "2024-01-10", 2, 20), ("b", "2024-01-28", 1, 10)}
+    in_env = spark.createDataFrame(
+        [(f"logs/env=prod/{p.removeprefix('logs/')}", 10, OLD) for p in paths]
+        + [(key(model.DEAD_LETTER_SERVICE, 2020, 1, 1, 0, 0), 1, OLD), (key("b", 1970, 1, 1, 0, 0), 1, OLD)],
+        model.OBJECT_SCHEMA,
+    )
+    expired = maintenance.expired_partitions(in_env, catalog_of(spark, ("a", 15, "ABC")), F.lit("2024-02-01").cast("date"))
+    assert {(r.service_name, str(r.day)) for r in expired.collect()} == {("a", "2024-01-10")}
     envs = spark.createDataFrame([("prod",), ("dev",), (None,)], "env string")
     assert [r[0] for r in envs.select(maintenance.retention_of_env(F.col("env"))).collect()] == [30, 3, 3]
 
@@ -195,5 +202,53 @@ def test_compaction(spark, tmp_path):
     assert {(r.files, r.needed_files) for r in small} == {(3, 1)} and len(small) == 4
     maintenance.compact_table(spark, root, target, days=[("2024", "01", "01")])
     assert maintenance.small_file_partitions(listing.list_objects(spark, target)).count() == 0
+    maintenance.compact_table(spark, root, target, days=[("2024", "01", "01")])
     left = tables.read_logs(spark, root).where("day = '01'").exceptAll(tables.read_logs(spark, target))
     assert left.count() == 0 and tables.read_logs(spark, target).count() == 6
+
+
+def test_compaction_keeps_all_columns(spark, tmp_path):
+    root, target = str(tmp_path / "logs"), str(tmp_path / "compact")
+    plain = spark.createDataFrame([("m1", "2024-01-01T00:00:00Z", "a")], model.INGEST_SCHEMA)
+    sink.write_logs(sink.with_time_partitions(plain), root)
+    sink.write_logs(sink.with_time_partitions(plain.withColumn("log_level", F.lit("warn"))), root)
+    for _ in range(2):
+        maintenance.compact_table(spark, root, target)
+    rows = tables.read_logs(spark, target, model.schema_of("log_level string")).select("message", "log_level").collect()
+    assert sorted((r.message, r.log_level or "") for r in rows) == [("m1", ""), ("m1", "warn")]
+
+
+def test_a_wrong_root_is_an_error(spark, tmp_path):
+    stored = str(tmp_path / "catalog")
+    versioned.replace_table(catalog_of(spark, ("a", 3, "ABC")), stored)
+    with pytest.raises(Exception, match="[Nn]o such file|does not exist|cannot find"):
+        catalog_sync.sync_services(spark, listing.list_top_folders(spark, str(tmp_path / "absent")), stored, "ABC")
+    assert versioned.read_table(spark, stored, model.SERVICE_SCHEMA).count() == 1
+
+
+def test_two_writers(spark, tmp_path):
+    stored = str(tmp_path / "catalog")
+    one, other = catalog_of(spark, ("a", 3, "ABC")), catalog_of(spark, ("b", 3, "ABC"))
+    version = versioned.current_version(spark, stored)
+    versioned.replace_table(one, stored, version)
+    with pytest.raises(versioned.VersionConflict):
+        versioned.replace_table(other, stored, version)
+    assert [r.service_name for r in versioned.read_table(spark, stored, model.SERVICE_SCHEMA).collect()] == ["a"]
+
+
+def test_escaped_services_agree_with_the_table(spark, tmp_path):
+    root = str(tmp_path / "logs")
+    names = ["api:v2", "a/b", "50%", "x=y", "plain"]
+    rows = [("m", "2024-01-02T00:05:10Z", s) for s in names]
+    sink.write_logs(sink.with_time_partitions(spark.createDataFrame(rows, model.INGEST_SCHEMA)), root)
+    from_keys = catalog.discover_from_keys(listing.list_top_folders(spark, root))
+    from_table = catalog.discover_services(tables.read_logs(spark, root))
+    assert {r[0] for r in from_keys.collect()} == {r[0] for r in from_table.collect()} == set(names)
+    now = F.lit(seconds(2024, 1, 2, 0, 10)).cast("bigint")
+    objects = listing.list_folders(root, freshness.hour_folders(from_keys, now))
+    delays = {r.service_name: r.delay_minutes for r in freshness.sync_delay(from_keys, objects, now).collect()}
+    assert delays == dict.fromkeys(names, 5)
+    expired = maintenance.expired_partitions(
+        listing.list_objects(spark, root), catalog_of(spark, ("api:v2", 100, "ABC")), F.lit("2024-02-01").cast("date")
+    )
+    assert {r.service_name for r in expired.collect()} == set(names) - {"api:v2"}

@@ -32,7 +32,7 @@ ROWS = [
     ("api", "two", T0 + 61, 500_000_000),
     ("web", "three", T0 + 86_399, 123_456_789),
     ("web", "no time", None, None),
-    (None, "corrupt", T0, 1),
+    (None, "no service", T0, 1),
 ]
 LATE = [("api", "late", T0 - 86_400, 0), ("api", "four", T0 + 5, 0)]
 
@@ -46,16 +46,46 @@ def run(spark, source, root, **kwargs):
     return runs.run_streams({"ingest": lambda n: start(spark, source, root, n, **kwargs)})["ingest"]
 
 
+COLUMNS = ["message", "timestamp", "service_name", *model.TIME_COLUMNS]
+
+
+def fixed(rows):
+    """Sorted rows; dead letters lie at the time of ingest, which is not compared."""
+    dead = model.DEAD_LETTER_SERVICE
+    return sorted((r[0], r[2]) if r[2] == dead else tuple(r) for r in rows)
+
+
 def stored(spark, root):
-    columns = ["message", "timestamp", "service_name", *model.TIME_COLUMNS]
-    return sorted(tuple(r) for r in tables.read_logs(spark, f"{root}/logs").select(*columns).collect())
+    return fixed(tables.read_logs(spark, f"{root}/logs").select(*COLUMNS).collect())
 
 
 def batch(spark, *rows):
-    columns = ["message", "timestamp", "service_name"]
     time_columns = [F.col(c).cast("string") for c in model.TIME_COLUMNS]
-    df = ingest.ingest_rows(records(spark, *rows)).select(*columns, *time_columns)
-    return sorted(tuple(r) for r in df.collect())
+    df = ingest.ingest_rows(records(spark, *rows)).select(*COLUMNS[:3], *time_columns)
+    return fixed(df.collect())
+
+
+def test_a_far_timestamp_does_not_end_ingest(spark, tmp_path):
+    source, root = str(tmp_path / "source"), str(tmp_path)
+    records(spark, ("api", "micros", 1609459200000000, 0), *ROWS[:2]).write.parquet(source)
+    assert run(spark, source, root)["status"] == "succeeded"
+    rows = tables.read_logs(spark, f"{root}/logs").collect()
+    assert sorted(r.service_name for r in rows) == [model.DEAD_LETTER_SERVICE, "api", "api"]
+
+
+def test_no_row_is_too_late_for_deduplication(spark, tmp_path):
+    schema = model.schema_of("message string, timestamp string, service_name string")
+    days = ["2024-01-09", "2024-01-01", "2024-01-09", "2023-01-01"]
+    for i, day in enumerate(days):
+        row = (f"m{day}", f"{day}T00:00:00Z", "s")
+        spark.createDataFrame([row], schema).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true")
+    query = (
+        metrics.drop_repeats(reader.parquet(f"{tmp_path}/in"), "1 hour").writeStream.format("parquet")
+        .option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start(f"{tmp_path}/out")
+    )
+    query.awaitTermination()
+    assert sorted(r.message for r in spark.read.parquet(f"{tmp_path}/out").collect()) == sorted({f"m{d}" for d in days})
 
 
 def test_increments_restart_and_late_rows_equal_one_batch(spark, tmp_path):

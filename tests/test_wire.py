@@ -89,7 +89,22 @@ def test_missing_time_can_be_the_time_of_ingest(spark, record_type):
     row = log_row(spark, record(record_type, service="s"), on_missing_ts="ingest_time")
     assert row.timestamp > "2020" and row.service_name == "s"
     row = log_row(spark, record(record_type, service="s", message="m"), on_missing_ts="dead_letter")
-    assert (row.service_name, row.message) == (model.DEAD_LETTER_SERVICE, "m")
+    assert row.service_name == model.DEAD_LETTER_SERVICE and row.timestamp > "2020"
+    assert base64.b64decode(row.message) == record(record_type, service="s", message="m")
+
+
+@pytest.mark.parametrize("seconds", [1609459200000000, -(2**62), 2**63 - 1, 253402300800])
+def test_a_time_out_of_range_makes_a_dead_letter(spark, record_type, seconds):
+    value = encoded_with_seconds(spark, seconds)
+    row = log_row(spark, value)
+    assert row.service_name == model.DEAD_LETTER_SERVICE and row.timestamp > "2020"
+    assert base64.b64decode(row.message) == value
+
+
+def encoded_with_seconds(spark, seconds):
+    df = spark.createDataFrame([("s", "m" * 100, seconds)], "s string, m string, t bigint")
+    records = wire.encode_records(df, F.col("s"), F.col("m"), None, F.col("t"), F.lit(0))
+    return bytes(records.first().value)
 
 
 def test_unknown_mode_is_refused(spark):

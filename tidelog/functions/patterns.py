@@ -23,13 +23,27 @@ def named_groups(pattern: str) -> tuple[str, dict[str, int]]:
 
 
 def extract_groups(text: Column, pattern: str) -> dict[str, Column]:
-    """One column per named group, NULL where the text does not match."""
+    """One column per named group, NULL where the text does not match.
+
+    All groups come from one replacement of the text by its first match, not from one search
+    per group.
+    """
     java, groups = named_groups(pattern)
-    matches = text.rlike(java)
-    return {
-        name: F.when(matches, F.regexp_extract(text, java, number))
-        for name, number in groups.items()
-    }
+    found = groups_of_match(text, java, list(groups.values()))
+    return {name: F.get(found, F.lit(i)) for i, name in enumerate(groups)}
+
+
+def groups_of_match(text: Column, java: str, numbers: list[int]) -> Column:
+    """Some groups of a text's first match as an array, NULL where it does not match."""
+    if not numbers:
+        return F.when(text.rlike(java), F.array().cast("array<string>"))
+    around = f"(?s)\\A.*?(?-s:{java}).*\\z"
+    joined = F.regexp_replace(text, around, "\x01".join(f"${n}" for n in numbers))
+    # The character that parts the groups is hardly ever in a text, which then needs a search
+    # per group.
+    apart = F.array(*[F.regexp_extract(text, java, n) for n in numbers])
+    found = F.when(F.contains(text, F.lit("\x01")), apart).otherwise(F.split(joined, "\x01", len(numbers)))
+    return F.when(text.rlike(java), found)
 
 
 def map_to_json(values: Column) -> Column:

@@ -8,6 +8,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 DAY = 86_400
+NANOS = 1_000_000_000
+# Seconds of the years 1 to 9999, which ISO text and partitions can hold.
+FIRST_SECOND, LAST_SECOND = -62_135_596_800, 253_402_300_799
 
 
 def int_div(a: Column, b) -> Column:
@@ -16,11 +19,28 @@ def int_div(a: Column, b) -> Column:
 
 
 def zero_pad(value: Column, width: int = 2) -> Column:
-    return F.lpad(value.cast("string"), width, "0")
+    """The value's text with zeros before it; one that is longer stays whole."""
+    text = value.cast("string")
+    return F.lpad(text, F.greatest(F.length(text), F.lit(width)), F.lit("0"))
+
+
+def carried(seconds: Column, nanos: Column) -> tuple[Column, Column]:
+    """The same instant with nanoseconds from 0 to 999999999."""
+    below = F.pmod(nanos.cast("bigint"), F.lit(NANOS).cast("bigint"))
+    return seconds + int_div(nanos.cast("bigint") - below, NANOS), below
+
+
+def is_storable(seconds: Column, nanos: Column) -> Column:
+    """Whether an instant lies in the years that can be written; for seconds of any size."""
+    near = seconds.between(F.lit(FIRST_SECOND - 3), F.lit(LAST_SECOND + 3))
+    whole, _ = carried(F.when(near, seconds), nanos)
+    return F.coalesce(whole.between(F.lit(FIRST_SECOND), F.lit(LAST_SECOND)), F.lit(False))
 
 
 def utc_date(seconds: Column) -> Column:
-    days = int_div(seconds - F.pmod(seconds, F.lit(DAY)), DAY)
+    """Date of an instant, NULL outside the years 1 to 9999."""
+    inside = F.when(seconds.between(F.lit(FIRST_SECOND), F.lit(LAST_SECOND)), seconds)
+    days = int_div(inside - F.pmod(inside, F.lit(DAY)), DAY)
     return F.date_from_unix_date(days.cast("int"))
 
 
@@ -33,7 +53,11 @@ def _minute(seconds: Column) -> Column:
 
 
 def iso_instant(seconds: Column, nanos: Column) -> Column:
-    """ISO-8601 text in UTC with 0, 3, 6 or 9 fraction digits, as few as keep every nanosecond."""
+    """ISO-8601 text in UTC with 0, 3, 6 or 9 fraction digits, as few as keep every nanosecond.
+
+    Nanoseconds outside a second are carried; NULL outside the years 1 to 9999.
+    """
+    seconds, nanos = carried(seconds, nanos)
     fraction = (
         F.when(nanos == 0, F.lit(""))
         .when(nanos % 1_000_000 == 0, F.concat(F.lit("."), zero_pad(int_div(nanos, 1_000_000), 3)))

@@ -26,10 +26,9 @@ def discover_services(logs: DataFrame) -> DataFrame:
 
 def discover_from_keys(objects: DataFrame) -> DataFrame:
     """The same from object keys, or from just the table's top folders; reads no log file."""
-    service = F.regexp_extract("path", keys.SERVICE_PATTERN, 1)
     return (
-        objects.select(service.alias("service_name"))
-        .where(~F.col("service_name").isin("", model.DEAD_LETTER_SERVICE, model.NULL_PARTITION))
+        objects.select(keys.service_from_key(F.col("path")).alias("service_name"))
+        .where(~F.col("service_name").isin(model.DEAD_LETTER_SERVICE, model.NULL_PARTITION))
         .distinct()
     )
 

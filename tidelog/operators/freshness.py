@@ -8,11 +8,23 @@ from tidelog.functions import keys, timefmt
 
 
 def newest_minutes(objects: DataFrame) -> DataFrame:
-    """Newest minute with an object per service, from the keys alone."""
+    """Newest minute with an object per service, from the keys alone.
+
+    Partition text sorts like time, so that one value per service is parsed.
+    """
     path = F.col("path")
-    return objects.groupBy(keys.service_from_key(path).alias("service_name")).agg(
-        F.max(keys.minute_from_key(path)).alias("newest")
+    newest = objects.groupBy(keys.service_from_key(path).alias("service_name")).agg(
+        F.max(keys.time_from_key(path)).alias("_time")
     )
+    return newest.select("service_name", keys.minute_of_time(F.col("_time")).alias("newest"))
+
+
+def _between(objects: DataFrame, first_seconds: Column, last_seconds: Column) -> DataFrame:
+    """Objects of the minutes from one instant to another, compared as partition text."""
+    time = keys.time_from_key(F.col("path"))
+    # A key's minute counts from its first second on.
+    start = timefmt.partition_time(first_seconds + F.pmod(-first_seconds, F.lit(60)))
+    return objects.where(time.between(start, timefmt.partition_time(last_seconds)))
 
 
 def sync_delay(
@@ -27,9 +39,8 @@ def sync_delay(
     A service without objects in the last hours has the cap. With `legacy_clock` only
     hour and minute of day are compared, so that a delay across midnight becomes 1.
     """
-    minute = keys.minute_from_key(F.col("path"))
     first_hour = (now_seconds - max_hours * 3600) - F.pmod(now_seconds, F.lit(3600))
-    newest = newest_minutes(objects.where(F.call_function("between", minute, first_hour, now_seconds)))
+    newest = newest_minutes(_between(objects, first_hour, now_seconds))
     if legacy_clock:
         clock = F.pmod(F.col("newest"), F.lit(timefmt.DAY))
         now_clock = F.pmod(now_seconds, F.lit(timefmt.DAY))
@@ -53,10 +64,7 @@ def sync_delay(
 
 def recent_objects(objects: DataFrame, now_seconds: Column, hours: int = 1) -> DataFrame:
     """Objects whose minute lies in the last hours."""
-    minute = keys.minute_from_key(F.col("path"))
-    return objects.where(
-        F.call_function("between", minute, now_seconds - hours * 3600, now_seconds)
-    )
+    return _between(objects, now_seconds - hours * 3600, now_seconds)
 
 
 def object_counts(objects: DataFrame, prefix: str, now_seconds: Column, hours: int = 1) -> DataFrame:

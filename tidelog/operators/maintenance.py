@@ -4,9 +4,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidelog import model
-from tidelog.functions import keys, timefmt
+from tidelog.functions import keys
 from tidelog.sinks.logs import write_logs
 from tidelog.sources.tables import read_logs
 
@@ -16,25 +17,36 @@ def expired_partitions(
     catalog: DataFrame,
     today: Column,
     default_days: int = model.DEFAULT_RETENTION_DAYS,
+    kept_services: Sequence[str] = (model.DEAD_LETTER_SERVICE,),
 ) -> DataFrame:
-    """Days of a service past its retention, with what a cleanup would free.
+    """Days of a service past its retention, with what a cleanup would free. A report only.
 
-    Services the catalogue lacks have the default retention. A report only.
+    Services the catalogue lacks have the retention of their environment (`env=` in the
+    key) or the default one. Dead letters are kept, and so are rows without a time, which
+    lie on the first day of the epoch.
     """
     path = F.col("path")
-    day = F.date_from_unix_date(timefmt.int_div(keys.minute_from_key(path), timefmt.DAY).cast("int"))
+    day = keys.date_of_day(F.col("_day"))
     stored = (
-        objects.select(keys.service_from_key(path).alias("service_name"), day.alias("day"), "length")
-        .groupBy("service_name", "day")
-        .agg(F.count(F.lit(1)).alias("objects"), F.sum("length").alias("bytes"))
+        objects.groupBy(
+            keys.service_from_key(path).alias("service_name"),
+            keys.env_from_key(path).alias("_env"),
+            keys.day_from_key(path).alias("_day"),
+        )
+        .agg(F.count(F.lit(1)).alias("_objects"), F.sum("length").alias("_bytes"))
+        .where(~F.coalesce(F.col("service_name").isin(*kept_services), F.lit(False)))
+        .withColumn("day", day)
+        .where(F.col("day") > F.lit("1970-01-01").cast("date"))
     )
     days = catalog.groupBy("service_name").agg(F.max("retention_days").alias("_days"))
-    kept_days = F.coalesce("_days", F.lit(default_days))
+    kept_days = F.coalesce("_days", retention_of_env(F.col("_env"), default_days))
     return (
         stored.join(days, "service_name", "left")
         .withColumn("retention_days", kept_days)
         .where(F.col("day") < F.date_sub(today, F.col("retention_days")))
-        .drop("_days")
+        .groupBy("service_name", "day", "retention_days")
+        .agg(F.sum("_objects").alias("objects"), F.sum("_bytes").alias("bytes"))
+        .select("service_name", "day", "objects", "bytes", "retention_days")
     )
 
 
@@ -74,13 +86,17 @@ def compact_table(
     """Rewrites the table, or some (year, month, day) of it, with few files per partition.
 
     The result goes to a table of its own: files rewritten below a streaming sink's root
-    would be unknown to the sink's log.
+    would be unknown to the sink's log. It has all columns of the table, whichever of its
+    files they are in, and replaces the partitions it writes, so that a second run leaves
+    the same rows.
     """
-    logs = read_logs(spark, root).drop("time")
+    own = spark.read.option("mergeSchema", "true").parquet(root).schema
+    extra = T.StructType([f for f in own.fields if f.name not in model.TABLE_SCHEMA.fieldNames()])
+    logs = read_logs(spark, root, extra).drop("time")
     if days:
         day = F.struct("year", "month", "day")
         logs = logs.where(day.isin([F.struct(*map(F.lit, d)) for d in days]))
-    write_logs(logs, target, max_records_per_file=max_records_per_file)
+    write_logs(logs, target, max_records_per_file=max_records_per_file, replace=True)
 
 
 def sink_log_files(objects: DataFrame, folder: str = "_spark_metadata") -> DataFrame:
@@ -94,10 +110,10 @@ def sink_log_files(objects: DataFrame, folder: str = "_spark_metadata") -> DataF
     )
 
 
-def latest_sink_log(files: DataFrame) -> DataFrame:
-    """Name and number of the newest log file, and whether it is a compacted one."""
+def latest_sink_log(files: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Name and number of the newest log file, per group, and whether it is a compacted one."""
     order = F.struct("number", F.col("name").endswith(".compact"))
-    return files.agg(
+    return files.groupBy(*by).agg(
         F.max_by("name", order).alias("name"), F.max("number").alias("number")
     ).withColumn("compacted", F.col("name").contains(".compact"))
 

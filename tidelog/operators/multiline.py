@@ -1,39 +1,27 @@
-"""Grouping of text lines into entries that may span several of them."""
+"""Grouping of text lines into entries that may span several of them.
+
+A file may hold most of the lines, so nothing is done per file but to sum counts of chunks, which
+are aggregated before they are shuffled. Which entry a chunk begins in, and how far into it,
+follows from these sums, whatever the length of lines, entries and files.
+"""
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.functions.timefmt import int_div
 
+_PLACE = ["_file", "_block", "_chunk"]
+
 
 def _joined(texts: Column) -> Column:
     """Texts of (place, text) structs in order of place, one per line."""
     return F.array_join(F.transform(F.sort_array(texts), lambda t: t["text"]), "\n")
 
 
-def group_multiline(
-    lines: DataFrame,
-    start_pattern: str,
-    file: str = "file_path",
-    block: str = "block",
-    row: str = "row",
-    text: str = "value",
-    chunk_lines: int = 4096,
-    max_entry_chars: int = 16_000_000,
+def _chunked(
+    lines: DataFrame, start_pattern: str, file: str, block: str, row: str, text: str, chunk_lines: int
 ) -> DataFrame:
-    """Entries of each file: a line matching `start_pattern` starts one, others continue it.
-
-    Lines before a file's first start form entry 0. Line order is (`block`, `row`).
-
-    A file may hold most of the lines, so nothing is done per file but to sum counts of
-    chunks, which are aggregated before they are shuffled. Lines are shuffled by chunk
-    and joined there into fragments of entries; which entry a chunk begins in follows
-    from the sums, and only fragments are shuffled once more. An entry that goes on for
-    more than about `max_entry_chars` continues in further `part`s, so that no row grows
-    without bound and no line is lost.
-    """
-    place = ["_file", "_block", "_chunk"]
-    chunked = lines.select(
+    return lines.select(
         F.col(file).alias("_file"),
         F.col(block).cast("bigint").alias("_block"),
         int_div(F.col(row).cast("bigint"), chunk_lines).alias("_chunk"),
@@ -41,45 +29,86 @@ def group_multiline(
         F.coalesce(text, F.lit("")).alias("_text"),
     ).withColumn("_starts", F.col("_text").rlike(start_pattern).cast("bigint"))
 
-    before = (
-        Window.partitionBy("_file")
-        .orderBy("_block", "_chunk")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    sums = chunked.groupBy(*place).agg(
-        F.sum("_starts").alias("_n"), F.sum(F.length("_text") + 1).alias("_chars")
+
+def _in_chunk() -> Window:
+    window = Window.partitionBy(*_PLACE).orderBy("_row")
+    return window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
+def _before_chunk() -> Window:
+    window = Window.partitionBy("_file").orderBy("_block", "_chunk")
+    return window.rowsBetween(Window.unboundedPreceding, -1)
+
+
+def label_lines(
+    lines: DataFrame,
+    start_pattern: str,
+    file: str = "file_path",
+    block: str = "block",
+    row: str = "row",
+    text: str = "value",
+    chunk_lines: int = 4096,
+) -> DataFrame:
+    """Each line with its `entry` and its `line_in_entry`, from 0; nothing is gathered."""
+    chunked = _chunked(lines, start_pattern, file, block, row, text, chunk_lines)
+    index = F.count(F.lit(1)).over(_in_chunk()) - 1
+    placed = chunked.withColumns({"_index": index, "_local": F.sum("_starts").over(_in_chunk())})
+    own_start = F.max(F.when(F.col("_starts") == 1, F.col("_index"))).over(_in_chunk())
+    placed = placed.withColumn("_own_start", own_start)
+    sums = placed.groupBy(*_PLACE).agg(
+        F.sum("_starts").alias("_n"),
+        F.count(F.lit(1)).alias("_lines"),
+        F.max(F.when(F.col("_starts") == 1, F.col("_index"))).alias("_last_start"),
     )
-    offset = F.coalesce(F.sum("_chars").over(before), F.lit(0))
-    starts_here = F.when(F.col("_n") > 0, F.col("_offset"))
-    bases = sums.withColumn("_offset", offset).select(
-        *place,
+    sums = sums.withColumn("_offset", F.coalesce(F.sum("_lines").over(_before_chunk()), F.lit(0)))
+    bases = sums.select(
+        *_PLACE,
         "_offset",
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_entries"),
-        F.coalesce(F.max(starts_here).over(before), F.lit(0)).alias("_open"),
+        F.coalesce(F.sum("_n").over(_before_chunk()), F.lit(0)).alias("_entries"),
+        F.coalesce(F.max(F.col("_offset") + F.col("_last_start")).over(_before_chunk()), F.lit(0)).alias("_open"),
     )
+    begun_before = F.col("_offset") + F.col("_index") - F.col("_open")
+    return placed.join(bases, _PLACE).select(
+        F.col("_file").alias(file),
+        F.col("_block").alias(block),
+        F.col("_row").alias(row),
+        (F.col("_entries") + F.col("_local")).alias("entry"),
+        F.coalesce(F.col("_index") - F.col("_own_start"), begun_before).alias("line_in_entry"),
+        F.col("_text").alias(text),
+    )
+
 
-    in_chunk = (
-        Window.partitionBy(*place)
-        .orderBy("_row")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+def group_multiline(
+    lines: DataFrame,
+    start_pattern: str,
+    file: str = "file_path",
+    block: str = "block",
+    row: str = "row",
+    text: str = "value",
+    chunk_lines: int = 4096,
+) -> DataFrame:
+    """Entries of each file: a line matching `start_pattern` starts one, others continue it.
+
+    Lines before a file's first start form entry 0. Line order is (`block`, `row`). Every entry
+    is one row, however long. Lines are shuffled by chunk and joined there into fragments of
+    entries; only fragments are shuffled once more. To keep entries that are too long for a
+    row apart line by line, use `label_lines`.
+    """
+    chunked = _chunked(lines, start_pattern, file, block, row, text, chunk_lines)
+    bases = chunked.groupBy(*_PLACE).agg(F.sum("_starts").alias("_n")).select(
+        *_PLACE, F.coalesce(F.sum("_n").over(_before_chunk()), F.lit(0)).alias("_entries")
     )
     fragments = (
-        chunked.withColumn("_local", F.sum("_starts").over(in_chunk))
-        .groupBy(*place, "_local")
+        chunked.withColumn("_local", F.sum("_starts").over(_in_chunk()))
+        .groupBy(*_PLACE, "_local")
         .agg(
             F.count(F.lit(1)).alias("_lines"),
             _joined(F.collect_list(F.struct("_row", F.col("_text").alias("text")))).alias("_text"),
         )
     )
-    # Text between the chunk an entry starts in and a later chunk it goes on in.
-    written = F.when(F.col("_local") > 0, 0).otherwise(F.col("_offset") - F.col("_open"))
     return (
-        fragments.join(bases, place)
-        .groupBy(
-            F.col("_file").alias(file),
-            (F.col("_entries") + F.col("_local")).alias("entry"),
-            int_div(written, max_entry_chars).cast("int").alias("part"),
-        )
+        fragments.join(bases, _PLACE)
+        .groupBy(F.col("_file").alias(file), (F.col("_entries") + F.col("_local")).alias("entry"))
         .agg(
             F.sum("_lines").alias("n_lines"),
             _joined(

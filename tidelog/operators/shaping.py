@@ -63,20 +63,12 @@ def parse_named_groups(
     return lines.select(*kept, *[column.alias(name) for name, column in groups.items()], *flag)
 
 
-def json_keys(df: DataFrame, text: str = "message", max_keys: int = 200) -> list[str]:
+def json_keys(df: DataFrame, text: str = "message") -> list[str]:
     """Sorted distinct top-level keys of the JSON objects in a column.
 
-    At most `max_keys` names reach the driver; more raise an error, for then the
-    fields belong in a map column (`extract_json_map`), which has no such bound.
+    For the few rows of a result: all names reach the driver.
     """
-    keys = (
-        df.select(F.explode(F.map_keys(_json_map(F.col(text)))).alias("key"))
-        .distinct()
-        .limit(max_keys + 1)
-        .collect()
-    )
-    if len(keys) > max_keys:
-        raise ValueError(f"more than {max_keys} distinct keys; use extract_json_map")
+    keys = df.select(F.explode(F.map_keys(_json_map(F.col(text)))).alias("key")).distinct().collect()
     return sorted(row.key for row in keys)
 
 
@@ -90,20 +82,36 @@ def extract_json_map(df: DataFrame, text: str = "message", into: str = "fields")
 
 
 def extract_json_fields(
-    df: DataFrame, text: str = "message", keys: Sequence[str] | None = None, max_keys: int = 200
+    df: DataFrame, text: str = "message", keys: Sequence[str] | None = None, into: str = "fields"
 ) -> DataFrame:
-    """One text column per JSON key, originals kept; keys are looked up unless given.
+    """One text column per given JSON key, originals kept; without keys one map of all fields.
 
-    A key named like an existing column is skipped, so originals are not replaced.
+    Column names do not tell cases apart: a key named like an existing column is skipped, so
+    originals are not replaced, and keys that differ in case share a column, which has the
+    value of the first that is there.
     """
-    names = json_keys(df, text, max_keys) if keys is None else keys
+    if keys is None:
+        return extract_json_map(df, text, into)
+    columns: dict[str, list[str]] = {}
+    for key in keys:
+        columns.setdefault(key.lower(), []).append(key)
+    taken = {c.lower() for c in df.columns}
     fields = _json_map(F.col(text))
-    return df.select("*", *[F.element_at(fields, k).alias(k) for k in names if k not in df.columns])
+    new = [
+        F.coalesce(*[F.element_at(fields, k) for k in same]).alias(same[0])
+        for name, same in columns.items()
+        if name not in taken
+    ]
+    return df.select("*", *new)
 
 
 def include_fields(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Only the named columns that exist; all of them where none is named."""
-    return df.select(*[c for c in df.columns if c in names]) if names else df
+    """Only the named columns that exist, whatever their case; all of them where none is named."""
+    if not names:
+        return df
+    wanted = {n.lower() for n in names}
+    quoted = ["`" + c.replace("`", "``") + "`" for c in df.columns if c.lower() in wanted]
+    return df.select(*quoted)
 
 
 def project_columns(logs: DataFrame, columns: Sequence[str] = ("message",)) -> DataFrame:

@@ -9,11 +9,20 @@ from tidelog.sinks import versioned
 
 
 def synced_catalog(discovered: DataFrame, current: DataFrame, now: Column) -> DataFrame:
-    """The catalogue with new services added and vanished ones removed; others untouched."""
-    plan = catalog.sync_plan(discovered, current)
-    inserts = plan.where(F.col("action") == "insert")
-    deletes = plan.where(F.col("action") == "delete")
-    return catalog.delete_services(catalog.upsert_services(current, inserts, now), deletes)
+    """The catalogue with new services added and vanished ones removed; others untouched.
+
+    One join of both sides gives all of it.
+    """
+    key = ["tenant", "service_name"]
+    found = discovered.groupBy(*key).agg(F.min("retention_days").alias("_days"))
+    known = current.select(*key, F.struct("retention_days", "last_checked_at").alias("_known"))
+    is_new = F.col("_known").isNull()
+    return found.join(known, key, "left").select(
+        "service_name",
+        F.when(is_new, F.col("_days")).otherwise(F.col("_known.retention_days")).alias("retention_days"),
+        "tenant",
+        F.when(is_new, now).otherwise(F.col("_known.last_checked_at")).alias("last_checked_at"),
+    )
 
 
 def sync_services(
@@ -24,7 +33,11 @@ def sync_services(
     retention_days: int = model.DEFAULT_RETENTION_DAYS,
     now: Column | None = None,
 ) -> int:
-    """Synchronises one tenant's part of the stored catalogue; returns its new version."""
+    """Synchronises one tenant's part of the stored catalogue; returns its new version.
+
+    Another writer's version in the meantime is an error: nothing is written over it.
+    """
+    version = versioned.current_version(spark, catalog_root)
     stored = versioned.read_table(spark, catalog_root, model.SERVICE_SCHEMA)
     mine = stored.where(F.col("tenant") == tenant)
     others = stored.where(F.col("tenant") != tenant)
@@ -32,5 +45,5 @@ def sync_services(
     synced = synced_catalog(found, mine, now if now is not None else F.current_timestamp())
     columns = model.SERVICE_SCHEMA.fieldNames()
     return versioned.replace_table(
-        synced.select(*columns).unionByName(others.select(*columns)), catalog_root
+        synced.select(*columns).unionByName(others.select(*columns)), catalog_root, version
     )

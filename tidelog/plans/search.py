@@ -11,6 +11,7 @@ from tidelog import model
 from tidelog.checks import one_of
 from tidelog.functions import timefmt
 from tidelog.operators import predicates, shaping
+from tidelog.session import work_folder
 from tidelog.sources import tables
 
 
@@ -72,20 +73,25 @@ def search(logs: DataFrame, p: SearchParams, ties: Sequence[str] = ()) -> DataFr
     rows = top_rows(filter_logs(logs, p), p.sort, p.limit, p.order, ties)
     result = shaping.project_columns(rows, p.columns)
     if p.json_fields and "message" in p.columns:
-        if p.json_keys is None:
-            # Looking up the keys runs the search; its few rows are kept for the result.
-            result = result.persist()
-        result = shaping.extract_json_fields(result, keys=p.json_keys)
+        keys = p.json_keys
+        if keys is None:
+            # Looking up the keys runs the search; its few rows are written for the result.
+            folder = work_folder(logs.sparkSession, "search")
+            result.withColumn("_place", F.monotonically_increasing_id()).coalesce(1).write.parquet(folder)
+            result = logs.sparkSession.read.parquet(folder).orderBy("_place").drop("_place")
+            keys = shaping.json_keys(result)
+        result = shaping.extract_json_fields(result, keys=keys)
     return shaping.include_fields(result, p.include)
 
 
 def search_table(
-    spark: SparkSession, root: str, p: SearchParams, projected: bool = False
+    spark: SparkSession, root: str, p: SearchParams, projected: bool = True
 ) -> DataFrame:
     """A search over the table below `root`.
 
-    `projected` lists only the directories of the searched services and minutes, for
-    tables written by batch jobs.
+    Only the directories of the searched services and minutes are listed. In a table that a
+    stream writes, files of a batch that failed may be among them until the batch is run
+    again; `projected=False` reads the whole sink's log instead and sees committed files only.
     """
     if projected:
         logs = tables.read_logs_projected(spark, root, p.services, p.start, p.end)

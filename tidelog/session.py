@@ -2,6 +2,7 @@
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import SparkSession
 
@@ -11,8 +12,6 @@ RUNTIME_DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.streaming.stateless.enabled": "true",
-    # Each directory of a small batch costs a file to open, so small batches are spread too.
-    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
 }
 
 
@@ -31,11 +30,16 @@ def shared_folder(spark: SparkSession) -> str:
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="tidelog-")
-        spark.sparkContext.setCheckpointDir(folder)
+        folder = _own_folder(spark.sparkContext.applicationId)
     return folder.rstrip("/")
 
 
+@cache
+def _own_folder(application: str) -> str:
+    """One folder per local session, which itself is left as it is."""
+    return tempfile.mkdtemp(prefix=f"tidelog-{application}-")
+
+
 def work_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_folder(spark)}/tidelog-{purpose}-{uuid.uuid4().hex}"

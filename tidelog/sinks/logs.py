@@ -37,12 +37,17 @@ def write_logs(
     partition_columns: list[str] | None = None,
     compression: str = "gzip",
     max_records_per_file: int = 0,
+    replace: bool = False,
 ) -> None:
-    """Appends rows that have their partition columns, as one batch."""
+    """Appends rows that have their partition columns, as one batch.
+
+    With `replace` they take the place of what their partitions hold.
+    """
     columns = partition_columns or model.PARTITION_COLUMNS
     (
         balance_for_write(rows, columns)
-        .write.mode("append")
+        .write.mode("overwrite" if replace else "append")
+        .option("partitionOverwriteMode", "dynamic")
         .option("compression", compression)
         .option("maxRecordsPerFile", max_records_per_file)
         .partitionBy(*columns)
@@ -81,5 +86,9 @@ def start_queue_sink(
 
 
 def route_topics(logs: DataFrame, prefix: str = model.TOPIC_PREFIX) -> DataFrame:
-    """Adds the topic of each row's service; the queue sink writes to the topic named there."""
-    return logs.withColumn("topic", F.concat(F.lit(prefix), "service_name"))
+    """Adds the topic of each row's service; the queue sink writes to the topic named there.
+
+    Rows without a service, which read back as NULL, share the topic `unknown`.
+    """
+    service = F.when(F.length("service_name") > 0, F.col("service_name")).otherwise(F.lit("unknown"))
+    return logs.withColumn("topic", F.concat(F.lit(prefix), service))

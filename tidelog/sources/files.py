@@ -18,7 +18,8 @@ SYSLOG_BSD = (
     r"([^\s:\[\x01]+)(?:\[(\d+)\])?: ?(.*)$"
 )
 SYSLOG_IETF = (
-    rf"^<(\d{{1,3}})>1 {_WORD} {_WORD} {_WORD} {_WORD} {_WORD} (?:-|(?:\[.*?\])+) ?(.*)$"
+    rf"^<(\d{{1,3}})>1 {_WORD} {_WORD} {_WORD} {_WORD} {_WORD} "
+    r"(-|(?:\[(?:[^\]\"\x01]|\"(?:[^\"\\\x01]|\\.)*\")*\])+)(?: (.*))?$"
 )
 
 
@@ -35,7 +36,9 @@ def read_text_lines(
     `paths` takes globs. `modified_since` (a timestamp text) skips older files, the
     counterpart of following logs from their end. Large plain files are read in splits:
     `block` is the split's offset and `row` rises with the lines of a split, so
-    (`file_path`, `block`, `row`) is line order without reading a file in one task.
+    (`file_path`, `block`, `row`) is line order without reading a file in one task. A
+    stream reads each file once, when it appears: lines appended to it later are not seen,
+    so files must be complete when they are put in place.
     """
     options.setdefault("recursiveFileLookup", "true")
     if line_separator:
@@ -123,21 +126,24 @@ def parse_syslog(
     lines: DataFrame,
     text: str = "value",
     max_bytes: int = model.SYSLOG_MAX_BYTES,
-    on_oversized: str = "drop",
+    on_oversized: str = "flag",
 ) -> DataFrame:
-    """Priority, time text, host, application, process and message of syslog lines.
+    """Fields and message of syslog lines: also message id and structured data where given.
 
     Both common line formats are read; a line in neither keeps its text as message and
-    has `parsed` false. Lines above `max_bytes` are dropped, as a receiver of that
-    buffer size would, or with `on_oversized='flag'` kept and flagged.
+    has `parsed` false. Lines above `max_bytes` are whole and `oversized`; only with
+    `on_oversized='drop'` they are left out, as a receiver of that buffer size would.
     """
     one_of("on_oversized", on_oversized, {"drop", "flag"})
     line = F.col(text)
     oversized = F.octet_length(line) > max_bytes
     lines = lines.withColumn("oversized", oversized) if on_oversized == "flag" else lines.where(~oversized)
-    # Priority, time, host, application, process, message.
+    # Priority, time, host, application, process, message id, structured data, message.
+    bsd = _groups(line, SYSLOG_BSD, [1, 2, 3, 4, 5, 6])
+    nothing = F.array(F.lit(""), F.lit(""))
     groups = F.coalesce(
-        _groups(line, SYSLOG_IETF, [1, 2, 3, 4, 5, 7]), _groups(line, SYSLOG_BSD, [1, 2, 3, 4, 5, 6])
+        _groups(line, SYSLOG_IETF, [1, 2, 3, 4, 5, 6, 7, 8]),
+        F.concat(F.slice(bsd, 1, 5), nothing, F.slice(bsd, 6, 1)),
     )
     kept = [c for c in lines.columns if c != text]
     lines = lines.withColumn("_groups", groups)
@@ -156,7 +162,9 @@ def parse_syslog(
         given(2).alias("hostname"),
         given(3).alias("app_name"),
         given(4).alias("process_id"),
-        F.coalesce(F.get("_groups", F.lit(5)), line).alias("message"),
+        given(5).alias("message_id"),
+        given(6).alias("structured_data"),
+        F.coalesce(F.get("_groups", F.lit(7)), line).alias("message"),
         F.col("_groups").isNotNull().alias("parsed"),
     )
 

@@ -48,7 +48,9 @@ def _expand(entries: DataFrame, root: str, recursive: bool) -> DataFrame:
             yield batch.filter(compute.invert(batch.column("is_folder"))).cast(schema)
             for row in batch.filter(batch.column("is_folder")).to_pylist():
                 folder = f"{base}/{row['path']}".rstrip("/")
-                selector = fs.FileSelector(folder, allow_not_found=True, recursive=recursive)
+                # A folder may be absent, the root may not: nothing below a wrong path is
+                # not the same as an empty table.
+                selector = fs.FileSelector(folder, allow_not_found=bool(row["path"]), recursive=recursive)
                 found = []
                 for info in system.get_file_info(selector):
                     path = info.path[len(base) + 1 :]
@@ -110,7 +112,11 @@ def list_objects(
 
 
 def list_folders(root: str, folders: DataFrame, tasks: int | None = None) -> DataFrame:
-    """Objects anywhere below the folders (`path`, relative to `root`); absent ones have none."""
+    """Objects anywhere below the folders (`path`, relative to `root`); absent ones have none.
+
+    Arrow's file systems do the listing; they take their credentials and endpoints from the
+    environment of the executors, not from the session's Hadoop settings.
+    """
     distinct = _folders(folders.select("path").distinct())
     return _expand(_spread(distinct, tasks), root, recursive=True).drop("is_folder")
 

@@ -12,10 +12,8 @@ from pyspark.sql import types as T
 
 from tidelog import model
 from tidelog.checks import is_missing_path, not_empty
-from tidelog.functions import timefmt
+from tidelog.functions import keys, timefmt
 
-# Fixed value: characters Spark writes as %XX in a partition directory name.
-_ESCAPED_IN_PATHS = "\"#%'*/:=?\\{[]^\x7f"
 
 
 def read_logs(spark: SparkSession, root: str, extra: T.StructType | None = None) -> DataFrame:
@@ -68,16 +66,16 @@ def _directory_value(value: str) -> str:
     if not value:
         return model.NULL_PARTITION
     escaped = "".join(
-        f"%{ord(c):02X}" if c in _ESCAPED_IN_PATHS or ord(c) < 32 else c for c in value
+        f"%{ord(c):02X}" if c in keys.ESCAPED_IN_PATHS or ord(c) < 32 else c for c in value
     )
     return re.sub(r"([,}])", r"\\\1", escaped)
 
 
 def minute_globs(start: datetime, end: datetime) -> list[str]:
-    """Globs covering every minute from `start` to `end`, both included, and no other.
+    """Folders of every minute from `start` to `end`, both included, and no other, as globs.
 
-    Whole years, months, days and hours in between become wildcards, so their number
-    does not grow with the range.
+    Whole years, months, days and hours in between are named by their own folder, so that
+    their number does not grow with the range; Spark lists what is below them in tasks.
     """
     at = start.replace(second=0, microsecond=0)
     last = end.replace(second=0, microsecond=0)
@@ -90,10 +88,8 @@ def minute_globs(start: datetime, end: datetime) -> list[str]:
         at = following
     globs = []
     for (parent, level), names in spans.items():
-        field = level
-        below = model.TIME_COLUMNS[model.TIME_COLUMNS.index(level) + 1 :]
         alternatives = names[0] if len(names) == 1 else "{" + ",".join(names) + "}"
-        globs.append("/".join(p for p in [parent, f"{field}={alternatives}", *[f"{b}=*" for b in below]] if p))
+        globs.append("/".join(p for p in [parent, f"{level}={alternatives}"] if p))
     return globs
 
 
@@ -129,7 +125,35 @@ def tenant_rows(table: DataFrame, tenant: str) -> DataFrame:
 
 
 def replay_from(logs: DataFrame, since: str) -> DataFrame:
-    """Rows at or after an instant, given as ISO text."""
-    return logs.where(
-        timefmt.instant_order(F.col("timestamp")) >= timefmt.instant_order(F.lit(since))
-    )
+    """Rows at or after an instant, given as ISO text with any offset.
+
+    Partitions before the instant's minute are pruned where the rows have their `time`.
+    """
+    seconds, fraction = _parsed_instant(since)
+    at = datetime(1970, 1, 1) + timedelta(seconds=seconds)
+    day = f"{at.year:04d}-{at:%m-%dT%H:%M:%S}"
+    rows = logs.where(timefmt.instant_order(F.col("timestamp")) >= F.lit(day + fraction))
+    if "time" in logs.columns:
+        minute = f"year={at.year:04d}/" + f"{at:month=%m/day=%d/hour=%H/minute=%M}"
+        rows = rows.where(F.col("time") >= F.lit(minute))
+    return rows
+
+
+_INSTANT = re.compile(
+    r"(\d{4}-\d{2}-\d{2})[Tt ](\d{2}:\d{2})(?::(\d{2})(?:[.,](\d{1,9})\d*)?)?([Zz]|[+-]\d{2}(?::?\d{2})?)"
+)
+
+
+def _parsed_instant(text: str) -> tuple[int, str]:
+    """Epoch seconds of an ISO text, and nine digits of its fraction."""
+    found = _INSTANT.fullmatch(text.strip())
+    if not found:
+        raise ValueError(f"{text!r} is not an ISO instant with an offset")
+    date, minute, second, fraction, offset = found.groups()
+    at = datetime.fromisoformat(f"{date}T{minute}:{second or '00'}")
+    seconds = int((at - datetime(1970, 1, 1)) / timedelta(seconds=1))
+    if offset not in "Zz":
+        sign = -1 if offset[0] == "-" else 1
+        digits = offset[1:].replace(":", "").ljust(4, "0")
+        seconds -= sign * (int(digits[:2]) * 3600 + int(digits[2:]) * 60)
+    return seconds, (fraction or "").ljust(9, "0")

@@ -68,7 +68,7 @@ def _decode_native(df: DataFrame, value: str) -> DataFrame:
         *df.columns,
         F.col("_record.service_name").alias("service_name"),
         F.col("_record.message").alias("message"),
-        F.col("_record.log_level").alias("log_level"),
+        F.coalesce("_record.log_level", F.lit("")).alias("log_level"),
         F.coalesce("_record.timestamp.seconds", F.lit(0)).cast("bigint").alias("seconds"),
         F.coalesce("_record.timestamp.nanos", F.lit(0)).cast("int").alias("nanos"),
         F.col("_record").isNull().alias("corrupt"),
@@ -138,9 +138,11 @@ def log_rows(
 ) -> DataFrame:
     """Log rows (`message`, ISO `timestamp`, `service_name`) of decoded records.
 
-    `on_corrupt`: `fail` ends the query; `dead_letter` keeps the bytes, in base64, as the
-    message of a reserved service. `on_missing_ts`: `epoch`, `ingest_time`, or
-    `dead_letter`, which stores such records under the reserved service too.
+    Dead letters are rows of a reserved service: the whole bytes of the record, in base64,
+    are their message, so that nothing of it is lost, and the time of ingest is their time,
+    so that retention counts from there. `on_corrupt`: `dead_letter`, or `fail`, which ends
+    the query. `on_missing_ts`: `epoch`, `ingest_time` or `dead_letter`. Nanoseconds outside
+    a second are carried; a time outside the years 1 to 9999 makes a dead letter.
     `time_partitions` adds year to minute without reading the ISO text again.
     """
     one_of("on_corrupt", on_corrupt, {"fail", "dead_letter"})
@@ -152,20 +154,22 @@ def log_rows(
         corrupt = F.when(corrupt, failing).otherwise(F.lit(False))
 
     no_time = (F.col("seconds") == 0) & (F.col("nanos") == 0)
-    seconds, nanos, dead = F.col("seconds"), F.col("nanos"), corrupt
-    if on_missing_ts == "ingest_time":
-        micros = F.unix_micros(F.current_timestamp())
-        seconds = F.when(no_time, timefmt.int_div(micros, 1_000_000)).otherwise(seconds)
-        nanos = F.when(no_time, F.pmod(micros, F.lit(1_000_000)) * 1000).otherwise(nanos)
-    elif on_missing_ts == "dead_letter":
-        dead = corrupt | no_time
+    given = F.col("seconds"), F.col("nanos")
+    dead = corrupt | ~timefmt.is_storable(*given)
+    if on_missing_ts == "dead_letter":
+        dead = dead | no_time
+    micros = F.unix_micros(F.current_timestamp())
+    at_ingest = (dead | no_time) if on_missing_ts == "ingest_time" else dead
+    seconds = F.when(at_ingest, timefmt.int_div(micros, 1_000_000)).otherwise(given[0])
+    nanos = F.when(at_ingest, F.pmod(micros, F.lit(1_000_000)) * 1000).otherwise(given[1])
+    seconds, nanos = timefmt.carried(seconds, nanos)
 
     kept = [c for c in records.columns if c not in {value, *_DECODED.fieldNames()}]
     level = ["log_level"] if keep_log_level else []
     parts = timefmt.time_partitions(seconds) if time_partitions else {}
     return records.select(
         *kept,
-        F.coalesce(F.when(corrupt, F.base64(value)).otherwise(F.col("message")), F.lit("")).alias(
+        F.coalesce(F.when(dead, _base64(value)).otherwise(F.col("message")), F.lit("")).alias(
             "message"
         ),
         timefmt.iso_instant(seconds, nanos).alias("timestamp"),
@@ -177,6 +181,11 @@ def log_rows(
     )
 
 
+def _base64(value: str) -> Column:
+    """Base64 text on a single line."""
+    return F.replace(F.base64(value), F.lit("\r\n"), F.lit(""))
+
+
 def encode_records(
     df: DataFrame,
     service: Column,

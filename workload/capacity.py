@@ -185,20 +185,16 @@ def _(spark, sf):
 @query(
     "f7_latest_sink_log",
     f"WITH {derive.SINK_LOGS} SELECT arg_max(name, number) AS name, max(number) AS number, "
-    "contains(arg_max(name, number), '.compact') AS compacted FROM sink_logs WHERE tenant = '3-MEDIUM-F'",
+    "contains(arg_max(name, number), '.compact') AS compacted, tenant FROM sink_logs GROUP BY tenant",
 )
 def _(spark, sf):
-    mine = derive.sink_logs(spark, sf).where("tenant = '3-MEDIUM-F'")
-    return maintenance.latest_sink_log(maintenance.sink_log_files(mine))
+    return maintenance.latest_sink_log(maintenance.sink_log_files(derive.sink_logs(spark, sf)), by=["tenant"])
 
 
 def _log_numbers(spark, sf) -> DataFrame:
     """Each tenant's latest sink log number and whether that file is compacted."""
     files = maintenance.sink_log_files(derive.sink_logs(spark, sf))
-    return files.groupBy("tenant").agg(
-        F.max("number").alias("number"),
-        F.max_by("name", "number").contains(".compact").alias("compacted"),
-    )
+    return maintenance.latest_sink_log(files, by=["tenant"]).select("tenant", "number", "compacted")
 
 
 @query(

@@ -129,16 +129,40 @@ def wire_files(spark: SparkSession, sf_dir: str) -> str:
     )
 
 
-# Log rows as the ingest stream stores them.
+def _varint_hex(n: str) -> str:
+    """SQL of the base-128 bytes of a number below 2**35, as hex digits."""
+    cases = []
+    for length in range(1, 6):
+        bytes_ = [f"({n}) // {128**i} % 128 + {0 if i == length - 1 else 128}" for i in range(length)]
+        cases.append(f"WHEN ({n}) < {128**length} THEN printf('{'%02x' * length}', {', '.join(bytes_)})")
+    return f"CASE {' '.join(cases)} END"
+
+
+def _text_hex(key: str, text: str) -> str:
+    return f"'{key}' || {_varint_hex(f'octet_length(encode({text}))')} || hex(encode({text}))"
+
+
+_SECONDS, _NANOS = "us // 1000000", "us % 1000000 * 1000"
+_CLOCK_HEX = (
+    f"'08' || {_varint_hex(_SECONDS)} || CASE WHEN {_NANOS} = 0 THEN '' ELSE '10' || {_varint_hex(_NANOS)} END"
+)
+# A record's bytes without the last one.
+_CUT_RECORD = (
+    f"unhex(left(record, length(record) - 2)) FROM (SELECT {_text_hex('0a', 'service_name')} || "
+    f"{_text_hex('12', 'message')} || {_text_hex('1a', 'event_type')} || '22' || "
+    f"{_varint_hex('length(clock) // 2')} || clock AS record FROM (SELECT {_CLOCK_HEX} AS clock))"
+)
+
+# Log rows as the ingest stream stores them; dead letters lie at the time of ingest.
 INGESTED = (
     DENSE
     + """, ingested AS (
   SELECT event_id,
     CASE WHEN value < 1 THEN '__dead_letter__' ELSE service_name END AS service_name,
-    CASE WHEN value < 1 THEN 'corrupt' ELSE message END AS message,
-    CASE WHEN value < 2 THEN '1970-01-01T00:00:00Z' ELSE "timestamp" END AS "timestamp",
-    CASE WHEN value < 2 THEN 'year=1970/month=01/day=01/hour=00/minute=00' ELSE time END AS time
-  FROM dense)"""
+    CASE WHEN value < 1 THEN to_base64((SELECT {cut})) ELSE message END AS message,
+    CASE WHEN value < 1 THEN NULL WHEN value < 2 THEN '1970-01-01T00:00:00Z' ELSE "timestamp" END AS "timestamp",
+    CASE WHEN value < 1 THEN NULL WHEN value < 2 THEN 'year=1970/month=01/day=01/hour=00/minute=00' ELSE time END AS time
+  FROM dense)""".replace("{cut}", _CUT_RECORD)
 )
 
 

@@ -35,6 +35,16 @@ _TEXT_PARTS = _PARTS.replace("CAST(strftime(moment, '%Y') AS INTEGER)", "strftim
 # Sources
 
 
+@query(
+    "a3_replay_stored",
+    D + "SELECT service_name, message, \"timestamp\" FROM dense WHERE us >= epoch_us(TIMESTAMP '2024-01-01 00:10:00.5')",
+)
+def _(spark, sf):
+    """From the stored table, with an offset; partitions before it are not read."""
+    logs = tables.read_logs(spark, derive.stored_logs(spark, sf))
+    return tables.replay_from(logs, "2024-01-01T02:10:00.5+02:00").select("service_name", "message", "timestamp")
+
+
 @query(
     "a3_replay_from",
     L + "SELECT event_id, service_name, \"timestamp\" FROM logs "
@@ -195,16 +205,33 @@ _SEVERITY = "['emerg','alert','crit','err','warning','notice','info','debug'][us
   CASE WHEN kind <> 'raw' THEN hostname END AS hostname,
   CASE WHEN kind <> 'raw' THEN event_type END AS app_name,
   CASE WHEN kind <> 'raw' THEN CAST(event_id AS VARCHAR) END AS process_id,
-  message, kind <> 'raw' AS parsed
-FROM (SELECT *, CASE event_type WHEN 'view' THEN 'ietf' WHEN 'click' THEN 'ietf'
+  CASE WHEN kind = 'ietf' THEN 'ID' || user_id END AS message_id,
+  CASE WHEN kind = 'ietf' AND user_id % 2 = 0 THEN '[meta@1 seq="' || event_id || '" note="a] \\"b\\""]' END AS structured_data,
+  event_id % 97 = 0 AS oversized, long_message AS message, kind <> 'raw' AS parsed
+FROM (SELECT *, CASE WHEN event_id % 97 = 0 THEN message || repeat('x', 102400) ELSE message END AS long_message,
+  CASE event_type WHEN 'view' THEN 'ietf' WHEN 'click' THEN 'ietf'
   WHEN 'error' THEN 'bsd' ELSE 'raw' END AS kind FROM logs)""",
 )
 def _(spark, sf):
+    """Lines of a text file; some are longer than a receiver's buffer, some have structured data."""
     rows = derive.logs(spark, sf)
+    padding = F.when(F.col("event_id") % 97 == 0, F.repeat(F.lit("x"), 102_400)).otherwise("")
+    rows = rows.withColumn("message", F.concat("message", padding))
     priority = F.concat(F.lit("<"), F.col("user_id") % 192, F.lit(">"))
+    data = F.concat(F.lit('[meta@1 seq="'), "event_id", F.lit('" note="a] \\"b\\""]'))
     ietf = F.concat(
         priority,
-        F.concat_ws(" ", F.lit("1"), "timestamp", "hostname", "event_type", "event_id", F.lit("- -"), "message"),
+        F.concat_ws(
+            " ",
+            F.lit("1"),
+            "timestamp",
+            "hostname",
+            "event_type",
+            "event_id",
+            F.concat(F.lit("ID"), "user_id"),
+            F.when(F.col("user_id") % 2 == 0, data).otherwise("-"),
+            "message",
+        ),
     )
     bsd_time = F.date_format(F.timestamp_micros("us"), "MMM dd HH:mm:ss")
     bsd = F.concat(
@@ -257,11 +284,42 @@ def _(spark, sf):
     return rows.select(
         "event_id",
         "service_name",
-        F.when(dead, F.lit("corrupt")).otherwise(F.col("message")).alias("message"),
-        "timestamp",
+        "message",
+        F.when(~dead, F.col("timestamp")).alias("timestamp"),
     )
 
 
+@query(
+    "c1_out_of_range_time",
+    L + """SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '__dead_letter__' ELSE service_name END AS service_name,
+  CASE WHEN event_id % 3 <> 0 THEN "timestamp" END AS "timestamp" FROM logs""",
+)
+def _(spark, sf):
+    """Every third record has microseconds where its seconds belong."""
+    rows = derive.logs(spark, sf)
+    seconds = F.when(F.col("event_id") % 3 == 0, F.col("us")).otherwise(
+        timefmt.int_div(F.col("us"), 1_000_000)
+    )
+    nanos = F.pmod(F.col("us"), F.lit(1_000_000)) * 1000
+    records = wire.encode_records(rows, F.col("service_name"), F.col("message"), None, seconds, nanos)
+    decoded = wire.log_rows(wire.decode_records(records.select("event_id", "value")))
+    dead = F.col("service_name") == model.DEAD_LETTER_SERVICE
+    return decoded.select("event_id", "service_name", F.when(~dead, F.col("timestamp")).alias("timestamp"))
+
+
+@query(
+    "c2_iso_odd_nanos",
+    L + """SELECT event_id, strftime(make_timestamp(us // 1000000 * 1000000 + shift * 500000), '%Y-%m-%dT%H:%M:%S')
+  || CASE WHEN shift % 2 = 0 THEN '' ELSE '.500' END || 'Z' AS iso
+FROM (SELECT *, event_id % 9 - 4 AS shift FROM logs)""",
+)
+def _(spark, sf):
+    """Nanoseconds from two seconds before to two after the second they go with."""
+    nanos = (F.col("event_id") % 9 - 4) * 500_000_000
+    iso = timefmt.iso_instant(timefmt.int_div(F.col("us"), 1_000_000), nanos)
+    return derive.logs(spark, sf).select("event_id", iso.alias("iso"))
+
+
 _NANOS = "(us % 1000000) * 1000 + (CASE WHEN user_id > 75 THEN user_id ELSE 0 END)"
 
 
@@ -404,7 +462,20 @@ def _(spark, sf):
 )
 def _(spark, sf):
     rows = derive.table(spark, sf, "events").select("event_id", F.col("props").alias("message"))
-    return shaping.extract_json_fields(rows)
+    return shaping.extract_json_fields(rows, keys=shaping.json_keys(rows))
+
+
+@query(
+    "c10_json_many_keys",
+    """SELECT event_id, k, v FROM (SELECT event_id, unnest(['id', 'name_' || event_id]) AS k,
+  unnest([CAST(event_id AS VARCHAR), event_type]) AS v FROM events)""",
+)
+def _(spark, sf):
+    """As many keys as rows: all of them are in the map."""
+    key = F.concat(F.lit("name_"), "event_id")
+    body = F.to_json(F.map_from_arrays(F.array(F.lit("id"), key), F.array(F.col("event_id").cast("string"), "event_type")))
+    rows = derive.table(spark, sf, "events").select("event_id", body.alias("message"))
+    return shaping.extract_json_fields(rows).select("event_id", F.explode("fields").alias("k", "v"))
 
 
 @query(
@@ -637,6 +708,19 @@ def _(spark, sf):
 
 
 # At equal times the stored rows have no id to order by, so ties go by message.
+@query(
+    "h1_search_projected",
+    D + _search_sql("dense", _IN_DENSE_RANGE, "us DESC, message DESC", 60),
+)
+def _(spark, sf):
+    """Only the folders of the searched services and minutes are listed."""
+    from dataclasses import replace
+
+    p = replace(_SEARCH, start=DENSE_START, end=DENSE_END)
+    logs = tables.read_logs_projected(spark, derive.stored_logs(spark, sf), p.services, p.start, p.end)
+    return search.search(logs, p, ties=["message"])
+
+
 @query(
     "h1_search_stored_table",
     D + _search_sql("dense", _IN_DENSE_RANGE, "us DESC, message DESC", 60),
@@ -656,7 +740,7 @@ _ENTRIES = f"""WITH {derive.LINES}, marked AS (
   SELECT doc_id, line_no, line, CAST(sum(CASE WHEN regexp_matches(line, '{{pattern}}') THEN 1 ELSE 0 END)
     OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS BIGINT) AS entry
   FROM lines)
-SELECT doc_id, entry, CAST(0 AS INTEGER) AS part, count(*) AS n_lines,
+SELECT doc_id, entry, count(*) AS n_lines,
   string_agg(line, chr(10) ORDER BY line_no) AS message
 FROM marked GROUP BY doc_id, entry"""
 
@@ -673,6 +757,35 @@ def _(spark, sf):
     return entries.withColumnRenamed("file_path", "doc_id")
 
 
+@query(
+    "g5_labelled_lines",
+    f"""WITH {derive.LINES}, marked AS (
+  SELECT doc_id, line_no, line, CAST(sum(CASE WHEN regexp_matches(line, '^[A-L]') THEN 1 ELSE 0 END)
+    OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS BIGINT) AS entry
+  FROM lines)
+SELECT doc_id, CAST(line_no AS BIGINT) AS line_no, entry, line AS message,
+  row_number() OVER (PARTITION BY doc_id, entry ORDER BY line_no) - 1 AS line_in_entry FROM marked""",
+)
+def _(spark, sf):
+    """Lines of any number and length, none of them gathered."""
+    labelled = multiline.label_lines(derive.lines(spark, sf), "^[A-L]", chunk_lines=3)
+    return labelled.select(
+        F.col("file_path").alias("doc_id"), F.col("row").cast("bigint").alias("line_no"), "entry", F.col("value").alias("message"), "line_in_entry"
+    )
+
+
+@query(
+    "g5_multiline_long_entry",
+    f"""WITH {derive.LINES} SELECT doc_id % 3 AS file, CAST(0 AS BIGINT) AS entry, count(*) AS n_lines,
+  CAST(sum(length(line)) + count(*) - 1 AS BIGINT) AS n_chars FROM lines GROUP BY 1""",
+)
+def _(spark, sf):
+    """No line starts an entry, so that each of three files is one."""
+    rows = derive.lines(spark, sf).withColumn("block", F.col("file_path")).withColumn("file_path", F.col("file_path") % 3)
+    entries = multiline.group_multiline(rows, "^no such line")
+    return entries.select(F.col("file_path").alias("file"), "entry", "n_lines", F.length("message").cast("bigint").alias("n_chars"))
+
+
 @query(
     "j7_zero_padding",
     "SELECT l_orderkey, l_linenumber, lpad(CAST(l_linenumber AS VARCHAR), 2, '0') AS padded, "

@@ -330,17 +330,41 @@ def _(spark, sf):
 
 @query(
     "m2_compacted_table",
-    f"WITH {derive.DENSE} SELECT service_name, time, count(*) AS n, count(DISTINCT message) AS messages "
-    "FROM dense GROUP BY service_name, time",
+    f"WITH {derive.DENSE} SELECT service_name, time, count(*) AS n, count(DISTINCT message) AS messages, "
+    "CAST(1 AS BIGINT) AS files FROM dense GROUP BY service_name, time",
 )
 def _(spark, sf):
     target = work_folder(spark, "compacted")
     maintenance.compact_table(spark, derive.stored_logs(spark, sf), target)
-    return (
+    return _compacted(spark, target)
+
+
+def _compacted(spark, target):
+    """Rows and files of each partition."""
+    counts = (
         tables.read_logs(spark, target)
+        .withColumn("file", F.col("_metadata.file_path"))
         .groupBy("service_name", "time")
-        .agg(F.count(F.lit(1)).alias("n"), F.count_distinct("message").alias("messages"))
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.count_distinct("message").alias("messages"),
+            F.count_distinct("file").alias("files"),
+        )
     )
+    return counts
+
+
+@query(
+    "m2_compacted_twice",
+    f"WITH {derive.DENSE} SELECT service_name, time, count(*) AS n, count(DISTINCT message) AS messages, "
+    "CAST(1 AS BIGINT) AS files FROM dense GROUP BY service_name, time",
+)
+def _(spark, sf):
+    """A second run replaces what the first has written."""
+    target = work_folder(spark, "compacted")
+    for _ in range(2):
+        maintenance.compact_table(spark, derive.stored_logs(spark, sf), target)
+    return _compacted(spark, target)
 
 
 @query(

@@ -18,11 +18,10 @@ _COUNTS = (
 
 
 def _stored(spark, root: str) -> DataFrame:
-    dead = F.col("service_name") == model.DEAD_LETTER_SERVICE
-    message = F.when(dead, F.lit("corrupt")).otherwise(F.col("message"))
-    return tables.read_logs(spark, root).select(
-        "service_name", message.alias("message"), "timestamp", "time"
-    )
+    # Dead letters lie at the time of ingest.
+    living = F.col("service_name") != model.DEAD_LETTER_SERVICE
+    given = [F.when(living | F.col("service_name").isNull(), F.col(c)).alias(c) for c in ("timestamp", "time")]
+    return tables.read_logs(spark, root).select("service_name", "message", *given)
 
 
 def _counted(rows: DataFrame) -> DataFrame:
