@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import html_text, langid, licenses, mixing, neighbours, ngram_join, pieces, quality, sharding, token_counts
+from tidelog.llm import html_text, langid, licenses, mixing, neighbours, ngram_join, pieces, quality, sharding, sql, token_counts
 from tidelog.session import work_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -95,4 +95,8 @@ QUERIES: dict[str, Query] = {
     "op9_shards": op9_shards,
     "op10_token_counts": op10_token_counts,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op1_quality_rules": sql.quality_sql(),
+    "op2_mixed_sources": sql.mixing_sql(),
+    "op3_ngram_components": sql.join_sql(),
+}
