@@ -58,6 +58,7 @@ def _byte_table() -> np.ndarray:
 
 
 _TABLE = _byte_table()
+_APART = np.full(2, 32, np.uint8)
 
 
 def features(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -191,12 +192,17 @@ class Predictor:
         size = 0
 
         def add() -> None:
-            data = np.concatenate([part for _, part in block])
-            starts = np.cumsum([0, *(len(part) for _, part in block[:-1])])
+            # Spaces keep the runs of one text apart from its neighbour; they do not count.
+            data = np.concatenate([x for _, part in block for x in (_APART, part)])
+            ends = np.cumsum([len(part) + len(_APART) for _, part in block])
+            starts = np.concatenate(([0], ends[:-1]))
+            counted = np.ones(len(data), bool)
+            for k in range(len(_APART)):
+                counted[starts + k] = False
             rows = [row for row, _ in block]
             numbers = features(data)
             for k, w in enumerate(self.weights):
-                per_byte = w[numbers[0]] + w[numbers[1]] + w[numbers[2]]
+                per_byte = np.where(counted, w[numbers[0]] + w[numbers[1]] + w[numbers[2]], 0.0)
                 np.add.at(total[:, k], rows, np.add.reduceat(per_byte, starts))
 
         for row, text in enumerate(texts):
@@ -238,7 +244,9 @@ def _vectors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             b"".join(vector(piece).astype("<f4").tobytes() for piece in pieces_of(a))
             for a in _arrays(batch.column("text"))
         ]
-        yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(rows, pa.binary())], ["label", "vectors"])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("chance"), batch.column("label"), pa.array(rows, pa.binary())], ["chance", "label", "vectors"]
+        )
 
 
 def fit_languages(
@@ -260,13 +268,19 @@ def fit_languages(
         part = min(1.0, 1.2 * per_language / n)
         chosen = F.col("chance") <= F.lit(min(2**63 - 1, low + int(part * 2**64)))
         chance = chance | ((F.col("label") == label) & chosen)
-    sample = labelled.filter(chance).select("label", "text").mapInArrow(_vectors, "label string, vectors binary")
-    taken: dict[str, list[np.ndarray]] = {}
+    sample = labelled.filter(chance).mapInArrow(_vectors, "chance bigint, label string, vectors binary")
+    # The rows of each language with the lowest hashes, in whatever order they arrive.
+    taken: dict[str, list[tuple[int, bytes]]] = {}
     for row in sample.toLocalIterator():
         own = taken.setdefault(row["label"], [])
-        if len(own) < per_language:
-            own.append(np.frombuffer(row["vectors"], "<f4").reshape(-1, DIMENSIONS))
-    groups = [(label, vectors) for label, group in sorted(taken.items()) for vectors in group]
+        own.append((row["chance"], bytes(row["vectors"])))
+        if len(own) >= 2 * per_language:
+            own[:] = sorted(own)[:per_language]
+    groups = [
+        (label, np.frombuffer(vectors, "<f4").reshape(-1, DIMENSIONS))
+        for label, group in sorted(taken.items())
+        for _, vectors in sorted(group)[:per_language]
+    ]
     labels = [label for label, vectors in groups for _ in vectors]
     return train(np.concatenate([vectors for _, vectors in groups]), labels)
 
