@@ -111,20 +111,25 @@ class Machine:
 
 
 def train_machine(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, steps: int = 200) -> tuple[np.ndarray, float]:
-    """Squared-hinge support vector machine by accelerated gradient steps; y is 1 or -1."""
-    weight_of = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(x.dtype)
+    """Squared-hinge support vector machine by accelerated gradient steps; y is 1 or -1.
+
+    The bias is one more weight, of a feature that is always 1.
+    """
+    part = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(x.dtype)
     y = y.astype(x.dtype)
-    rows = np.hstack([x, np.ones((len(x), 1), x.dtype)])
     # The largest curvature bounds the step.
-    curvature = 2 * (weight_of * (rows**2).sum(1)).sum() + penalty
-    w = ahead = np.zeros(rows.shape[1], x.dtype)
+    squares = np.einsum("ij,ij->i", x, x) + 1
+    curvature = x.dtype.type(2 * (part * squares).sum() + penalty)
+    w, bias = np.zeros(x.shape[1], x.dtype), x.dtype.type(0)
+    ahead, bias_ahead = w, bias
     for step in range(steps):
-        gap = np.maximum(0, 1 - y * (rows @ ahead))
-        slope = penalty * ahead - 2 * rows.T @ (weight_of * y * gap)
-        new = ahead - slope / x.dtype.type(curvature)
-        ahead = new + x.dtype.type(step / (step + 3)) * (new - w)
-        w = new
-    return w[:-1], float(w[-1])
+        pull = part * y * np.maximum(0, 1 - y * (x @ ahead + bias_ahead))
+        new = ahead - (penalty * ahead - 2 * (pull @ x)) / curvature
+        new_bias = bias_ahead - (penalty * bias_ahead - 2 * pull.sum()) / curvature
+        push = x.dtype.type(step / (step + 3))
+        ahead, bias_ahead = new + push * (new - w), new_bias + push * (new_bias - bias)
+        w, bias = new, new_bias
+    return w, float(bias)
 
 
 @dataclass
@@ -142,17 +147,19 @@ class LanguageModel:
 
 
 def train(x: np.ndarray, labels: list[str]) -> LanguageModel:
+    """Machines of all levels from one vector per label; the vectors are scaled in place."""
     labels = np.array(labels, dtype=object)
     languages = sorted(set(labels))
     family = np.array([family_of(label) for label in labels], dtype=object)
     families = sorted(set(family))
     scale = (1 / np.maximum(x.std(0), 1e-4) if len(x) else np.ones(DIMENSIONS)).astype(np.float32)
+    x *= scale
 
     def between(names: list[str], of: np.ndarray) -> list[Machine]:
         found = []
         for a, b in combinations(names, 2):
             some = (of == a) | (of == b)
-            weights, bias = train_machine(x[some] * scale, np.where(of[some] == a, 1.0, -1.0))
+            weights, bias = train_machine(x[some], np.where(of[some] == a, 1.0, -1.0))
             found.append(Machine(a, b, weights * scale, bias))
         return found
 
@@ -250,7 +257,7 @@ def _vectors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit_languages(
-    docs: DataFrame, per_language: int = 300, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
+    docs: DataFrame, per_language: int = 200, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
 ) -> LanguageModel:
     """Learns from at most per_language rows of each language of the given rows."""
     labelled = docs.select(
