@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tidelog import model
 from tidelog.functions import keys, patterns, timefmt
 from tidelog.operators import multiline, predicates, shaping
-from tidelog.plans import search
+from tidelog.plans import collect, search
+from tidelog.session import work_folder
 from tidelog.sinks import logs as log_sink
 from tidelog.sources import files, listing, tables, wire
 from workload import derive
@@ -171,25 +172,49 @@ def _(spark, sf):
 
 @query(
     "a10_json_lines",
-    "SELECT event_id, CASE WHEN value >= 3 THEN CAST(regexp_extract(props, '\"k\": (\\d+)', 1) AS BIGINT) "
+    "SELECT CASE WHEN value >= 3 THEN CAST(regexp_extract(props, '\"k\": (\\d+)', 1) AS BIGINT) "
     "END AS k, CASE WHEN value < 3 THEN left(props, length(props) - 1) END AS corrupt_record FROM events",
 )
 def _(spark, sf):
-    # Lines of small values are cut short, so that some are no JSON.
+    """Files of lines, of which those of small values are cut short, so that some are no JSON."""
     cut = F.substring(F.col("props"), F.lit(1), F.length("props") - 1)
     lines = derive.table(spark, sf, "events").select(
-        "event_id", F.when(F.col("value") < 3, cut).otherwise(F.col("props")).alias("value")
+        F.when(F.col("value") < 3, cut).otherwise(F.col("props")).alias("value")
     )
-    return files.parse_json_lines(lines, model.schema_of("k bigint"))
+    root = derive.once(spark, sf, "json-lines", lambda folder: lines.repartition(4).write.text(folder))
+    return files.read_json_lines(spark, root, model.schema_of("k bigint")).select("k", "corrupt_record")
 
 
-@query("a11_raw_lines", f"WITH {derive.LINES} SELECT doc_id, line_no, line AS message FROM lines")
+@query(
+    "a11_raw_lines",
+    f"WITH {derive.LINES} SELECT lang, line AS message FROM lines JOIN documents USING (doc_id)",
+)
 def _(spark, sf):
-    return derive.lines(spark, sf).select(
-        F.col("file_path").alias("doc_id"),
-        F.col("row").cast("bigint").alias("line_no"),
-        F.col("value").alias("message"),
-    )
+    lines = files.read_raw_lines(spark, _text_folder(spark, sf, "none"), line_separator="\n")
+    return lines.select(F.regexp_extract("file_path", "lang=([a-z]+)/", 1).alias("lang"), "message")
+
+
+@query(
+    "a9_text_to_table",
+    L + """SELECT 'files' AS service_name, message, strftime(moment, '%Y-%m-%dT%H:%M:%SZ') AS "timestamp",
+  strftime(moment, 'year=%Y/month=%m/day=%d') AS day FROM logs""",
+)
+def _(spark, sf):
+    """Text files, parsed and stored in the partitioned table."""
+    at = F.date_format(F.timestamp_micros("us"), "yyyy-MM-dd HH:mm:ss")
+    lines = derive.logs(spark, sf).select(F.concat(at, F.lit(" - "), "message").alias("value"))
+    source = derive.once(spark, sf, "timed-lines", lambda folder: lines.repartition(4).write.text(folder))
+    pattern = r"^(?P<timestamp>\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}) - (?P<message>.*)$"
+    rows = collect.line_rows(files.read_text_lines(spark, source), pattern, "files")
+
+    # The table has a folder per service and day here: the events are spread over a month.
+    def write(root):
+        columns = ["service_name", "year", "month", "day"]
+        log_sink.write_logs(log_sink.with_time_partitions(rows).drop("hour", "minute"), root, columns)
+
+    root = derive.once(spark, sf, "text-table", write)
+    day = F.concat_ws("/", *[F.concat(F.lit(f"{c}="), c) for c in ("year", "month", "day")])
+    return spark.read.parquet(root).select("service_name", "message", "timestamp", day.alias("day"))
 
 
 # Priorities end at 191.
@@ -198,7 +223,7 @@ _SEVERITY = "['emerg','alert','crit','err','warning','notice','info','debug'][us
 
 @query(
     "a12_syslog_lines",
-    L + f"""SELECT event_id,
+    L + f"""SELECT
   CASE WHEN kind <> 'raw' THEN CAST(user_id % 192 // 8 AS INTEGER) END AS facility,
   CASE WHEN kind <> 'raw' THEN {_SEVERITY} END AS severity,
   CASE kind WHEN 'ietf' THEN "timestamp" WHEN 'bsd' THEN strftime(moment, '%b %d %H:%M:%S') END AS syslog_time,
@@ -239,7 +264,9 @@ def _(spark, sf):
     )
     kind = F.col("event_type")
     line = F.when(kind.isin("view", "click"), ietf).when(kind == "error", bsd).otherwise(F.col("message"))
-    return files.parse_syslog(rows.select("event_id", line.alias("value")))
+    lines = rows.select(line.alias("value")).repartition(4)
+    root = derive.once(spark, sf, "syslog-lines", lambda folder: lines.write.text(folder))
+    return files.read_syslog_lines(spark, root).drop("file_path", "file_name", "block", "row")
 
 
 # Sinks
@@ -399,6 +426,44 @@ def _(spark, sf):
     return shaping.normalise_message(_collected(spark, sf)).select("event_id", "message")
 
 
+@query(
+    "c5_collector_pipeline",
+    L + f"""SELECT 'logs.' || svc AS topic, svc AS service_name, event_type || ' ' || user_id AS message, "timestamp", time
+FROM (SELECT *, CASE WHEN value > 10 THEN hostname ELSE service_name END AS svc FROM logs) WHERE {_VALID}""",
+)
+def _(spark, sf):
+    """Collected events to topic and record bytes, and from these to stored rows."""
+    queued = log_sink.queue_rows(collect.event_rows(_collected(spark, sf)))
+    rows = wire.log_rows(wire.decode_records(queued))
+    time = timefmt.partition_time(timefmt.epoch_seconds(F.col("timestamp")))
+    return rows.select("topic", "service_name", "message", "timestamp", time.alias("time"))
+
+
+@query(
+    "g5_multiline_stream",
+    f"""WITH {derive.LINES}, marked AS (
+  SELECT doc_id % 8 AS file, doc_id, line_no, line, CAST(sum(CASE WHEN regexp_matches(line, '^[A-L]') THEN 1 ELSE 0 END)
+    OVER (PARTITION BY doc_id % 8 ORDER BY doc_id, line_no ROWS UNBOUNDED PRECEDING) AS BIGINT) AS entry FROM lines)
+SELECT file, entry, count(*) AS n_lines, string_agg(line, chr(10) ORDER BY doc_id, line_no) AS message
+FROM marked GROUP BY file, entry""",
+)
+def _(spark, sf):
+    """Files that arrive one by one."""
+    rows = derive.table(spark, sf, "documents").select((F.col("doc_id") % 8).alias("file"), "doc_id", "text")
+
+    def write(folder):
+        one_file_each = rows.repartition(8, "file").sortWithinPartitions("file", "doc_id")
+        one_file_each.select("file", F.col("text").alias("value")).write.partitionBy("file").text(folder)
+
+    source = derive.once(spark, sf, "stream-lines", write)
+    root = work_folder(spark, "entries")
+    lines = files.read_text_lines(spark, source, stream=True, line_separator="\n", maxFilesPerTrigger="3")
+    query_ = collect.start_entry_sink(lines, "^[A-L]", f"{root}/table", f"{root}/checkpoint")
+    query_.awaitTermination()
+    file = F.regexp_extract("file_path", r"file=(\d+)/", 1).cast("bigint").alias("file")
+    return spark.read.parquet(f"{root}/table").select(file, "entry", "n_lines", "message")
+
+
 @query(
     "c6_service_from_resources",
     L + "SELECT event_id, CASE WHEN value > 10 THEN hostname ELSE service_name END AS service_name FROM logs",

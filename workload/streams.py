@@ -90,7 +90,8 @@ def _(spark, sf):
     source = derive.wire_files(spark, sf)
     runs.run_chain(
         spark,
-        lambda admitted: _start(spark, source, root),
+        # The files hold fewer records than one trigger admits; each counts as a tenth of it.
+        lambda admitted: _start(spark, source, root, files=max(1, 10 * admitted // model.ADMISSION_MAX)),
         lambda: 8,
         f"{root}/history",
         "ABC",
