@@ -248,10 +248,12 @@ def nearest(
     found = vectors.sparkSession.read.parquet(folder)
     found_enough = found.filter(F.col("rank") == k).select("query_id")
     lacking = queries.join(found_enough, "query_id", "left_anti")
-    n_vectors = rows.count()
-    parts = F.lit(max(1, n_vectors // PART_ROWS))
+    shape = ["query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(id_col), "score"]
+    if lacking.isEmpty():
+        return found.select(*shape)
+    parts = F.lit(max(1, rows.count() // PART_ROWS))
     everywhere = distinct.withColumn("cell", F.pmod(F.xxhash64("vector"), parts))
     asked = lacking.withColumn("cell", F.explode(F.sequence(F.lit(0).cast("bigint"), (parts - 1).cast("bigint"))))
     rest = _ranked(_compared(everywhere.select("cell", "ids", "vector"), asked.select("cell", "query_id", "vector"), k + 1), k)
     whole = found.join(found_enough, "query_id", "left_semi").unionByName(rest)
-    return whole.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(id_col), "score")
+    return whole.select(*shape)
