@@ -293,17 +293,19 @@ def _differences(join: Join):
 
     kind 0: a is linked with the centre. kind 1: a token of the whole difference of a set that is
     not. kind 2: a token that any set looks up, so that it meets each such set it is linked with.
+    With `size` tokens in the difference, `left` is how many of them can still be shared when
+    this token is the first that is.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kinds, centres, sets, tokens = [], [], [], []
+            kinds, centres, sets, tokens, numbers, sizes, lefts = [], [], [], [], [], [], []
             columns = (
                 batch.column(c).to_pylist()
                 for c in ("a", "n_a", "tokens_a", "counts_a", "b", "n_b", "tokens_b", "counts_b", "n_list")
             )
-            for a, n, left, left_counts, c, m, right, right_counts, n_list in zip(*columns, strict=True):
-                x, y = np.frombuffer(left, _U), np.frombuffer(right, _U)
+            for a, n, own, own_counts, c, m, other, other_counts, n_list in zip(*columns, strict=True):
+                x, y = np.frombuffer(own, _U), np.frombuffer(other, _U)
                 new = ~np.isin(x, y, assume_unique=True)
                 gone = ~np.isin(y, x, assume_unique=True)
                 overlap = len(x) - int(new.sum())
@@ -313,8 +315,8 @@ def _differences(join: Join):
                 alone = n - len(x)
                 rarity = np.concatenate(
                     [
-                        np.frombuffer(left_counts, "<i8")[new],
-                        np.maximum(1, n_list - np.frombuffer(right_counts, "<i8")[gone]),
+                        np.frombuffer(own_counts, "<i8")[new],
+                        np.maximum(1, n_list - np.frombuffer(other_counts, "<i8")[gone]),
                     ]
                 )
                 difference = np.concatenate([x[new], y[gone]])
@@ -335,19 +337,21 @@ def _differences(join: Join):
                 if centre_alone:
                     everything.append(None)
                 if is_linked:
-                    kinds.append(0), centres.append(c), sets.append(a), tokens.append(None)
+                    rows = [(0, None, 0)]
                 else:
-                    kinds += [1] * len(everything)
-                    centres += [c] * len(everything)
-                    sets += [a] * len(everything)
-                    tokens += everything
-                kinds += [2] * len(chosen)
-                centres += [c] * len(chosen)
-                sets += [a] * len(chosen)
-                tokens += chosen
+                    rows = [(1, token, size - alone) for token in everything]
+                rows += [(2, token, size - alone - place) for place, token in enumerate(chosen)]
+                for kind, token, left in rows:
+                    kinds.append(kind)
+                    tokens.append(token)
+                    lefts.append(left)
+                centres += [c] * len(rows)
+                sets += [a] * len(rows)
+                numbers += [n] * len(rows)
+                sizes += [size] * len(rows)
+            values = (kinds, centres, sets, tokens, numbers, sizes, lefts)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(kinds, pa.int32()), pa.array(centres, pa.int64()), pa.array(sets, pa.int64()), pa.array(tokens, pa.int64())],
-                ["kind", "centre", "cid", "token"],
+                [pa.array(v, pa.int64()) for v in values], ["kind", "centre", "cid", "token", "n", "size", "left"]
             )
 
     return run
@@ -404,12 +408,21 @@ def class_links(join: Join, spark: SparkSession, texts: DataFrame, classes: Data
         .agg(F.max("n_list").alias("n_list"))
     )
     split = _with_sets(central, sets, counts=True).mapInArrow(
-        _differences(join), "kind int, centre bigint, cid bigint, token bigint"
+        _differences(join),
+        "kind bigint, centre bigint, cid bigint, token bigint, n bigint, size bigint, left bigint",
     )
     split = _written(split, "differences")
-    apart = split.filter("kind = 1").select("centre", "token", F.col("cid").alias("x"))
-    asks = split.filter("kind = 2").select("centre", "token", F.col("cid").alias("y"))
-    same = [F.col("l.centre") == F.col("r.centre"), F.col("l.token").eqNullSafe(F.col("r.token")), F.col("x") != F.col("y")]
+    apart = split.filter("kind = 1").withColumnRenamed("cid", "x")
+    asks = split.filter("kind = 2").withColumnRenamed("cid", "y")
+    # Linked sets share so much of their differences that it must still be there at the first
+    # token they meet in.
+    most = F.floor((F.col("l.n") + F.col("r.n")) * (join.bottom - join.top) / (join.bottom + join.top))
+    same = [
+        F.col("l.centre") == F.col("r.centre"),
+        F.col("l.token").eqNullSafe(F.col("r.token")),
+        F.col("x") != F.col("y"),
+        2 * F.least("l.left", "r.left") >= F.col("l.size") + F.col("r.size") - most,
+    ]
     met = apart.alias("l").join(asks.alias("r"), same).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     compared = _with_sets(near.union(met).distinct(), sets, counts=False).select(
         "a", "n_a", "tokens_a", "b", "n_b", "tokens_b"
