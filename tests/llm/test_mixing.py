@@ -87,6 +87,45 @@ def test_words_taken(documents):
     assert sorted(map(key, got)) == sorted(map(key, again.collect()))
 
 
+def test_small_and_full_sources_beside_a_huge_one(documents):
+    """Blocks far larger than the shards of a source leave none of its target out."""
+    rows = [(i, "w " * 500, "en", "a") for i in range(400)]
+    rows += [(1000 + i, "w " * (1 + i % 5), "en", "many") for i in range(640)]
+    rows += [(2000 + i, "w " * 30, "en", "medium") for i in range(200)]
+    rows += [(3000, "x y z", "en", "one"), (3001, None, "en", "none"), (3002, "u v", "en", None)]
+    names = {r[0]: r[3] for r in rows}
+    got = mixing.mix_sources(documents(rows), n_blocks=100).collect()
+    taken, target, sizes = {}, {}, {}
+    for r in got:
+        source = names[r.doc_id]
+        assert 0 <= r.taken <= 3 * r["size"]
+        taken[source] = taken.get(source, 0) + r.taken
+        sizes[source] = sizes.get(source, 0) + r["size"]
+        target[source] = r.target
+    for source in ("many", "medium", "one", "none", None):
+        assert target[source] == 3 * sizes[source] and taken[source] == target[source]
+    assert abs(taken["a"] - target["a"]) <= 1
+    # A huge source stays in whole blocks, and what small ones take by the word is not given twice.
+    got = mixing.mix_sources(documents(rows), n_blocks=2000).collect()
+    block = -(-sum(r["size"] for r in got) // 2000)
+    taken = {s: sum(r.taken for r in got if names[r.doc_id] == s) for s in sizes}
+    assert taken["a"] % block == 0 and abs(taken["a"] - target["a"]) <= block
+    assert all(taken[s] == target[s] for s in sizes if s != "a")
+
+
+def test_targets_below_half_a_block(documents):
+    """Sources that are not full either, with targets far below a block."""
+    rows = [(i, "w " * 50, "en", f"s{i:03d}") for i in range(600)] + [(1000 + i, "w " * 600, "en", "z") for i in range(100)]
+    names = {r[0]: r[3] for r in rows}
+    got = mixing.mix_sources(documents(rows), weights=(1, 2, 1000), n_blocks=300).collect()
+    taken, target = {}, {}
+    for r in got:
+        source = names[r.doc_id]
+        taken[source] = taken.get(source, 0) + r.taken
+        target[source] = r.target
+    assert all(abs(taken[s] - target[s]) <= 1 for s in taken)
+
+
 def test_mixed_documents(documents):
     docs = documents(ROWS)
     mixed = mixing.mixed_documents(docs, chars_col="n_chars", n_shards=4)

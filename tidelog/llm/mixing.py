@@ -4,10 +4,14 @@
    times its own size; what a full source cannot take is shared among the others by weight.
 2. A fixed number of equal blocks of words is apportioned to sources by highest quotients
    target / (2 s - 1), then each source's blocks to its shards by the shards' sizes.
+   A source that blocks are coarse for gets its target to the word and gives it to its shards in
+   blocks of one word: one with a target of few blocks, or with a shard so small that its quota,
+   rounded to blocks, could pass most_repeats times its size. The other sources share the rest.
 3. A shard puts its documents into a seeded order and takes its quota of blocks from a seeded
    start on, round and round: whole passes first, then a run of consecutive blocks.
 
-So each source comes within a block of its target, and a document is cut only where a run ends.
+So each source comes within a block of its target, small and full ones within a word, and a
+document is cut only where a run ends.
 Shards split a hot source: no task orders more than a shard, and only one sum per shard and
 source is apportioned.
 
@@ -23,6 +27,8 @@ from pyspark.sql import functions as F
 from tidelog.llm.words import count_words, split_words
 
 PRIME = 2**31 - 1
+# A target of fewer blocks is met to the word.
+LEAST_BLOCKS = 1000
 
 
 def _long(value: int) -> Column:
@@ -55,7 +61,7 @@ def set_targets(weighted: DataFrame, most_repeats: int = 3) -> DataFrame:
     shared = F.col("shared") * F.col("weight")
     full = F.col("shared").isNull() | (shared > F.col("capacity"))
     target = F.when(full, F.col("capacity").cast("double")).otherwise(shared)
-    return rows.select("source", "source_size", "weight", target.cast("double").alias("target"))
+    return rows.select(*weighted.columns, target.cast("double").alias("target"))
 
 
 def apportion(claims: DataFrame, group: list[str], item: list[str], claim: str, seats: str) -> DataFrame:
@@ -133,14 +139,27 @@ def mix_sources(
     rows = rows.withColumn("order", _mix_number(number, seed))
     rows = rows.withColumn("shard", F.pmod("order", _long(n_shards)).cast("int"))
     shards = rows.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"))
-    sizes = shards.groupBy("source").agg(F.sum("shard_size").alias("source_size"))
+    sizes = shards.groupBy("source").agg(
+        F.sum("shard_size").alias("source_size"),
+        F.min(F.when(F.col("shard_size") > 0, F.col("shard_size"))).alias("least_shard"),
+    )
     targets = set_targets(weigh_in_turn(sizes, weights), most_repeats)
     total = F.sum("source_size").over(Window.partitionBy())
     block = F.greatest(_long(1), F.ceil(total / n_blocks))
     targets = targets.select("*", block.alias("block"), total.alias("total"))
-    targets = targets.select("*", F.floor(F.col("total") / F.col("block")).alias("blocks"))
-    sources = apportion(targets, [], ["source"], "target", "blocks")
-    sources = sources.withColumnRenamed("quota", "source_quota")
+    # A quota is its shard's part of the target, rounded by about half a block; here a whole one
+    # has to fit below the most a shard can give.
+    room = F.col("least_shard") * (F.col("source_size") * most_repeats - F.col("target"))
+    coarse = (F.col("target") < F.col("block") * LEAST_BLOCKS) | (room < F.col("block") * F.col("source_size"))
+    by_word = (F.col("block") > 1) & coarse
+    words = F.least(F.round("target").cast("bigint"), F.col("source_size") * most_repeats)
+    targets = targets.select("*", F.when(by_word, words).alias("words"))
+    rest = F.greatest(_long(0), F.col("total") - F.coalesce(F.sum("words").over(Window.partitionBy()), _long(0)))
+    claim = F.when(F.col("words").isNull(), F.col("target")).otherwise(0.0)
+    targets = targets.select("*", claim.alias("claim"), F.floor(rest / F.col("block")).alias("blocks"))
+    sources = apportion(targets, [], ["source"], "claim", "blocks")
+    sources = sources.withColumn("source_quota", F.coalesce("words", "quota"))
+    sources = sources.withColumn("block", F.when(F.col("words").isNull(), F.col("block")).otherwise(_long(1)))
     claims = shards.alias("h").join(
         sources.alias("s"), F.col("h.source").eqNullSafe(F.col("s.source"))
     ).select("h.source", "shard", "shard_size", "source_size", "target", "block", "source_quota")
