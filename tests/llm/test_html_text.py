@@ -62,6 +62,27 @@ def test_site_templates_are_removed(spark):
     assert html_text.main_texts(pages_of(spark, few)).first().text.startswith("Acme news, every day\n\nstory")
 
 
+@pytest.mark.parametrize("copies", [4, 1000])
+def test_copies_of_a_page_are_no_template(spark, copies):
+    """Copies count once, though their markup differs; what different pages share still goes."""
+    links = "<ul><li><a href='/s'>source one</a><li><a href='/t'>source two</a></ul>"
+    rows = []
+    for i in range(copies):
+        rows.append((i, None, f"<div data-n='{i % 3}'><p>only page</p></div><div><p>its end</p></div>", "x", "y"))
+        rows.append((10000 + i, "http://c.org/", f"<article><p>story</p>{links}</article>", "x", "y"))
+    for i in range(8):
+        rows += [(20000 + i, f"http://d.org/{i}", f"<div><p>part {i}</p></div><div><p>legal</p></div>", "x", "y")] * 2
+    got = html_text.main_texts(pages_of(spark, rows)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        if r.page_id < 10000:
+            assert r.text == "only page\n\nits end"
+        elif r.page_id < 20000:
+            assert r.text == "story\n\nsource one\n\nsource two"
+        else:
+            assert r.text == f"part {r.page_id - 20000}"
+
+
 def test_empty_table(spark):
     assert html_text.main_texts(pages_of(spark, [])).count() == 0
 

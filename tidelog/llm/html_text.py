@@ -1,7 +1,8 @@
 """Main text of web pages by removal of site templates.
 
 1. Each page is parsed into its elements; every block element gets a hash of its subtree (tags and
-   text). Spark counts, per host, on how many pages a subtree stands.
+   text). Spark counts, per host, on how many different pages a subtree stands: pages with the
+   same text are copies and count once.
 2. Subtrees that stand on many pages of their host are its template, and are deleted, and so are
    elements whose tag, role or class names what is no content: menus, page headers and footers,
    sidebars, notices, adverts, forms, scripts, styles, reader comments.
@@ -15,7 +16,8 @@ few, since each stands on a given part of its pages.
 
 Cases: a NULL or empty page has no text; a NULL url, or one without a host, is of the host '';
 broken markup is read as browsers do in the main (unclosed elements end with their parents, tags
-that were never opened are ignored); repeated rows are extracted each.
+that were never opened are ignored); repeated rows are extracted each, and however many copies
+there are of a page, nothing of it is a template for that.
 """
 
 import html
@@ -250,32 +252,37 @@ def _may_be_template(element: Element) -> bool:
     return True
 
 
-def content_blocks(source: str | None) -> list[tuple[str, list[int]]]:
-    """Texts of the blocks that may be content, each with the hashes of subtrees it goes with."""
-    page = Page(source or "")
+def _content(page: Page) -> list[Block]:
+    """The blocks of what the page marks as content; all if it marks nothing."""
     kinds = {b.marked for b in page.blocks}
     kind = "article" if "article" in kinds else "main" if "main" in kinds else None
-    return [
-        (b.text, [e.hash for e in b.elements if _may_be_template(e)])
-        for b in page.blocks
-        if kind is None or b.marked == kind
-    ]
+    return [b for b in page.blocks if kind is None or b.marked == kind]
+
 
+def content_blocks(source: str | None) -> list[tuple[str, list[int]]]:
+    """Texts of the blocks that may be content, each with the hashes of subtrees it goes with."""
+    return [(b.text, [e.hash for e in b.elements if _may_be_template(e)]) for b in _content(Page(source or ""))]
 
-def subtree_hashes(source: str | None) -> set[int]:
-    """Hashes of the subtrees of a page that may be templates."""
-    return {e.hash for e in Page(source or "").elements if _may_be_template(e)}
+
+def subtree_hashes(source: str | None) -> tuple[int, set[int]]:
+    """Hash of the text of a page that may be content, and of its subtrees that may be templates."""
+    page = Page(source or "")
+    text = "\n".join(b.text for b in _content(page))
+    return xxhash.xxh64_intdigest(text) - 2**63, {e.hash for e in page.elements if _may_be_template(e)}
 
 
 def _count_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        hosts, hashes = [], []
+        hosts, texts, hashes = [], [], []
         for host, source in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
+            text, trees = subtree_hashes(source)
             # One row without a hash counts the page itself.
-            own = [None, *sorted(subtree_hashes(source))]
+            own = [None, *sorted(trees)]
             hosts += [host] * len(own)
+            texts += [text] * len(own)
             hashes += own
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64())], ["host", "hash"])
+        columns = [pa.array(hosts, pa.string()), pa.array(texts, pa.int64()), pa.array(hashes, pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, ["host", "page", "hash"])
 
 
 def _block_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,9 +304,9 @@ def host_of(url: Column) -> Column:
 def site_templates(
     pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE
 ) -> DataFrame:
-    """(host, templates): hashes of the subtrees on many pages; takes the columns host and html."""
-    rows = pages.select("host", "html").mapInArrow(_count_rows, "host string, hash bigint")
-    counts = rows.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n"))
+    """(host, templates): hashes of the subtrees on many different pages; takes the columns host and html."""
+    rows = pages.select("host", "html").mapInArrow(_count_rows, "host string, page bigint, hash bigint")
+    counts = rows.distinct().groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n"))
     n_pages = counts.filter("hash is null").select("host", F.col("n").alias("n_pages"))
     often = counts.filter(F.col("hash").isNotNull() & (F.col("n") >= least_pages)).join(n_pages, "host")
     often = often.filter(F.col("n") >= F.col("n_pages") * least_share)
