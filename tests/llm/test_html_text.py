@@ -39,6 +39,29 @@ def test_blocks(source, expected):
     assert text_of(source) == expected
 
 
+@pytest.mark.parametrize(
+    "source, expected",
+    [
+        ("<div class='layout has-sidebar'><p>a</p></div><div class='no-sidebar'>b</div>", "a\n\nb"),
+        ("<article class='hentry comments-open'><p>a</p></article>", "a"),
+        ("<article><h2 id='related-work'>a</h2><section id='share-price'>b</section><p id='ad-hoc-methods'>c</p></article>", "a\n\nb\n\nc"),
+        ("<h2 id='comments'>a</h2><div class='cheader subheader-text'>b</div><h3 class='entry-header'>c</h3>", "a\n\nb\n\nc"),
+        ("<div class='site-header'>x</div><div class='Header'>x</div><p>a</p><div class='related_posts'>x</div>", "a"),
+        # What holds the content is not dropped, whatever its name.
+        ("<div class='sidebar widget'><main><p>a</p></main></div><div>z</div>", "a"),
+        ("<form id='f'><div class='share'><article><p>the story</p></article></div></form><p>z</p>", "the story"),
+        ("<p>a long story</p><aside><article>card</article></aside>", "a long story"),
+        ("<article>a</article><div id='comments'><article>c c c c</article></div>", "a"),
+        ("<p>a post</p><div id='comments'><article>a long, long comment</article></div>", "a post"),
+        # Cards beside the text of main.
+        ("<main><h1>T</h1><p>a long story</p><article>card</article></main><article>out</article>", "T\n\na long story\n\ncard"),
+        ("<main><p>by</p><article>a long story</article></main>", "a long story"),
+    ],
+)
+def test_names_and_marks_leave_content(source, expected):
+    assert text_of(source) == expected
+
+
 def pages_of(spark, rows):
     return spark.createDataFrame(rows, "page_id bigint, url string, html string, host string, templates string").repartition(3)
 

@@ -5,9 +5,11 @@
    same text are copies and count once.
 2. Subtrees that stand on many pages of their host are its template, and are deleted, and so are
    elements whose tag, role or class names what is no content: menus, page headers and footers,
-   sidebars, notices, adverts, forms, scripts, styles, reader comments.
+   sidebars, notices, adverts, forms, scripts, styles, reader comments. Classes and ids are
+   compared as wholes. What holds the page's only main, or its only articles if they outweigh all
+   other text, is no such element, unless the articles are comments or cards.
 3. The text of what is left is taken block by block. If a page marks its content (article, else
-   main), only that counts; there, running text that other pages have too is content all the
+   main; main with its articles, if most of its text stands beside them), only that counts; there, running text that other pages have too is content all the
    same, and only recurring subtrees that consist of links are deleted.
 
 Pages are parsed once to count and once to extract. A page needs the templates of its host only
@@ -61,6 +63,8 @@ ENDS = {tag: (frozenset(a.split()), frozenset(b.split())) for tag, (a, b) in END
 NO_CONTENT = frozenset(
     "head nav footer aside form button select menu dialog svg canvas object audio video map".split()
 ) | RAW
+# Articles in these are cards or comments.
+NO_WRAPPERS = NO_CONTENT - {"form"}
 # No content unless they stand within marked content.
 PAGE_ONLY = frozenset(["header"])
 ROLES = frozenset(
@@ -73,6 +77,17 @@ NAMES = frozenset(
     "comment comments commentlist disqus reply replies respond pagination pager skip toolbar widget".split()
 )
 PAGE_NAMES = frozenset("header masthead topbar".split())
+# Usual compounds of these, as whole classes or ids.
+COMPOUNDS = frozenset(
+    "ad-banner ad-box ad-container ad-slot ad-unit ad-wrapper adsbygoogle google-ad nav-bar nav-menu main-nav "
+    "main-menu main-navigation site-nav site-navigation post-navigation side-bar left-sidebar right-sidebar "
+    "sidebar-left sidebar-right widget-area site-footer page-footer cookie-banner cookie-bar cookie-consent "
+    "cookie-notice gdpr-banner newsletter-form newsletter-signup share-buttons share-links social-links "
+    "social-share related-posts related-articles recommended-posts comment-list comment-form comments-area "
+    "comments-section comment-respond skip-link".split()
+)
+PAGE_COMPOUNDS = frozenset("site-header page-header header-note header-bar top-bar".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -82,7 +97,7 @@ _TAG = re.compile(
     re.DOTALL,
 )
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
-_NAME = re.compile(r"[a-z]+", re.IGNORECASE)
+_CARDS = re.compile("comment|reply|replies|respond|disqus|related|recommended|promo", re.IGNORECASE)
 _RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.IGNORECASE) for tag in RAW}
 
 
@@ -91,6 +106,10 @@ class Element:
     tag: str
     dropped: bool
     marked: str | None  # the kind of marked content it stands in
+    in_main: bool = False
+    number: int = -1  # place among the page's start tags
+    own_drop: bool = False  # dropped for itself, not for what it stands in
+    attributes: str = ""  # of such an element
     parts: list = field(default_factory=list)  # what its hash is made of
     length: int = 0
     in_links: int = 0
@@ -101,6 +120,7 @@ class Element:
 class Block:
     text: str
     marked: str | None
+    in_main: bool
     elements: list[Element]
 
 
@@ -117,17 +137,29 @@ def _is_no_content(tag: str, attributes: str, marked: str | None) -> bool:
             return True
         if name == "style" and re.search(r"display\s*:\s*none", value):
             return True
-        if name in ("class", "id"):
-            words = set(_NAME.findall(value))
-            if words & NAMES or not marked and words & PAGE_NAMES:
+        # Ids of headings and sections are made from their titles.
+        if name == "class" or name == "id" and tag not in HEADINGS:
+            names = set(value.replace("_", "-").split())
+            compounds = name == "class" or tag != "section"
+            if names & NAMES or compounds and names & COMPOUNDS:
+                return True
+            if not marked and (names & PAGE_NAMES or compounds and names & PAGE_COMPOUNDS):
                 return True
     return False
 
 
 class Page:
-    """The blocks of a page that may be content, and its block elements with their hashes."""
+    """The blocks of a page that may be content, and its block elements with their hashes.
+
+    The start tags numbered in `kept` are not dropped.
+    """
 
-    def __init__(self, source: str):
+    def __init__(self, source: str, kept: frozenset[int] = frozenset()):
+        self.kept = kept
+        self.n_tags = 0
+        self.has_main = False
+        # Numbers of the dropped elements that hold a main or an article.
+        self.around = {"main": set(), "article": set()}
         self.blocks: list[Block] = []
         self.elements: list[Element] = []
         self.text: list[str] = []
@@ -178,7 +210,8 @@ class Page:
             self.text = []
             if text:
                 top = self.stack[-1]
-                self.blocks.append(Block(text, top.marked, [e for e in self.stack if e.tag in BLOCKS]))
+                elements = [e for e in self.stack if e.tag in BLOCKS]
+                self.blocks.append(Block(text, top.marked, top.in_main, elements))
 
     def _open(self, tag: str, rest: str) -> None:
         if tag in ENDS_P:
@@ -192,14 +225,25 @@ class Page:
         if tag in VOID:
             return
         above = self.stack[-1]
-        marked = above.marked
-        dropped = above.dropped or _is_no_content(tag, rest, marked)
-        if not dropped:
-            if tag == "article":
-                marked = "article"
-            elif tag == "main" or "main" in rest and re.search(r"role\s*=\s*[\"']?main\b", rest):
-                marked = marked or "main"
-        self.stack.append(Element(tag, dropped, marked))
+        marked, in_main = above.marked, above.in_main
+        number = self.n_tags
+        self.n_tags += 1
+        own_drop = number not in self.kept and _is_no_content(tag, rest, marked)
+        dropped = above.dropped or own_drop
+        kind = None
+        if tag == "article":
+            kind = "article"
+        elif tag == "main" or "main" in rest and re.search(r"role\s*=\s*[\"']?main\b", rest):
+            kind = "main"
+        if kind and not dropped:
+            marked = kind if kind == "article" else marked or kind
+            in_main = in_main or kind == "main"
+            self.has_main = self.has_main or kind == "main"
+        elif kind and not own_drop:
+            around = [e for e in self.stack if e.own_drop]
+            if kind == "main" or not any(e.tag in NO_WRAPPERS or _CARDS.search(e.attributes) for e in around):
+                self.around[kind].update(e.number for e in around)
+        self.stack.append(Element(tag, dropped, marked, in_main, number, own_drop, rest if own_drop else ""))
         if rest.endswith("/") and tag not in BLOCKS:
             self._pop()
 
@@ -252,8 +296,27 @@ def _may_be_template(element: Element) -> bool:
     return True
 
 
+def _length(blocks: Iterable[Block]) -> int:
+    return sum(len(b.text) for b in blocks)
+
+
+def _parsed(source: str | None) -> Page:
+    """A page, without dropping what holds its only main, or its only articles if they outweigh other text."""
+    page = Page(source or "")
+    if page.around["main"] and not page.has_main:
+        page = Page(source, frozenset(page.around["main"]))
+    if page.around["article"] and all(b.marked != "article" for b in page.blocks):
+        other = Page(source, page.kept | page.around["article"])
+        if _length(b for b in other.blocks if b.marked == "article") > _length(page.blocks):
+            page = other
+    return page
+
+
 def _content(page: Page) -> list[Block]:
     """The blocks of what the page marks as content; all if it marks nothing."""
+    in_main = [b for b in page.blocks if b.in_main]
+    if _length(b for b in in_main if b.marked == "main") > _length(b for b in page.blocks if b.marked == "article"):
+        return in_main
     kinds = {b.marked for b in page.blocks}
     kind = "article" if "article" in kinds else "main" if "main" in kinds else None
     return [b for b in page.blocks if kind is None or b.marked == kind]
@@ -261,12 +324,12 @@ def _content(page: Page) -> list[Block]:
 
 def content_blocks(source: str | None) -> list[tuple[str, list[int]]]:
     """Texts of the blocks that may be content, each with the hashes of subtrees it goes with."""
-    return [(b.text, [e.hash for e in b.elements if _may_be_template(e)]) for b in _content(Page(source or ""))]
+    return [(b.text, [e.hash for e in b.elements if _may_be_template(e)]) for b in _content(_parsed(source))]
 
 
 def subtree_hashes(source: str | None) -> tuple[int, set[int]]:
     """Hash of the text of a page that may be content, and of its subtrees that may be templates."""
-    page = Page(source or "")
+    page = _parsed(source)
     text = "\n".join(b.text for b in _content(page))
     return xxhash.xxh64_intdigest(text) - 2**63, {e.hash for e in page.elements if _may_be_template(e)}
 
