@@ -56,6 +56,22 @@ def test_scans(documents):
     assert (span.from_word, span.to_word) == (300, 305)
 
 
+def test_repeated_notices(documents):
+    """Every copy of a short notice is found, however near the copies are."""
+    notice = "All rights reserved."
+    texts = ["\n".join([notice] * n) for n in (1, 2, 3, 2000)]
+    texts += [f"{notice} x {notice}", f"{notice} x y {notice} z {notice} {notice}", f"p 1 {notice} " * 50]
+    texts += ["Released under the MIT License. " * 3, "Licensed under CC 4.0 BY licensed under CC BY 4.0. " * 2]
+    rows = [(i, t, "en", "s") for i, t in enumerate(texts)]
+    got = {r.doc_id: r for r in licenses.scan_licenses(documents(rows)).collect()}
+    for i, text in enumerate(texts[:7]):
+        assert got[i].labels == "all-rights-reserved" and got[i].score == 1
+        places = [k for k, word in enumerate(re.findall("[a-z0-9]+", text.lower())) if word == "all"]
+        assert [(f.from_word, f.to_word) for f in got[i].findings] == [(k, k + 3) for k in places]
+    assert got[7].labels == "mit" and len(got[7].findings) == 3
+    assert got[8].labels == "cc-by"
+
+
 def test_texts_shorter_than_a_run_and_empty_tables(spark, documents):
     got = licenses.scan_licenses(documents([(1, "a b", "en", "s"), (2, "a", "en", "s")])).collect()
     assert sorted((r.doc_id, r.n_words, r.labels) for r in got) == [(1, 2, ""), (2, 1, "")]

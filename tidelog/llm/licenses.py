@@ -4,7 +4,8 @@ The words of a text are hashed in runs of k; all runs are joined to the position
 templates have them. A hit votes for the diagonal (place in the text less place in the template)
 of its template. Neighbouring diagonals, which a word more or less leads to, are merged; a merged
 diagonal is a finding if its votes and the span they cover fit the length of the template, and
-no better one overlaps it.
+no better one overlaps it. Copies of a short template may lie on neighbouring diagonals: a merged
+diagonal that spans too much is split where it goes back in the template.
 
 Besides, phrases are looked up: places where all their words stand in a row.
 
@@ -216,12 +217,20 @@ def scan_licenses(
     apart = F.col("diagonal") - F.lag("diagonal").over(order) > MERGED
     islands = by_diagonal.withColumn("starts", F.coalesce(apart.cast("int"), F.lit(0)))
     islands = islands.withColumn("island", F.sum("starts").over(order))
-    merged = islands.groupBy("row", "head", "template", "label", "n_runs", "island").agg(
+    length = F.col("n_runs") + GRAM - 1
+    most = F.ceil(length * MOST_STRETCH)
+    # A diagonal belongs to one copy; the next copy begins no later in the template than it ends.
+    whole = Window.partitionBy("row", "template", "island")
+    in_text = whole.orderBy("begin", "diagonal")
+    stretched = F.max("end").over(whole) + GRAM - F.min("begin").over(whole) > most
+    back = F.col("begin") - F.col("diagonal") <= F.lag(F.col("end") - F.col("diagonal")).over(in_text)
+    copies = islands.withColumn("next_copy", F.coalesce((stretched & back).cast("int"), F.lit(0)))
+    copies = copies.withColumn("copy", F.sum("next_copy").over(in_text))
+    merged = copies.groupBy("row", "head", "template", "label", "n_runs", "island", "copy").agg(
         F.sum("votes").alias("votes"), F.min("begin").alias("begin"), (F.max("end") + GRAM).alias("end")
     )
     share = F.least(F.col("votes") / F.col("n_runs"), F.lit(1.0))
-    length = F.col("n_runs") + GRAM - 1
-    verified = (share >= LEAST_SHARE) & (F.col("end") - F.col("begin") <= F.ceil(length * MOST_STRETCH))
+    verified = (share >= LEAST_SHARE) & (F.col("end") - F.col("begin") <= most)
     finding = F.struct(
         F.col("begin").cast("bigint").alias("from_word"),
         F.col("end").cast("bigint").alias("to_word"),
