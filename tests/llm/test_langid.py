@@ -1,5 +1,7 @@
 """Language identification: held-out accuracy, blocks and odd cases."""
 
+import random
+
 import numpy as np
 
 from tidelog.llm import langid
@@ -74,3 +76,20 @@ def test_learning_is_bounded_and_repeatable(documents):
     docs = few(documents)
     first, again = (langid.fit_languages(d, per_language=5) for d in (docs, docs.repartition(2)))
     assert all(np.allclose(a.weights, b.weights, atol=1e-3) for a, b in zip(first.machines, again.machines))
+
+
+def test_documents_of_many_languages_are_kept(documents):
+    """Where the languages are many, the winner may have lost a pair; its documents stay all the same."""
+    pick = random.Random(3)
+    own = {f"l{k}": ["".join(pick.choices("abcdefghijklmnopqrstuvwxyz", k=5)) for _ in range(20)] for k in range(9)}
+    rows = [(i, " ".join(pick.choices(own[f"l{i % 9}"], k=30)), f"l{i % 9}", "s") for i in range(360)]
+    mixed = [w for words in own.values() for w in words]
+    rows += [(1000 + i, " ".join(pick.choices(mixed, k=30)), f"l{i % 9}", "s") for i in range(400)]
+    rows += [(2000, "12 34", "l1", "s")]
+    docs = documents(rows)
+    model = langid.fit_languages(docs.filter(~langid.held_out()))
+    got = langid.predict_languages(docs, model).collect()
+    assert any(r.score < 0.5 for r in got if r.lang_pred != langid.UNDETERMINED)
+    kept = sorted(r.doc_id for r in langid.keep_languages(docs).collect())
+    assert kept == sorted(r.doc_id for r in got if r.lang_pred != langid.UNDETERMINED)
+    assert len(kept) == len(rows) - 1

@@ -335,11 +335,11 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def keep_languages(
-    docs: DataFrame, least_score: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
 ) -> DataFrame:
     """Documents whose language is found, with their own columns; the others go."""
     model = fit_languages(docs.filter(~held_out(id_col)), id_col=id_col, text_col=text_col, lang_col=lang_col)
     rows = docs.select(F.struct("*").alias("row"), _lettered(text_col))
     place = docs.columns.index(text_col)
     predicted = _predicted(rows, model, lambda batch: batch.column("row").field(place))
-    return predicted.filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least_score)).select("row.*")
+    return predicted.filter(F.col("lang_pred") != UNDETERMINED).select("row.*")
