@@ -5,7 +5,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import html_text, langid, licenses, mixing, neighbours, ngram_join, pieces, quality, sharding, sql, token_counts
+from tidelog.llm import (
+    html_text,
+    langid,
+    licenses,
+    middle,
+    mixing,
+    neighbours,
+    ngram_join,
+    pieces,
+    quality,
+    sharding,
+    sql,
+    token_counts,
+    token_files,
+)
 from tidelog.session import work_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,6 +97,20 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places and digests of every document's ids, read back from the written files."""
+    folder = work_folder(spark, "token-files")
+    index = token_files.write_token_files(
+        _table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), folder, end_id=2
+    )
+    return token_files.read_token_files(index, folder)
+
+
+def op12_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document transformed for filling in its middle, as digests."""
+    return middle.transformed_digests(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_mixed_sources": op2_mixed_sources,
@@ -94,9 +122,12 @@ QUERIES: dict[str, Query] = {
     "op8_languages": op8_languages,
     "op9_shards": op9_shards,
     "op10_token_counts": op10_token_counts,
+    "op11_token_files": op11_token_files,
+    "op12_middle": op12_middle,
 }
 SQL: dict[str, str] = {
     "op1_quality_rules": sql.quality_sql(),
     "op2_mixed_sources": sql.mixing_sql(),
     "op3_ngram_components": sql.join_sql(),
+    "op12_middle": sql.middle_sql(),
 }

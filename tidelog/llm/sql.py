@@ -121,3 +121,21 @@ named AS (SELECT a AS class_id, min(b) AS component_id FROM reach GROUP BY a)
 SELECT s.doc_id, CAST(len(s.grams) AS BIGINT) AS n_shingles, coalesce(c.class_id, s.doc_id) AS class_id,
   coalesce(m.component_id, s.doc_id) AS component_id
 FROM sets s LEFT JOIN classes c ON s.grams = c.grams LEFT JOIN named m ON c.class_id = m.class_id"""
+
+
+def middle_sql(seed: int = 1, rate: int = 90, spm: int = 20) -> str:
+    def group(number: int) -> str:
+        return f"CAST('0x' || substr(h, {1 + 8 * number}, 8) AS BIGINT)"
+
+    return f"""WITH texts AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n,
+    sha256('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+cut AS (SELECT doc_id, t, CAST(n AS BIGINT) AS n, least({group(0)} % (n + 1), {group(1)} % (n + 1)) AS a,
+    greatest({group(0)} % (n + 1), {group(1)} % (n + 1)) AS b,
+    CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR {group(2)} % 100 >= {rate} THEN 'plain'
+      WHEN {group(3)} % 100 < {spm} THEN 'spm' ELSE 'psm' END AS form FROM texts),
+pieces AS (SELECT *, substring(t, 1, a) AS p, substring(t, a + 1, b - a) AS m, substring(t, b + 1, n - b) AS s FROM cut)
+SELECT doc_id, n, form, CAST(CASE WHEN form <> 'plain' THEN a END AS BIGINT) AS prefix_chars,
+  CAST(CASE WHEN form <> 'plain' THEN b - a END AS BIGINT) AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+    ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(t) AS restored_sha256 FROM pieces"""
