@@ -11,6 +11,7 @@ from tidelog.llm import (
     licenses,
     middle,
     mixing,
+    negatives,
     neighbours,
     ngram_join,
     pieces,
@@ -111,6 +112,13 @@ def op12_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return middle.transformed_digests(_table(spark, sf_dir, "documents"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every fiftieth vector and its positives; every seventh label is moved on."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = _table(spark, sf_dir, "embeddings").withColumn("label", moved)
+    return negatives.mine_negatives(rows, F.col("id") % 50 == 0)
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_mixed_sources": op2_mixed_sources,
@@ -124,10 +132,12 @@ QUERIES: dict[str, Query] = {
     "op10_token_counts": op10_token_counts,
     "op11_token_files": op11_token_files,
     "op12_middle": op12_middle,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 SQL: dict[str, str] = {
     "op1_quality_rules": sql.quality_sql(),
     "op2_mixed_sources": sql.mixing_sql(),
     "op3_ngram_components": sql.join_sql(),
     "op12_middle": sql.middle_sql(),
+    "op13_hard_negatives": sql.negatives_sql(),
 }
