@@ -1,5 +1,7 @@
+import glob
+import os
 from dataclasses import replace
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,8 +9,17 @@ from pyspark.sql import functions as F
 from tidelog import model
 from tidelog.functions import timefmt
 from tidelog.operators import predicates, shaping
-from tidelog.plans.search import SearchParams, filter_logs, search, search_table, top_rows
+from tidelog.plans.search import (
+    MinuteWindows,
+    SearchParams,
+    filter_logs,
+    search,
+    search_in_windows,
+    search_table,
+    top_rows,
+)
 from tidelog.sinks import logs as sink
+from tidelog.sources import tiers
 
 ROWS = [
     (1, "Error: disk full", "2024-01-01T10:05:00Z", "api", "host-1"),
@@ -153,3 +164,81 @@ def test_named_groups_may_replace_columns(spark):
     df = spark.createDataFrame([("2024 - m",), ("x",)], "message string")
     rows = shaping.parse_named_groups(df, r"^(?P<year>\d{4}) - (?P<message>.*)$", text="message").collect()
     assert [(r.year, r.message, r.matched) for r in rows] == [("2024", "m", True), (None, None, False)]
+
+
+def minute_rows(n):
+    return [
+        (f"m{i}", f"2024-01-01T{10 + i // 60:02d}:{i % 60:02d}:{i * 7 % 60:02d}Z", "api" if i % 3 else "web", f"host-{i % 4}")
+        for i in range(n)
+    ]
+
+
+@pytest.fixture(scope="module")
+def hourly(spark, tmp_path_factory):
+    root = str(tmp_path_factory.mktemp("hourly") / "table")
+    rows = spark.createDataFrame(minute_rows(180), "message string, timestamp string, service_name string, hostname string")
+    sink.write_logs(sink.with_time_partitions(rows), root)
+    return root
+
+
+RANGE = SearchParams(["api", "web"], datetime(2024, 1, 1, 9, 0), datetime(2024, 1, 1, 13, 30), limit=10)
+
+
+@pytest.mark.parametrize(
+    "change",
+    [
+        {},
+        {"sort": "asc"},
+        {"limit": 1},
+        {"limit": 100},
+        {"limit": 1000},
+        {"limit": 0},
+        {"services": ["web"], "hosts": "host-1"},
+        {"text_search": "m17"},
+        {"text_search": "no such text"},
+        {"services": ["none"]},
+        {"exact_times": True, "end": datetime(2024, 1, 1, 10, 30, 20)},
+        {"end": datetime(2024, 1, 1, 8, 0)},
+    ],
+)
+def test_windows_find_what_a_whole_sort_finds(spark, hourly, change):
+    p = replace(RANGE, columns=("message", "timestamp"), **change)
+    by_windows = [tuple(r) for r in search_table(spark, hourly, p).collect()]
+    assert by_windows == [tuple(r) for r in search_table(spark, hourly, p, progressive=False).collect()]
+
+
+def test_windows_cover_the_range_once():
+    for newest in (True, False):
+        ahead = MinuteWindows(datetime(2024, 1, 1, 10, 5, 30), datetime(2024, 1, 1, 11, 7, 1), newest, 2)
+        windows = list(iter(ahead.next, None))
+        minutes = [a + timedelta(minutes=i) for a, b in windows for i in range(int((b - a).total_seconds()) // 60 + 1)]
+        assert sorted(minutes) == [datetime(2024, 1, 1, 10, 5) + timedelta(minutes=i) for i in range(63)]
+        assert [int((b - a).total_seconds()) // 60 + 1 for a, b in windows] == [2, 4, 8, 16, 32, 1]
+        assert (windows == sorted(windows, reverse=newest))
+
+
+def test_only_the_newest_files_are_read(spark, tmp_path):
+    """Files of older minutes are broken, so that whoever reads them fails."""
+    root = str(tmp_path / "table")
+    rows = spark.createDataFrame(minute_rows(60), "message string, timestamp string, service_name string, hostname string")
+    sink.write_logs(sink.with_time_partitions(rows), root)
+    for file in glob.glob(f"{root}/service_name=*/year=2024/month=01/day=01/hour=10/minute=[0-3]?/*.parquet"):
+        os.remove(os.path.join(os.path.dirname(file), f".{os.path.basename(file)}.crc"))
+        with open(file, "wb") as broken:
+            broken.write(b"no parquet")
+    p = replace(RANGE, columns=("message",))
+    assert [r.message for r in search_table(spark, root, p).collect()] == [f"m{i}" for i in range(59, 49, -1)]
+    with pytest.raises(Exception, match="(?i)parquet"):
+        search_table(spark, root, p, progressive=False).collect()
+    source = tiers.Tiered(spark, root)
+    found = search_in_windows(spark, lambda a, b: source.read(p.services, a, b), p)
+    assert [int((b - a).total_seconds()) // 60 + 1 for a, b in found.windows] == [1, 2, 4, 8]
+
+
+def test_json_fields_of_a_windowed_search(spark, tmp_path):
+    root = str(tmp_path / "table")
+    rows = [('{"user": "u%d"}' % i, f"2024-01-01T10:{i:02d}:00Z", "api", None) for i in range(20)]
+    df = spark.createDataFrame(rows, "message string, timestamp string, service_name string, hostname string")
+    sink.write_logs(sink.with_time_partitions(df), root)
+    found = search_table(spark, root, replace(RANGE, services=["api"], json_fields=True, limit=3))
+    assert [r.user for r in found.collect()] == ["u19", "u18", "u17"]

@@ -39,8 +39,28 @@ def read_logs_projected(
 
     Directories follow from services and minute range, both ends included, and are
     listed only where they lie in that range. For tables written by batch jobs: a path
-    below a streaming sink's root would not be checked against the sink's log.
+    below a streaming sink's root would not be checked against the sink's log, as
+    `tiers.Tiered` does.
     """
+    found = projected_parts(spark, root, services, start, end, extra)
+    return found if found is not None else no_logs(spark, extra)
+
+
+def no_logs(spark: SparkSession, extra: T.StructType | None = None) -> DataFrame:
+    """No rows of the log table."""
+    schema = T.StructType([*model.TABLE_SCHEMA.fields, *(extra.fields if extra else [])])
+    return spark.createDataFrame([], schema).withColumn("time", timefmt.partition_time_of_columns())
+
+
+def projected_parts(
+    spark: SparkSession,
+    root: str,
+    services: Sequence[str],
+    start: datetime,
+    end: datetime,
+    extra: T.StructType | None = None,
+) -> DataFrame | None:
+    """The rows of `read_logs_projected`, or None if there are no such directories."""
     not_empty("services", services)
     schema = T.StructType([*model.TABLE_SCHEMA.fields, *(extra.fields if extra else [])])
     names = ",".join(_directory_value(s) for s in dict.fromkeys(services))
@@ -56,7 +76,7 @@ def read_logs_projected(
             if not is_missing_path(error):
                 raise
     if not found:
-        found = [spark.createDataFrame([], schema)]
+        return None
     logs = reduce(DataFrame.unionByName, found)
     return logs.withColumn("time", timefmt.partition_time_of_columns())
 

@@ -1,12 +1,16 @@
 """Log-shaped tables derived from the given ones, and the same tables as SQL."""
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidelog import model
 from tidelog.functions import keys, timefmt
 from tidelog.session import work_folder
 from tidelog.sinks import logs as log_sink
-from tidelog.sources import wire
+from tidelog.sources import tiers, wire
+from tidelog.streaming import ingest
 
 TENANT = "ABC"
 # The clock of the freshness queries, shortly after the last event and after midnight.
@@ -95,6 +99,38 @@ def stored_logs(spark: SparkSession, sf_dir: str) -> str:
     return once(spark, sf_dir, "logs", write)
 
 
+# Minute at which the tiers of `tiered_logs` meet.
+HANDOVER = datetime(2024, 1, 1, 0, 12)
+
+
+def tiered_logs(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """Roots of a stream's table of the dense logs and of its closed tier.
+
+    The stream stores three parts: rows before the handover, which are then closed; later ones; and late
+    rows of closed minutes. A file of a batch that failed lies beside the committed ones.
+    """
+
+    def write(root: str) -> None:
+        rows = dense_logs(spark, sf_dir).select("message", "timestamp", "service_name", "hostname", "us", "event_id")
+        before = F.col("us") < F.lit(FIRST_MICROS + 12 * 60_000_000)
+        late = before & (F.col("event_id") % 10 == 0)
+        for number, part in enumerate((before & ~late, ~before, late)):
+            columns = log_sink.with_time_partitions(rows.where(part)).drop("us", "event_id")
+            columns.write.mode("append").parquet(f"{root}/source")
+            stream = spark.readStream.schema(columns.schema).parquet(f"{root}/source")
+            ingest.start_sink(stream, f"{root}/table", f"{root}/checkpoint", "tiers", trigger_seconds=None).awaitTermination()
+            if number == 0:
+                tiers.close_until(spark, f"{root}/table", f"{root}/closed", HANDOVER)
+        lost = rows.limit(1000).withColumn("message", F.lit("click of a failed batch"))
+        log_sink.write_logs(log_sink.with_time_partitions(lost).drop("us", "event_id"), f"{root}/lost")
+        # As a failed batch leaves it: files among the others that the sink's log does not know.
+        spread = spark.read.schema(model.TABLE_SCHEMA).parquet(f"{root}/lost")
+        spread.write.mode("append").partitionBy(*model.PARTITION_COLUMNS).parquet(f"{root}/table")
+
+    root = once(spark, sf_dir, "tiers", write)
+    return f"{root}/table", f"{root}/closed"
+
+
 def wire_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dense logs as record bytes: values below 1 are cut short, below 2 have no timestamp."""
     rows = dense_logs(spark, sf_dir)

@@ -11,7 +11,7 @@ from tidelog.operators import multiline, predicates, shaping
 from tidelog.plans import collect, search
 from tidelog.session import work_folder
 from tidelog.sinks import logs as log_sink
-from tidelog.sources import files, listing, tables, wire
+from tidelog.sources import files, listing, tables, tiers, wire
 from workload import derive
 from workload.registry import query
 
@@ -798,6 +798,54 @@ def search_stored(spark, sf):
     return search.search(stored, p, ties=["message"])
 
 
+@query(
+    "h1_search_progressive",
+    D + _search_sql("dense", _IN_DENSE_RANGE, "us DESC, message DESC", 60),
+)
+def _(spark, sf):
+    """Newest minutes first, in windows that double until sixty rows are found."""
+    from dataclasses import replace
+
+    p = replace(_SEARCH, start=DENSE_START, end=DENSE_END)
+    return search.search_table(spark, derive.stored_logs(spark, sf), p, ties=["message"])
+
+
+@query(
+    "h1_search_oldest_progressive",
+    D + _search_sql("dense", _IN_DENSE_RANGE, "us ASC, message ASC", 500),
+)
+def _(spark, sf):
+    from dataclasses import replace
+
+    p = replace(_SEARCH, start=DENSE_START, end=DENSE_END, sort="asc", limit=500)
+    return search.search_table(spark, derive.stored_logs(spark, sf), p, ties=["message"])
+
+
+@query(
+    "h1_search_open_day",
+    D + _search_sql("dense", _IN_DENSE_RANGE, "us DESC, message DESC", 5000),
+)
+def _(spark, sf):
+    """A stream's table with a closed tier and files that a failed batch has left."""
+    from dataclasses import replace
+
+    root, closed = derive.tiered_logs(spark, sf)
+    p = replace(_SEARCH, start=DENSE_START, end=DENSE_END, limit=5000)
+    return search.search_table(spark, root, p, closed=closed, ties=["message"])
+
+
+@query(
+    "a6_committed_scan",
+    D + "SELECT service_name, time, \"timestamp\", message FROM dense "
+    f"WHERE service_name IN ('svc-error', 'svc-click', 'svc-none') AND {_IN_DENSE_RANGE}",
+)
+def _(spark, sf):
+    """Both tiers of a stream's table, whatever else lies in its folders."""
+    root, closed = derive.tiered_logs(spark, sf)
+    rows = tiers.Tiered(spark, root, closed).read_all(["svc-error", "svc-click", "svc-none"], DENSE_START, DENSE_END)
+    return rows.select("service_name", "time", "timestamp", "message")
+
+
 # Windows, text functions
 
 
