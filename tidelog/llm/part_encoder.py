@@ -13,6 +13,7 @@ import os
 import re
 import string
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 
@@ -33,6 +34,12 @@ _BARE = re.compile(r"\S+")
 _MARKS = string.punctuation
 
 
+@cache
+def shared_encoder(path: str) -> "PartEncoder":
+    """The worker process's own encoder, which later tasks of the process go on with."""
+    return PartEncoder(path)
+
+
 class PartEncoder:
     """Encodes texts without special tokens, truncation or padding, as the library does."""
 
@@ -68,7 +75,8 @@ class PartEncoder:
         size, dropped = self.dtype.itemsize, len(end)
         for begin in range(0, len(parts), 4096):
             some = [part + end for part in parts[begin : begin + 4096]]
-            found = self.tokenizer.encode("".join(some), add_special_tokens=False).ids
+            (whole,) = self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)
+            found = whole.ids
             token_ends = np.cumsum(self.token_bytes[found])
             ends = np.cumsum(np.fromiter(map(len, map(str.encode, some)), np.int64, len(some)))
             cuts = np.searchsorted(token_ends, ends) + 1

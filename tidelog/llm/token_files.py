@@ -5,8 +5,8 @@ behind it, and the row of ids is cut into sequences of equal length. A part of t
 one folder entry of two files, each a single Arrow stream:
 
     <part>.tokens.arrow   ids: fixed_size_list<uint16 or uint32>[length]
-                          mask: fixed_size_list<uint8>[length]: 1 an id, 2 a document's last id,
-                          0 filled up behind the last document
+                          mask: fixed_size_list<bool>[length], one bit for each: false where the
+                          last sequence is filled up behind the last document
     <part>.docs.arrow     doc_id, start (within the part), n_tokens
 
 Every batch but the last holds the same number of sequences, without NULLs and with plain buffers.
@@ -40,14 +40,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.llm.batches import in_pieces
-from tidelog.llm.part_encoder import PartEncoder
+from tidelog.llm.part_encoder import shared_encoder
 from tidelog.llm.words import text_or_empty
 
 # Ids of a sequence, sequences of a batch, and bytes of text that are encoded at once.
 LENGTH = 1024
 BATCH_SEQUENCES = 256
 PIECE_BYTES = 4 << 20
-PAD, TOKEN, LAST = 0, 1, 2
 INDEX = "part int, file string, doc_id {id}, offset bigint, n_tokens bigint"
 READ = "part int, doc_id {id}, offset bigint, n_tokens bigint, ids_crc32 bigint"
 
@@ -66,28 +65,25 @@ class SequenceWriter:
         system.create_dir(os.path.dirname(path), recursive=True)
         self.length, self.dtype = length, dtype
         ids = pa.list_(pa.field("item", pa.from_numpy_dtype(dtype), nullable=False), length)
-        mask = pa.list_(pa.field("item", pa.uint8(), nullable=False), length)
+        mask = pa.list_(pa.field("item", pa.bool_(), nullable=False), length)
         self.schema = pa.schema([pa.field("ids", ids, nullable=False), pa.field("mask", mask, nullable=False)])
         self.docs_schema = pa.schema([("doc_id", id_type), ("start", pa.int64()), ("n_tokens", pa.int64())])
         self.sinks = [system.open_output_stream(f"{path}.{kind}.arrow") for kind in ("tokens", "docs")]
         self.tokens = pa.ipc.new_stream(self.sinks[0], self.schema)
         self.docs = pa.ipc.new_stream(self.sinks[1], self.docs_schema)
-        self.waiting: list[tuple[np.ndarray, np.ndarray]] = []
+        self.waiting: list[np.ndarray] = []
         self.n_waiting = self.written = 0
 
     def add(self, doc_ids: pa.Array, documents: list[np.ndarray]) -> tuple[list[int], list[int]]:
         """Adds documents, their end ids included; returns where they start and their lengths."""
         counts = [len(d) for d in documents]
         starts = (self.written + np.cumsum([0, *counts])[:-1]).tolist()
-        ids = np.concatenate(documents) if documents else np.empty(0, self.dtype)
-        mask = np.full(len(ids), TOKEN, np.uint8)
-        mask[np.cumsum(counts, dtype=np.int64) - 1] = LAST
         self.docs.write_batch(
             pa.RecordBatch.from_arrays([doc_ids, pa.array(starts, pa.int64()), pa.array(counts, pa.int64())], schema=self.docs_schema)
         )
-        self.written += len(ids)
-        self.waiting.append((ids, mask))
-        self.n_waiting += len(ids)
+        self.written += sum(counts)
+        self.waiting += documents
+        self.n_waiting += sum(counts)
         self._flush(self.length * BATCH_SEQUENCES)
         return starts, counts
 
@@ -95,25 +91,23 @@ class SequenceWriter:
         """Writes whole batches of what waits, each of `unit` ids."""
         if self.n_waiting < unit:
             return
-        ids, mask = (np.concatenate(arrays) for arrays in zip(*self.waiting, strict=True))
+        ids = np.concatenate(self.waiting)
         whole = len(ids) // unit * unit
         for begin in range(0, whole, unit):
-            self._write(ids[begin : begin + unit], mask[begin : begin + unit])
-        self.waiting = [(ids[whole:], mask[whole:])]
+            self._write(ids[begin : begin + unit], unit)
+        self.waiting = [ids[whole:]]
         self.n_waiting -= whole
 
-    def _write(self, ids: np.ndarray, mask: np.ndarray) -> None:
-        columns = [
-            pa.FixedSizeListArray.from_arrays(pa.array(values), type=field.type)
-            for values, field in zip((ids, mask), self.schema, strict=True)
-        ]
+    def _write(self, ids: np.ndarray, known: int) -> None:
+        """Writes a batch of which the first `known` ids are documents'."""
+        values = pa.array(ids), pa.array(np.arange(len(ids)) < known)
+        columns = [pa.FixedSizeListArray.from_arrays(v, type=f.type) for v, f in zip(values, self.schema, strict=True)]
         self.tokens.write_batch(pa.RecordBatch.from_arrays(columns, schema=self.schema))
 
     def close(self) -> None:
         if self.n_waiting:
-            ids, mask = (np.concatenate(arrays) for arrays in zip(*self.waiting, strict=True))
-            filled = -len(ids) % self.length
-            self._write(np.pad(ids, (0, filled)), np.pad(mask, (0, filled), constant_values=PAD))
+            ids = np.concatenate(self.waiting)
+            self._write(np.pad(ids, (0, -len(ids) % self.length)), len(ids))
         for stream in (self.tokens, self.docs, *self.sinks):
             stream.close()
 
@@ -126,7 +120,8 @@ class SequenceFile:
         docs, schema = self._stream(stem, "docs")
         self.docs = pa.Table.from_batches(docs, schema)
         self.length = self.schema.field("ids").type.list_size
-        self.flat = [tuple(c.values.to_numpy(zero_copy_only=True) for c in b.columns) for b in self.batches]
+        self.flat = [b.column("ids").values.to_numpy(zero_copy_only=True) for b in self.batches]
+        self.masks = [b.column("mask").values for b in self.batches]
         self.per_batch = self.batches[0].num_rows if self.batches else 1
 
     @staticmethod
@@ -140,17 +135,15 @@ class SequenceFile:
     def __len__(self) -> int:
         return sum(b.num_rows for b in self.batches)
 
-    def _view(self, column: int, number: int) -> np.ndarray:
-        batch, row = divmod(number, self.per_batch)
-        return self.flat[batch][column][row * self.length : (row + 1) * self.length]
-
     def ids(self, number: int) -> np.ndarray:
         """Ids of a sequence, without a copy."""
-        return self._view(0, number)
+        batch, row = divmod(number, self.per_batch)
+        return self.flat[batch][row * self.length : (row + 1) * self.length]
 
-    def mask(self, number: int) -> np.ndarray:
+    def mask(self, number: int) -> pa.BooleanArray:
         """Mask of a sequence, without a copy."""
-        return self._view(1, number)
+        batch, row = divmod(number, self.per_batch)
+        return self.masks[batch].slice(row * self.length, self.length)
 
     def document(self, start: int, n_tokens: int) -> list[np.ndarray]:
         """Views that make up a document's ids: one for each batch it lies in."""
@@ -158,7 +151,7 @@ class SequenceFile:
         views = []
         while n_tokens > 0:
             batch, at = divmod(start, unit)
-            views.append(self.flat[batch][0][at : at + n_tokens])
+            views.append(self.flat[batch][at : at + n_tokens])
             start += len(views[-1])
             n_tokens -= len(views[-1])
         return views
@@ -172,7 +165,7 @@ def _writing(tokenizer_path: str, folder: str, end_id: int, length: int):
         try:
             for batch in in_pieces(batches, "text", PIECE_BYTES):
                 if writer is None:
-                    encoder = PartEncoder(tokenizer_path)
+                    encoder = shared_encoder(tokenizer_path)
                     writer = SequenceWriter(f"{folder}/{file}", batch.column("doc_id").type, encoder.dtype, length)
                 end = np.array([end_id], encoder.dtype).tobytes()
                 encoded = encoder.encode(batch.column("text").to_pylist())
