@@ -4,6 +4,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidelog.llm import components, ngram_join, shingles
@@ -87,6 +88,8 @@ def near_copies(seed):
         (2, ngram_join.Join(3, 90, 100, frequent=1000, short_list=2)),
         (3, ngram_join.Join(2, 70, 100, frequent=3, short_list=2, least_paired=5)),
         (4, ngram_join.Join()),
+        (5, ngram_join.Join(5, 80, 100, frequent=1, short_list=2)),
+        (6, ngram_join.Join(1, 60, 100, frequent=2, short_list=2)),
     ],
 )
 def test_components_equal_brute_force(spark, documents, seed, join):
@@ -109,6 +112,54 @@ def test_one_of_each_component(documents):
     assert ids == wanted
 
 
+def entries_of(join, sets, counts):
+    """Index entries of sets of tokens, each given as a list of numbers below 2**63."""
+    kind = pa.list_(pa.struct([("token", pa.int64()), ("n_sets", pa.int64())]))
+    shared = [[{"token": t, "n_sets": counts[t]} for t in s if counts[t] > 1] for s in sets]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(range(len(sets)), pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(shared, kind)],
+        ["cid", "n", "shared"],
+    )
+    found = {}
+    for out in ngram_join._entries(join)([batch]):
+        for row in out.to_pylist():
+            found[row["cid"]] = row["entries"]
+    return found
+
+
+@pytest.mark.parametrize("top", [60, 80, 90])
+def test_linked_sets_share_an_entry(top):
+    join = ngram_join.Join(top=top, frequent=3, least_paired=5)
+    rng = random.Random(top)
+    sets = []
+    for n in [rng.randint(3, 380) for _ in range(150)]:
+        base = [rng.getrandbits(62) for _ in range(n)]
+        sets.append(base)
+        for _ in range(6):
+            edits = rng.randint(0, int(n * (100 - top) / 100) + 1)
+            kept = rng.sample(base, max(1, n - rng.randint(0, edits)))
+            sets.append(kept + [rng.getrandbits(62) for _ in range(rng.randint(0, edits))])
+    counts = {t: c if c > 1 and rng.random() < 0.9 else 2 for t, c in Counter(t for s in sets for t in s).items()}
+    found = entries_of(join, sets, counts)
+    linked = 0
+    for begin in range(0, len(sets), 7):
+        for i in range(begin, begin + 7):
+            for j in range(i + 1, begin + 7):
+                a, b = set(sets[i]), set(sets[j])
+                if 100 * len(a & b) >= top * len(a | b):
+                    linked += 1
+                    assert set(found[i]) & set(found[j])
+    assert linked > 300
+
+
+def test_entries_grow_with_a_set_and_not_with_its_square():
+    rng = random.Random(3)
+    for n in (50, 100, 200, 300):
+        tokens = [rng.getrandbits(62) for _ in range(n)]
+        found = entries_of(ngram_join.Join(), [tokens], dict.fromkeys(tokens, 1000))
+        assert 0 < len(found[0]) <= n
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id bigint, text string")
     assert ngram_join.jaccard_components(docs).count() == 0 and ngram_join.one_of_each_component(docs).count() == 0

@@ -7,8 +7,12 @@ of n tokens have at most e = n - ceil(t n) tokens outside any set it is linked w
    l of them. One shuffle of these finds the few classes of which enough tokens occur elsewhere;
    only their texts are read again.
 2. The tokens of those sets are counted. In the order of rising counts, the prefix of a set
-   indexes rare tokens alone and frequent ones in combinations of k = 2; it is extended until
-   singles, and frequent tokens less k - 1, number e + 1. Linked sets then share an index entry.
+   indexes rare tokens alone and frequent ones in combinations of k = 2. Frequent tokens fall into
+   g groups by their hash, and only two of the same group are combined. The prefix is extended until
+   singles, and frequent tokens less g, number e + 1: linked sets then share a rare token, or g + 1
+   frequent ones, of which two are in one group. So they share an index entry, and a set of n tokens
+   has about as many entries as e, not its square. Sets of about one size have the same g;
+   a set makes the entries of every size that a set linked with it may have.
 3. Short lists of the index give all their pairs. In a long list all sets are compared with the
    list's most typical set, its centre c. Sets linked with c are in one component already. For a
    set a not linked with c, a link between a and b needs their differences from c to overlap by
@@ -59,6 +63,17 @@ class Join:
     # Lists up to this length give all pairs.
     short_list: int = 32
 
+    def bands(self) -> list[tuple[int, int, int]]:
+        """Least and most size of sets whose frequent tokens are combined in the same groups, and
+        the number of these; linked sets of a band have more tokens in common than groups."""
+        found, low = [], self.least_paired
+        while low <= self.most_paired:
+            high = min(4 * low - 1, self.most_paired)
+            groups = min(int(self.outside(2 * low)) // 2, int(self.least_overlap(low)) - 1)
+            found.append((low, high, max(1, groups)))
+            low = high + 1
+        return found
+
     def least_overlap(self, n):
         """Tokens that a linked set shares with one of n tokens, at least."""
         return -(-n * self.top // self.bottom)
@@ -215,6 +230,8 @@ def _entries(join: Join):
                 mixed = scatter(np.array([mixed * _U(0xD6E8FEB86659FD93) + _U(token)], _U))[0]
         return int(mixed.astype(np.int64))
 
+    bands = join.bands()
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
@@ -235,15 +252,17 @@ def _entries(join: Join):
                 found = [entry(t) for t in tokens[: min(need, n_rare)].tolist()]
                 need -= n_rare
                 if need > 0:
-                    paired = join.least_paired <= n <= join.most_paired
-                    if paired:
-                        taken = tokens[n_rare : n_rare + need + 1].tolist()
-                        found += [entry(a, b) for a, b in combinations(taken, 2)]
-                    if (
-                        not paired
-                        or join.least_overlap(n) < join.least_paired
-                        or n * join.bottom > join.most_paired * join.top
-                    ):
+                    # Sizes of sets that this one may be linked with.
+                    smallest, largest = join.least_overlap(n), n * join.bottom // join.top
+                    combined = set()
+                    for low, high, groups in bands:
+                        if smallest <= high and low <= largest:
+                            taken = tokens[n_rare : n_rare + need + groups]
+                            group = taken % _U(groups)
+                            for g in range(groups):
+                                combined.update(combinations(taken[group == g].tolist(), 2))
+                    found += [entry(a, b) for a, b in sorted(combined)]
+                    if smallest < join.least_paired or largest > join.most_paired:
                         found += [entry(t) for t in tokens[n_rare : n_rare + need].tolist()]
                 by_hash = np.argsort(tokens)
                 out.append(
