@@ -28,9 +28,10 @@ _PART = re.compile(r"(?<=\S) (?=\S)")
 _RUNS = ("\0", "  ", "\n\n", " \n", "\n ")
 # A part that may stand for itself anywhere: no white space at its ends but one leading space,
 # or a line feed between two other characters.
-_FIT = re.compile(r"\n| ?\S(?:.*\S)?", re.DOTALL)
-_WORD = re.compile(r" \S+")
-_BARE = re.compile(r"\S+")
+_FIT = re.compile(r"\n| ?\S(?:.*\S)?", re.DOTALL).fullmatch
+# Fit parts of one word, with a leading space or without.
+_WORD = re.compile(r" \S+").fullmatch
+_BARE = re.compile(r"\S+").fullmatch
 _MARKS = string.punctuation
 
 
@@ -88,25 +89,25 @@ class PartEncoder:
 
     def _learn(self, new: set[str]) -> dict[str, bytes]:
         """Ids of parts that are not remembered yet."""
-        spaced = {part for part in new if _WORD.fullmatch(part)}
-        bare = [part for part in new - spaced if _BARE.fullmatch(part)]
+        spaced = set(filter(_WORD, new))
+        bare = list(filter(_BARE, new - spaced))
         found = dict(zip(bare, self._together(bare, "\n"), strict=True))
-        tails, stems, todo = {}, set(), []
+        tails, todo = [], set()
         for part in spaced:
             stem = part.rstrip(_MARKS)
             if len(stem) < len(part) and stem[-1:].isalpha():
-                tails[part] = stem
-                stems.add(stem)
+                tails.append((part, stem, part[len(stem) :]))
             else:
-                todo.append(part)
-        todo.extend(stems - self.known.keys() - spaced.difference(tails))
-        found.update(zip(todo, self._together(todo), strict=True))
-        marks = {part[len(stem) :] for part, stem in tails.items()}
-        found.update((mark, self._whole(mark)) for mark in marks - self.known.keys())
-        for part, stem in tails.items():
-            mark = part[len(stem) :]
-            first = found[stem] if stem in found else self.known[stem]
-            found[part] = first + (found[mark] if mark in found else self.known[mark])
+                todo.add(part)
+        # Not `-`, which would go through all that is known.
+        todo |= {stem for _, stem, _ in tails}.difference(self.known)
+        listed = list(todo)
+        found.update(zip(listed, self._together(listed), strict=True))
+        marks = {mark for _, _, mark in tails}.difference(self.known)
+        found.update((mark, self._whole(mark)) for mark in marks)
+        for part, stem, mark in tails:
+            first = found.get(stem) or self.known[stem]
+            found[part] = first + (found.get(mark) or self.known[mark])
         found.update((part, self._whole(part)) for part in new.difference(found))
         return found
 
@@ -116,7 +117,7 @@ class PartEncoder:
         self.left -= PART_COST * len(found) + sum(map(len, found)) + sum(map(len, found.values()))
 
     def _forget(self, found: dict[str, bytes]) -> None:
-        for part in [p for p in found if len(p) > LONGEST_PART or not _FIT.fullmatch(p)]:
+        for part in [p for p in found if len(p) > LONGEST_PART or not p.strip() == p.removeprefix(" ") and not _FIT(p)]:
             self.left += PART_COST + len(part) + len(self.known.pop(part))
         if self.left < 0:
             self.known = {part: self.known[part] for part in self.again if part in self.known}
@@ -143,14 +144,11 @@ class PartEncoder:
             return None
         return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
 
-    def _any_parts(self, text: str) -> list[str]:
+    @staticmethod
+    def _any_parts(text: str) -> list[str]:
         """Parts of any text: it is parted only at single spaces between two other characters."""
-        parts = []
-        for piece in self._slices(text):
-            first, *rest = _PART.split(piece)
-            parts.append(first)
-            parts.extend(" " + part for part in rest)
-        return parts
+        first, *rest = _PART.split(text)
+        return [first, *(" " + part for part in rest)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, one after the other in little-endian order."""
@@ -160,19 +158,28 @@ class PartEncoder:
             if any(token in text for token in self.added):
                 split.append(self._whole(text))
                 continue
+            if len(text) > 2 * SLICE_CHARS:
+                pieces = list(self._slices(text))
+                if len(pieces) > 1:
+                    split.append(b"".join(ids for piece in pieces for ids in self.encode([piece])))
+                    continue
             words = self._words(text)
-            split.append(self._any_parts(text) if words is None else words)
+            split.append(words or [])
             if words is not None:
                 plain.append(place)
-        new = set().union(*(split[place] for place in plain)).difference(self.known)
-        odd = {part for part in new if not _FIT.fullmatch(part)}
+        every = set().union(*(split[place] for place in plain))
+        odd = {p for p in every.difference(self.known) if not (p[:1] == " " and _BARE(p, 1) or _FIT(p))}
         if odd:
-            for place in plain:
-                if not odd.isdisjoint(split[place]):
-                    split[place] = self._any_parts(texts[place])
-        every = set().union(*(parts for parts in split if isinstance(parts, list)))
+            plain = [place for place in plain if odd.isdisjoint(split[place])]
+            every = set().union(*(split[place] for place in plain))
+        fine = set(plain)
+        for place, parts in enumerate(split):
+            if place not in fine and isinstance(parts, list):
+                split[place] = self._any_parts(texts[place])
+                every.update(split[place])
         new = every.difference(self.known)
-        self.again |= every - new
+        if self.left < REMEMBERED_BYTES // 4:
+            self.again |= every - new
         found = self._learn(new)
         self._remember(found)
         look_up = self.known.__getitem__
