@@ -83,3 +83,20 @@ def test_probes_come_by_their_cost():
     assert {frozenset(s) for s in got} == {frozenset(s) for s in every} and len(got) == 27
     costs = [sum(cost[s] for s in steps) for steps in got]
     assert costs == sorted(costs) and costs == pytest.approx(heapq.nsmallest(27, (sum(cost[s] for s in e) for e in every)))
+
+
+@pytest.mark.parametrize("part_rows", [16, 2048])
+def test_multiples_of_a_vector_are_ranked_by_id(spark, monkeypatch, part_rows):
+    monkeypatch.setattr(neighbours, "PART_ROWS", part_rows)
+    rng = np.random.default_rng(11)
+    base = rng.normal(size=16)
+    rows = [(0, base.tolist(), "c", 1)] + [(i, (base * rng.uniform(0.1, 9)).tolist(), "c", 1) for i in range(1, 90)]
+    rows += [(100 + i, rng.normal(size=16).tolist(), "c", 1) for i in range(200)]
+    rng.shuffle(rows)
+    table = spark.createDataFrame(
+        [(int(i), [float(v) for v in x], c, int(n)) for i, x, c, n in rows], "vec_id bigint, embedding array<double>, cell string, ids int"
+    )
+    got = answers(neighbours.nearest(table.repartition(4), F.col("id") % 50 == 0))
+    assert [i for _, i, _ in got[0]] == [1, 2, 3, 4, 5]
+    assert [i for _, i, _ in got[50]] == [0, 1, 2, 3, 4]
+    assert all(s == pytest.approx(1, abs=1e-12) and s <= 1 for _, _, s in got[0])

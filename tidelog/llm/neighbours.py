@@ -14,8 +14,8 @@ On vectors without any structure a search has to look at much of the table to fi
 neighbours: the defaults do so. Clustered vectors need far fewer probes.
 
 Cases: vectors that are NULL, empty, zero, hold NULL or non-finite components, or have another
-length than most, neither ask nor answer; ids that are NULL take no part; copies of a vector are
-ranked by id; fewer candidates than asked for give all of them; an empty table gives no rows.
+length than most, neither ask nor answer; ids that are NULL take no part; copies and multiples of a
+vector, and all others of one cosine (to twelve digits), are ranked by id; fewer candidates than asked for give all of them; an empty table gives no rows.
 """
 
 import heapq
@@ -32,6 +32,8 @@ from tidelog.session import work_folder
 
 # Vectors, and queries, that are compared at once.
 PART_ROWS = 2048
+# Cosines that agree in so many digits are equal: those of multiples of a vector differ in the last bits.
+EQUAL_DIGITS = 12
 _U = np.uint64
 
 
@@ -145,14 +147,18 @@ def _best_of_cell(k: int):
         q = np.frombuffer(b"".join(queries["vector"]), "<f8").reshape(len(queries), -1)
         scores = (q @ x.T) / (np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1))
         taken = min(k, scores.shape[1])
-        best = np.argpartition(-scores, taken - 1, axis=1)[:, :taken]
-        rows = np.repeat(np.arange(len(q)), taken)
         ids = vectors["ids"].to_numpy()
+        # Equal scores come by the smallest id, all in one number.
+        later = np.empty(len(x), np.int64)
+        later[np.argsort(np.array([own[0] for own in ids]), kind="stable")] = np.arange(len(x))
+        key = np.rint(scores * 10.0**EQUAL_DIGITS).astype(np.int64) * len(x) - later
+        best = np.argpartition(-key, taken - 1, axis=1)[:, :taken]
+        rows = np.repeat(np.arange(len(q)), taken)
         return pd.DataFrame(
             {
                 "query_id": queries["query_id"].to_numpy()[rows],
                 "ids": ids[best.ravel()],
-                "score": scores[rows, best.ravel()],
+                "score": np.clip(scores[rows, best.ravel()], -1, 1),
             }
         )
 
@@ -207,7 +213,7 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
     """The k best ids of each query: highest score first, ties by id."""
     merged = found.groupBy("query_id", "ids").agg(F.max("score").alias("score"))
     rows = merged.select("query_id", "score", F.explode("ids").alias("id")).filter("id != query_id")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", EQUAL_DIGITS)), "id")
     return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
