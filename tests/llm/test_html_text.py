@@ -1,7 +1,9 @@
 """Main texts of pages."""
 
 import html
+import random
 import re
+import time
 
 import pytest
 
@@ -9,7 +11,7 @@ from tidelog.llm import html_text
 
 
 def text_of(source):
-    return "\n\n".join(t for t, _ in html_text.content_blocks(source))
+    return "\n\n".join(html_text.content_blocks(source)[0])
 
 
 @pytest.mark.parametrize(
@@ -119,3 +121,55 @@ def test_given_pages(spark, sf_dir):
         blocks = [" ".join(html.unescape(re.sub("<[^>]*>", "", b)).split()) for b in marked.split("\x00")]
         expected = "\n\n".join(b for b in blocks if b)
         assert got[page.page_id].text == expected and got[page.page_id].n_chars == len(expected)
+
+
+@pytest.mark.parametrize(
+    "source, expected",
+    [
+        ("<article><p>See <a href=/it's>the report</a> of the <b>day</b>.</p><p>It's out.</p><p>End</p></article>", "See the report of the day.|It's out.|End"),
+        ("<article><p title='a > b' class=x>one</p><p title=\"it's > \" >two</p></article>", "one|two"),
+        ("<article><p data-x= 'q' y=a=b' z>one</p>it's<p>two</p></article>", "one|it's|two"),
+        ("<article><p x= >one</p><p don't>two isn't</p></article>", "one|two isn't"),
+        ("<article><p>one</p><p class=\"never closed>two</p></article>", "one|two"),
+    ],
+)
+def test_quotes_open_values_only_behind_an_equals_sign(source, expected):
+    assert text_of(source) == expected.replace("|", "\n\n")
+
+
+@pytest.mark.parametrize("start, end", [("<div>x", ""), ("<ul><li>x", ""), ("<b>x<p>", "</i></section>"), ("<section><h2>x</h2>", "</p>")])
+def test_deep_pages_take_linear_time(start, end):
+    def seconds(n):
+        begin = time.process_time()
+        texts, own, hashes, around = html_text.content_blocks(start * n + "end" + end * n)
+        html_text.subtree_hashes(start * n + end * n)
+        assert len(texts) >= n and len(hashes) == len(around) and max(own) < len(hashes)
+        assert all(outer < place for place, outer in enumerate(around))
+        return time.process_time() - begin
+
+    small = max(seconds(10_000), 0.2)
+    assert seconds(100_000) < 40 * small
+
+
+def test_templates_of_random_pages_equal_a_plain_count(spark):
+    """Subtrees are counted over different pages and taken out by a plain reading of the tree."""
+    rng = random.Random(4)
+    menus = [f"<div><p>menu {i}</p><ul><li>a {i}</li><li>b {i}</li></ul></div>" for i in range(6)]
+    bodies = [[rng.choice(menus) for _ in range(3)] + [f"<div><p>own {i}</p></div>"] for i in range(60)]
+    for body in bodies:
+        rng.shuffle(body)
+    rows = [(i, f"http://h{i % 2}.example/{i}", "".join(body)) for i, body in enumerate(bodies)]
+    rows += [(100 + i, "http://h0.example/copy", rows[0][2]) for i in range(30)]
+    expected = {}
+    for number, url, source in rows:
+        host = url.split("/")[2]
+        same = {r[2] for r in rows if r[1].split("/")[2] == host}
+        kept = []
+        for piece in source.replace("</div>", "</div>|").split("|")[:-1]:
+            n = sum(piece in other for other in same)
+            if not (n >= html_text.LEAST_PAGES and n >= html_text.LEAST_SHARE * len(same)):
+                kept += [p for p in re.sub("<[^>]*>", "|", piece).split("|") if p]
+        expected[number] = "\n\n".join(kept)
+    pages = spark.createDataFrame(rows, "page_id int, url string, html string").repartition(3)
+    got = {r.page_id: r.text for r in html_text.main_texts(pages).collect()}
+    assert got == expected and any("menu" not in t for t in got.values())

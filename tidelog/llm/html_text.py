@@ -24,6 +24,7 @@ there are of a page, nothing of it is a template for that.
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -91,7 +92,8 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>"
+    # A quote opens a value only behind an equals sign; a value without quotes ends at white space.
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|(?![\"'])[^\s>]*+))*+)>"
     r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)"
     r"|<[!?/][^>]*(?:>|\Z)",
     re.DOTALL,
@@ -114,6 +116,8 @@ class Element:
     length: int = 0
     in_links: int = 0
     hash: int | None = None
+    above: "Element | None" = None  # the block element it stands in
+    node: int | None = None  # its place, or that of the nearest above it, among what may be a template
 
 
 @dataclass
@@ -121,7 +125,7 @@ class Block:
     text: str
     marked: str | None
     in_main: bool
-    elements: list[Element]
+    element: Element | None  # the block element it stands in
 
 
 def _is_no_content(tag: str, attributes: str, marked: str | None) -> bool:
@@ -164,6 +168,7 @@ class Page:
         self.elements: list[Element] = []
         self.text: list[str] = []
         self.stack = [Element("", False, None)]
+        self.n_open: Counter[str] = Counter()
         self._parse(source)
 
     def _parse(self, source: str) -> None:
@@ -210,8 +215,11 @@ class Page:
             self.text = []
             if text:
                 top = self.stack[-1]
-                elements = [e for e in self.stack if e.tag in BLOCKS]
-                self.blocks.append(Block(text, top.marked, top.in_main, elements))
+                self.blocks.append(Block(text, top.marked, top.in_main, self._block_element()))
+
+    def _block_element(self) -> Element | None:
+        top = self.stack[-1]
+        return top if top.tag in BLOCKS else top.above
 
     def _open(self, tag: str, rest: str) -> None:
         if tag in ENDS_P:
@@ -243,11 +251,15 @@ class Page:
             around = [e for e in self.stack if e.own_drop]
             if kind == "main" or not any(e.tag in NO_WRAPPERS or _CARDS.search(e.attributes) for e in around):
                 self.around[kind].update(e.number for e in around)
-        self.stack.append(Element(tag, dropped, marked, in_main, number, own_drop, rest if own_drop else ""))
+        element = Element(tag, dropped, marked, in_main, number, own_drop, rest if own_drop else "", above=self._block_element())
+        self.stack.append(element)
+        self.n_open[tag] += 1
         if rest.endswith("/") and tag not in BLOCKS:
             self._pop()
 
     def _end_open(self, tags: frozenset, parents: frozenset) -> None:
+        if not any(self.n_open[tag] for tag in tags):
+            return
         for depth in range(len(self.stack) - 1, 0, -1):
             tag = self.stack[depth].tag
             if tag in tags:
@@ -262,6 +274,8 @@ class Page:
     def _close(self, tag: str) -> None:
         if tag in BLOCKS:
             self._end_block()
+        if not self.n_open[tag]:
+            return
         for depth in range(len(self.stack) - 1, 0, -1):
             open_tag = self.stack[depth].tag
             if open_tag == tag:
@@ -274,6 +288,7 @@ class Page:
 
     def _pop(self) -> None:
         element = self.stack.pop()
+        self.n_open[element.tag] -= 1
         above = self.stack[-1]
         above.length += element.length
         above.in_links += element.length if above.tag == "a" else element.in_links
@@ -322,9 +337,28 @@ def _content(page: Page) -> list[Block]:
     return [b for b in page.blocks if kind is None or b.marked == kind]
 
 
-def content_blocks(source: str | None) -> list[tuple[str, list[int]]]:
-    """Texts of the blocks that may be content, each with the hashes of subtrees it goes with."""
-    return [(b.text, [e.hash for e in b.elements if _may_be_template(e)]) for b in _content(_parsed(source))]
+def content_blocks(source: str | None) -> tuple[list[str], list[int], list[int], list[int]]:
+    """Texts of the blocks that may be content, and the subtrees they go with.
+
+    Each block has the place of the nearest subtree around it that may be a template, or -1; the
+    subtrees have their hashes and the place of the next one around them, which comes before them.
+    """
+    texts, own, hashes, around = [], [], [], []
+    for block in _content(_parsed(source)):
+        path, element = [], block.element
+        while element is not None and element.node is None:
+            path.append(element)
+            element = element.above
+        node = -1 if element is None else element.node
+        for inner in reversed(path):
+            if _may_be_template(inner):
+                hashes.append(inner.hash)
+                around.append(node)
+                node = len(hashes) - 1
+            inner.node = node
+        texts.append(block.text)
+        own.append(node)
+    return texts, own, hashes, around
 
 
 def subtree_hashes(source: str | None) -> tuple[int, set[int]]:
@@ -349,13 +383,28 @@ def _count_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _block_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = (pa.string(), pa.int32(), pa.int64(), pa.int32())
     for batch in batches:
         pages = [content_blocks(source) for source in batch.column("html").to_pylist()]
-        texts = pa.array([[text for text, _ in blocks] for blocks in pages], pa.list_(pa.string()))
-        trees = pa.array([[trees for _, trees in blocks] for blocks in pages], pa.list_(pa.list_(pa.int64())))
+        lists = [pa.array([page[i] for page in pages], pa.list_(kind)) for i, kind in enumerate(kinds)]
         rest = [batch.column(n) for n in batch.schema.names if n != "html"]
         names = [n for n in batch.schema.names if n != "html"]
-        yield pa.RecordBatch.from_arrays([*rest, texts, trees], [*names, "texts", "trees"])
+        yield pa.RecordBatch.from_arrays([*rest, *lists], [*names, "texts", "own", "hashes", "around"])
+
+
+def _without_templates(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Joins the blocks of each page that stand in no template of its host."""
+    for batch in batches:
+        found = []
+        columns = (batch.column(c).to_pylist() for c in ("texts", "own", "hashes", "around", "templates"))
+        for texts, own, hashes, around, templates in zip(*columns, strict=True):
+            if templates:
+                known, gone = set(templates), []
+                for tree, outer in zip(hashes, around, strict=True):
+                    gone.append(tree in known or outer >= 0 and gone[outer])
+                texts = [text for text, node in zip(texts, own, strict=True) if node < 0 or not gone[node]]
+            found.append("\n\n".join(texts))
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("url"), pa.array(found, pa.string())], ["id", "url", "text"])
 
 
 def host_of(url: Column) -> Column:
@@ -395,22 +444,16 @@ def main_texts(
     kind = rows.schema["id"].dataType.simpleString()
     templates = site_templates(rows, least_pages, least_share)
     blocks = rows.mapInArrow(
-        _block_rows, f"id {kind}, url string, host string, texts array<string>, trees array<array<bigint>>"
+        _block_rows,
+        f"id {kind}, url string, host string, texts array<string>, own array<int>, hashes array<bigint>, around array<int>",
     )
     # Pages without a doubtful block need no templates: they are dealt out by themselves.
-    doubtful = F.exists("trees", lambda t: F.size(t) > 0)
     alone = F.concat(F.lit("/"), F.xxhash64("id", "url", F.size("texts")).cast("string"))
-    keyed = blocks.withColumn("key", F.when(doubtful, F.col("host")).otherwise(alone))
+    keyed = blocks.withColumn("key", F.when(F.size("hashes") > 0, F.col("host")).otherwise(alone))
     joined = keyed.join(templates.select(F.col("host").alias("key"), "templates"), "key", "left")
-    pairs = F.zip_with("texts", "trees", lambda text, own: F.struct(text.alias("text"), own.alias("own")))
-    kept = F.when(
-        F.col("templates").isNull(), F.col("texts")
-    ).otherwise(
-        F.transform(
-            F.filter(pairs, lambda b: ~F.arrays_overlap(b["own"], F.col("templates"))), lambda b: b["text"]
-        )
+    done = joined.select("id", "url", "texts", "own", "hashes", "around", "templates").mapInArrow(
+        _without_templates, f"id {kind}, url string, text string"
     )
-    text = F.array_join(kept, "\n\n")
-    return joined.select(F.col("id").alias(id_col), F.col("url").alias(url_col), text.alias("text")).select(
+    return done.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text").select(
         "*", F.length("text").cast("bigint").alias("n_chars")
     )
