@@ -110,3 +110,11 @@ def encoded_with_seconds(spark, seconds):
 def test_unknown_mode_is_refused(spark):
     with pytest.raises(ValueError, match="on_corrupt"):
         log_row(spark, b"", on_corrupt="ignore")
+
+
+def test_the_plan_of_log_rows_stays_short(spark):
+    """Steps that are used more than once are not written out again at each use."""
+    records = spark.createDataFrame([(b"",)], "value binary")
+    for missing in ("epoch", "ingest_time", "dead_letter"):
+        rows = wire.log_rows(wire.decode_records(records, native=False), on_missing_ts=missing, time_partitions=True)
+        assert len(rows._jdf.queryExecution().optimizedPlan().toString()) < 6000

@@ -58,6 +58,11 @@ def iso_instant(seconds: Column, nanos: Column) -> Column:
     Nanoseconds outside a second are carried; NULL outside the years 1 to 9999.
     """
     seconds, nanos = carried(seconds, nanos)
+    return iso_of_date(utc_date(seconds), seconds, nanos)
+
+
+def iso_of_date(date: Column, seconds: Column, nanos: Column) -> Column:
+    """The same text where the date is known and the nanoseconds are inside a second."""
     fraction = (
         F.when(nanos == 0, F.lit(""))
         .when(nanos % 1_000_000 == 0, F.concat(F.lit("."), zero_pad(int_div(nanos, 1_000_000), 3)))
@@ -65,7 +70,7 @@ def iso_instant(seconds: Column, nanos: Column) -> Column:
         .otherwise(F.concat(F.lit("."), zero_pad(nanos, 9)))
     )
     return F.concat(
-        utc_date(seconds).cast("string"),
+        date.cast("string"),
         F.lit("T"),
         zero_pad(_hour(seconds)),
         F.lit(":"),
@@ -97,9 +102,9 @@ def instant_order(iso_text: Column) -> Column:
     return F.concat(F.substring(iso_text, 1, 19), F.rpad(fraction, 9, "0"))
 
 
-def time_partitions(seconds: Column) -> dict[str, Column]:
-    """`year` as integer; month, day, hour and minute as two-digit text."""
-    date = utc_date(seconds)
+def time_partitions(seconds: Column, date: Column | None = None) -> dict[str, Column]:
+    """`year` as integer; month, day, hour and minute as two-digit text; `date` is the instant's, if known."""
+    date = utc_date(seconds) if date is None else date
     return {
         "year": F.year(date),
         "month": zero_pad(F.month(date)),

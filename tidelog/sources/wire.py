@@ -153,27 +153,32 @@ def log_rows(
         failing = F.raise_error(F.lit("corrupt log record")).cast("boolean")
         corrupt = F.when(corrupt, failing).otherwise(F.lit(False))
 
+    # Every step is used more than once, so that Spark keeps it as a projection of its own and
+    # does not write it out again at each use.
     no_time = (F.col("seconds") == 0) & (F.col("nanos") == 0)
-    given = F.col("seconds"), F.col("nanos")
-    dead = corrupt | ~timefmt.is_storable(*given)
+    dead = corrupt | ~timefmt.is_storable(F.col("seconds"), F.col("nanos"))
     if on_missing_ts == "dead_letter":
         dead = dead | no_time
     micros = F.unix_micros(F.current_timestamp())
-    at_ingest = (dead | no_time) if on_missing_ts == "ingest_time" else dead
-    seconds = F.when(at_ingest, timefmt.int_div(micros, 1_000_000)).otherwise(given[0])
-    nanos = F.when(at_ingest, F.pmod(micros, F.lit(1_000_000)) * 1000).otherwise(given[1])
-    seconds, nanos = timefmt.carried(seconds, nanos)
+    at_ingest = (F.col("_dead") | no_time) if on_missing_ts == "ingest_time" else F.col("_dead")
+    rows = records.withColumn("_dead", dead).withColumns(
+        {
+            "_seconds": F.when(at_ingest, timefmt.int_div(micros, 1_000_000)).otherwise(F.col("seconds")),
+            "_nanos": F.when(at_ingest, F.pmod(micros, F.lit(1_000_000)) * 1000).otherwise(F.col("nanos")),
+        }
+    )
+    seconds, nanos = timefmt.carried(F.col("_seconds"), F.col("_nanos"))
+    rows = rows.withColumns({"_seconds": seconds, "_nanos": nanos})
+    rows = rows.withColumn("_date", timefmt.utc_date(F.col("_seconds")))
 
     kept = [c for c in records.columns if c not in {value, *_DECODED.fieldNames()}]
     level = ["log_level"] if keep_log_level else []
-    parts = timefmt.time_partitions(seconds) if time_partitions else {}
-    return records.select(
+    parts = timefmt.time_partitions(F.col("_seconds"), F.col("_date")) if time_partitions else {}
+    return rows.select(
         *kept,
-        F.coalesce(F.when(dead, _base64(value)).otherwise(F.col("message")), F.lit("")).alias(
-            "message"
-        ),
-        timefmt.iso_instant(seconds, nanos).alias("timestamp"),
-        F.when(dead, F.lit(model.DEAD_LETTER_SERVICE))
+        F.coalesce(F.when(F.col("_dead"), _base64(value)).otherwise(F.col("message")), F.lit("")).alias("message"),
+        timefmt.iso_of_date(F.col("_date"), F.col("_seconds"), F.col("_nanos")).alias("timestamp"),
+        F.when(F.col("_dead"), F.lit(model.DEAD_LETTER_SERVICE))
         .otherwise(F.coalesce("service_name", F.lit("")))
         .alias("service_name"),
         *level,

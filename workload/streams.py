@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tidelog import model
 from tidelog.session import work_folder
-from tidelog.sources import tables
+from tidelog.sources import records, tables, wire
 from tidelog.streaming import ingest, runs
 from workload import derive
 from workload.registry import query
@@ -172,3 +172,79 @@ def _(spark, sf):
         records.where(part).select("value").write.mode("append").parquet(f"{root}/source")
         runs.run_streams({"ingest": lambda n: _start(spark, f"{root}/source", root, n)})
     return _counted(_stored(spark, f"{root}/logs"))
+
+
+def _record_log(spark, sf) -> tuple[str, int]:
+    """Index of the record files, and how many records they have."""
+    decoded = F.col("seconds")
+
+    def write(root: str) -> None:
+        # Each record with its time, as a producer knows it; the stream itself reads only the bytes.
+        rows = wire.decode_records(derive.wire_rows(spark, sf)).select("us", "event_id", "value", decoded)
+        rows.repartitionByRange(5, "us", "event_id").sortWithinPartitions("us", "event_id").drop("us", "event_id").write.parquet(f"{root}/records")
+        records.extend_index(spark, f"{root}/records", f"{root}/index", decoded)
+
+    root = derive.once(spark, sf, "record-log", write)
+    return f"{root}/index", records.extend_index(spark, f"{root}/records", f"{root}/index", decoded)
+
+
+def _run_log(spark, index: str, root: str, most: int, start: int = 0) -> list[int]:
+    """Reads the log to its end; returns the records of each batch."""
+    sizes: list[int] = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        kept = batch.persist()
+        sizes.append(kept.count())
+        sink = ingest.ingest_rows(kept)
+        sink.write.mode("overwrite").parquet(f"{root}/logs/batch={number}")
+        kept.unpersist()
+
+    source = records.read_record_log(spark, index, most, start, records_per_task=most // 3 + 1)
+    stream = source.writeStream.option("checkpointLocation", f"{root}/checkpoint").foreachBatch(write).start()
+    try:
+        stream.processAllAvailable()
+    finally:
+        stream.stop()
+    return sizes
+
+
+@query(
+    "k3_admitted_records",
+    f"WITH {derive.INGESTED}, counted AS (SELECT service_name, count(*) AS n FROM ingested GROUP BY ALL), "
+    "total AS (SELECT count(*) AS records FROM events) SELECT service_name, n, records, "
+    "CAST((records + 699) // 700 AS BIGINT) AS batches, CAST(least(records, 700) AS BIGINT) AS most FROM counted, total",
+)
+def _(spark, sf):
+    """Batches of 700 records, wherever files begin and end, over a restart in the middle."""
+    index, n_records = _record_log(spark, sf)
+    root = work_folder(spark, "admitted")
+    sizes = [n for n in _run_log(spark, index, root, 700) if n]
+    sizes += [n for n in _run_log(spark, index, root, 700) if n]
+    rows = spark.read.parquet(f"{root}/logs").groupBy("service_name").agg(F.count(F.lit(1)).alias("n"))
+    return rows.select(
+        "service_name",
+        "n",
+        F.lit(n_records).cast("bigint").alias("records"),
+        F.lit(len(sizes)).cast("bigint").alias("batches"),
+        F.lit(max(sizes, default=0)).cast("bigint").alias("most"),
+    )
+
+
+_START_SECONDS = derive.FIRST_MICROS // 1_000_000 + 13 * 60 + 5
+
+
+@query(
+    "a3_start_by_time",
+    f"""WITH {derive.DENSE}, numbered AS (SELECT *, row_number() OVER (ORDER BY us, event_id) - 1 AS number FROM dense),
+first AS (SELECT min(number) AS number FROM numbered WHERE value >= 2 AND us // 1000000 >= {_START_SECONDS})
+SELECT f.number AS first_offset, count(*) AS n FROM numbered n, first f WHERE n.number >= f.number GROUP BY ALL""",
+)
+def _(spark, sf):
+    """A stream that begins at the first record at or after an instant."""
+    index, _ = _record_log(spark, sf)
+    root = work_folder(spark, "since")
+    start = records.offset_at(spark, index, _START_SECONDS, F.col("seconds"))
+    sizes = _run_log(spark, index, root, 1500, start)
+    return spark.range(1).select(
+        F.lit(start).cast("bigint").alias("first_offset"), F.lit(sum(sizes)).cast("bigint").alias("n")
+    )
