@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tidelog import model
 from tidelog.functions import sizing, timefmt
-from tidelog.operators import catalog, history, maintenance, offsets
+from tidelog.operators import adjacent, catalog, history, maintenance, offsets
 from tidelog.plans import partition_sizing, worker_sizing
 from tidelog.session import work_folder
 from tidelog.sinks import versioned
@@ -269,6 +269,25 @@ def _(spark, sf):
     return _captured(pairs, "sum_of_end_offsets", "partitions", "previous_sum", "previous_millis")
 
 
+@query(
+    "e8_state_in_force",
+    f"""WITH {derive.LOGS}, timed AS (SELECT *, (us - {derive.FIRST_MICROS}) * 1000000 + event_id AS place FROM logs),
+changes AS (SELECT service_name, place AS since, value AS level FROM timed WHERE event_id % 13 = 0)
+SELECT t.event_id, c.since, c.level FROM timed t ASOF LEFT JOIN changes c
+  ON t.service_name = c.service_name AND t.place >= c.since""",
+)
+def _(spark, sf):
+    """Of every event the level that was last set for its service; each thirteenth event sets one."""
+    at = (F.col("us") - derive.FIRST_MICROS) * 1_000_000 + F.col("event_id")
+    rows = derive.logs(spark, sf).select("event_id", "service_name", "value", at.alias("at"))
+    changes = rows.where("event_id % 13 = 0").select("service_name", F.col("at").alias("since"), F.col("value").alias("level"))
+    day = 86_400_000_000 * 1_000_000
+    joined = adjacent.as_of_join(
+        rows, changes, ["service_name"], "at", {"since": "since", "level": "level"}, lambda t: F.floor(t / day), since="since"
+    )
+    return joined.select("event_id", "since", "level")
+
+
 _RATE_COLUMNS = ["offset_delta", "elapsed_seconds", "rate", "valid"]
 
 
