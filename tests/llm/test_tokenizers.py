@@ -93,6 +93,20 @@ def test_forgotten_parts(monkeypatch):
     assert first == counter.counts(["one two three four five six seven", "one two"])
 
 
+def test_long_words_are_not_remembered():
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    texts = ["中" * 5000 + f" short {i} " + "x" * 3000 for i in range(4)]
+    counter, own = token_counts.PartCounter(BYTES), Tokenizer.from_file(BYTES)
+    assert counter.counts(texts) == [len(own.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert max(map(len, counter.known)) <= token_counts.LONGEST_PART
+    model, library = pieces.PieceModel(PIECES), sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    for text in texts:
+        assert model.encode(text).tolist() == library.encode(text, add_bos=True, add_eos=True)
+    assert max(map(len, model.words)) <= pieces.LONGEST_WORD
+
+
 def test_cache_is_filled_once(spark, documents, tmp_path):
     cache = str(tmp_path / "cache")
     rows = [(i, t, "en", "s") for i, t in enumerate(ODD)] + [(50, None, None, None)] + [(60 + i, "same text", "en", "s") for i in range(20)]

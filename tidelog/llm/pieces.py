@@ -39,7 +39,9 @@ _LETTERS = r"0-9A-Za-zÀ-ÖØ-öø-ɏ"
 _FINE_WORD = re.compile(rf"[ ▁]+(?:[{_LETTERS}]+|[{_SIGNS}]*)|[{_LETTERS}]+|[{_SIGNS}]+|\n")
 _OTHER = re.compile(rf"[^ \n{_LETTERS}{_SIGNS}]")
 _JOINED = re.compile(rf"[{_LETTERS}][{_SIGNS}]|[{_SIGNS}][{_LETTERS}]")
+# Most words and pairs a worker remembers; longer words are worked out anew in each text.
 REMEMBERED_WORDS = 500_000
+LONGEST_WORD = 64
 REMEMBERED_PAIRS = 500_000
 PIECE_BYTES = 4 << 20
 NEVER = float("-inf")
@@ -224,17 +226,20 @@ class PieceModel:
         if text:
             fine = self.parts_signs and not _OTHER.search(text)
             words = (_FINE_WORD if fine else _WORD).findall(" " + text)
-            known = self.words
+            known, long = self.words, {}
             for word in set(words).difference(known):
+                if len(word) > LONGEST_WORD:
+                    long[word] = pack(self._word_ids(word))
+                    continue
                 if len(known) >= REMEMBERED_WORDS:
                     known = self.words = {}
                 known[word] = pack(self._word_ids(word))
             try:
                 packed.extend([known[word] for word in words])
-            except KeyError:  # forgotten while the text was read
+            except KeyError:  # long, or forgotten while the text was read
                 packed = packed[:1]
                 for word in words:
-                    packed.append(known.get(word) or pack(self._word_ids(word)))
+                    packed.append(known.get(word) or long.get(word) or pack(self._word_ids(word)))
         packed.append(pack([self.eos]))
         return np.frombuffer(b"".join(packed), "<u4")
 

@@ -11,7 +11,7 @@ normalisation (NULL counts as empty; nothing else may change, or the count would
 
 Texts are shuffled once, without their copies. Where the tokenizer's own rules part a text at a
 space between two other characters, a part's count does not depend on its neighbours; each
-worker remembers a bounded number of such parts.
+worker remembers a bounded number of such parts, short ones only.
 
 Cases: NULL and empty texts have no bytes and no tokens; copies share a count; two runs at once
 may append the same digest twice, which reading evens out; an empty table appends nothing.
@@ -32,8 +32,9 @@ from tidelog.llm.words import text_or_empty, utf8_bytes
 
 CACHE_SCHEMA = "version string, digest binary, n_tokens bigint"
 OPTIONS = "no special tokens added, no truncation, no padding"
-# Most parts a worker remembers, and bytes of text it works on at once.
+# Most parts a worker remembers, characters of the longest of them, and bytes of text it works on at once.
 REMEMBERED = 300_000
+LONGEST_PART = 64
 PIECE_BYTES = 4 << 20
 _OTHER_SPACE = re.compile(r"[^\S \n]")
 _PART = re.compile(r"(?<=\S) (?=\S)")
@@ -94,7 +95,11 @@ class PartCounter:
         todo = list(new)
         self.known.update(zip(todo, self._count_all(todo), strict=True))
         look_up = self.known.__getitem__
-        return [sum(map(look_up, parts)) for parts in split]
+        counted = [sum(map(look_up, parts)) for parts in split]
+        for part in todo:
+            if len(part) > LONGEST_PART:
+                del self.known[part]
+        return counted
 
 
 def _encode(path: str, version: str):
