@@ -44,8 +44,8 @@ def read_index(spark: SparkSession, index: str) -> DataFrame:
 def extend_index(spark: SparkSession, folder: str, index: str, seconds: Column | None = None, value: str = "value") -> int:
     """Numbers the records of files that are not in the index yet; returns how many there are in all.
 
-    `seconds` gives a record's time; without it files have none. New files follow in order of
-    modification and name. Only one row per new file meets in one task.
+    `seconds` gives a record's time; without it files have none. New files follow in order of their
+    last record's time, of modification and of name. Only one row per new file meets in one task.
     """
     known = read_index(spark, index)
     end = known.agg(F.max(F.col("first") + F.col("n_records")).alias("n"), F.max("number").alias("last")).first()
@@ -67,7 +67,7 @@ def extend_index(spark: SparkSession, folder: str, index: str, seconds: Column |
             F.max("at").alias("last_seconds"),
         )
     )
-    order = Window.orderBy("written", "path")
+    order = Window.orderBy(F.col("last_seconds").asc_nulls_first(), "written", "path")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     new = files.join(known.select("path"), "path", "left_anti").select(
         (F.lit(last) + F.row_number().over(order)).cast("bigint").alias("number"),
