@@ -28,10 +28,12 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # A subtree is a template if it stands on so many pages of its host, and on this part of them.
 LEAST_PAGES = 4
@@ -392,19 +394,19 @@ def _block_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*rest, *lists], [*names, "texts", "own", "hashes", "around"])
 
 
-def _without_templates(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Joins the blocks of each page that stand in no template of its host."""
-    for batch in batches:
-        found = []
-        columns = (batch.column(c).to_pylist() for c in ("texts", "own", "hashes", "around", "templates"))
-        for texts, own, hashes, around, templates in zip(*columns, strict=True):
-            if templates:
-                known, gone = set(templates), []
-                for tree, outer in zip(hashes, around, strict=True):
-                    gone.append(tree in known or outer >= 0 and gone[outer])
-                texts = [text for text, node in zip(texts, own, strict=True) if node < 0 or not gone[node]]
-            found.append("\n\n".join(texts))
-        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("url"), pa.array(found, pa.string())], ["id", "url", "text"])
+@F.pandas_udf(T.StringType())
+def _without_templates(texts: pd.Series, own: pd.Series, hashes: pd.Series, around: pd.Series, templates: pd.Series) -> pd.Series:
+    """Joins the blocks of each page that stand in no template of its host; NULL for NULLs."""
+    found = []
+    for words, nodes, trees, outers, known in zip(texts, own, hashes, around, templates, strict=True):
+        if known is None:
+            found.append(None)
+            continue
+        known, gone = set(known.tolist()), []
+        for tree, outer in zip(trees.tolist(), outers.tolist(), strict=True):
+            gone.append(tree in known or outer >= 0 and gone[outer])
+        found.append("\n\n".join(text for text, node in zip(words, nodes.tolist(), strict=True) if node < 0 or not gone[node]))
+    return pd.Series(found, dtype=object)
 
 
 def host_of(url: Column) -> Column:
@@ -451,9 +453,10 @@ def main_texts(
     alone = F.concat(F.lit("/"), F.xxhash64("id", "url", F.size("texts")).cast("string"))
     keyed = blocks.withColumn("key", F.when(F.size("hashes") > 0, F.col("host")).otherwise(alone))
     joined = keyed.join(templates.select(F.col("host").alias("key"), "templates"), "key", "left")
-    done = joined.select("id", "url", "texts", "own", "hashes", "around", "templates").mapInArrow(
-        _without_templates, f"id {kind}, url string, text string"
-    )
-    return done.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text").select(
+    # Only pages of hosts with templates are sent through Python once more.
+    doubtful = F.col("templates").isNotNull()
+    sent = [F.when(doubtful, F.col(c)) for c in ("texts", "own", "hashes", "around", "templates")]
+    text = F.coalesce(_without_templates(*sent), F.array_join("texts", "\n\n"))
+    return joined.select(F.col("id").alias(id_col), F.col("url").alias(url_col), text.alias("text")).select(
         "*", F.length("text").cast("bigint").alias("n_chars")
     )
