@@ -108,3 +108,41 @@ def test_a_restarted_reader_goes_on_behind_the_last_batch(log):
     again = records.RecordLogReader({"index": log.index, "maxRecordsPerTrigger": "3"})
     again.partitions({"records": 3}, {"records": 6})
     assert again.latestOffset() == {"records": 9}
+
+
+def test_a_task_decodes_no_further_than_its_records(log, spark, monkeypatch):
+    log.spark.range(100_000).select(F.col("id").cast("string").cast("binary").alias("value"), F.col("id").alias("seconds")).coalesce(
+        1
+    ).write.parquet(log.folder)
+    log.extend()
+    decoded, given = [], records.pq.ParquetFile.iter_batches
+
+    def counted(*args, **kwargs):
+        for batch in given(*args, **kwargs):
+            decoded.append(batch.num_rows)
+            yield batch
+
+    monkeypatch.setattr(records.pq.ParquetFile, "iter_batches", counted)
+    reader = records.RecordLogReader({"index": log.index})
+    (part,) = reader.partitions({"records": 100}, {"records": 110})
+    found = [int(v) for b in reader.read(part) for v in b.column("value").to_pylist()]
+    assert found == list(range(100, 110)) and sum(decoded) <= records.BATCH_RECORDS
+
+
+def test_streams_that_share_a_log_read_all_of_it_once(log):
+    assert records.shares(0, 23, 4, 3) == [(0, 8), (8, 16), (16, 23)]
+    assert records.shares(5, 8, 4, 3) == [(5, 8)] and records.shares(8, 8, 4, 3) == []
+    log.add(*range(23))
+    read = []
+    for first, last in records.shares(3, 23, 4, 2):
+        reader = records.RecordLogReader(
+            {"index": log.index, "startingOffset": str(first), "endingOffset": str(last), "maxRecordsPerTrigger": "4"}
+        )
+        begin = reader.initialOffset()
+        while (end := reader.latestOffset()) != begin:
+            parts = reader.partitions(begin, end)
+            read.append([int(v) for p in parts for b in reader.read(p) for v in b.column("value").to_pylist()])
+            begin = end
+    assert read == [list(range(a, a + 4)) for a in range(3, 23, 4)]
+    with pytest.raises(ValueError):
+        records.RecordLogReader({"index": log.index, "startingOffset": "2", "endingOffset": "1"})

@@ -7,7 +7,11 @@ offset, number of records, first and last time), written by one job at a time.
 The stream reads by the index alone. A batch takes at most the admitted number of records, from any
 place in any file to any other, so admission does not depend on how large files are; what a batch
 has taken is known by two numbers, so that it is the same when it is run again. A stream can begin at an
-offset, or at that of an instant: the first record at or after it.
+offset, or at that of an instant: the first record at or after it. It can end at one as well: a batch of few records
+costs hardly less than one of many, so a long log is read faster by several streams, each with a share of it.
+
+A task decodes the row groups that hold its records up to its last record, so a file that is read in
+small batches is best written with small row groups (`parquet.block.size`).
 """
 
 import sys
@@ -29,6 +33,9 @@ INDEX_SCHEMA = (
 )
 # Most records a task reads at once.
 TASK_RECORDS = 1_000_000
+# Records of a file that are decoded at once, and bytes that are fetched at once.
+BATCH_RECORDS = 8192
+BUFFER_BYTES = 1 << 20
 
 
 def read_index(spark: SparkSession, index: str) -> DataFrame:
@@ -108,10 +115,13 @@ class RecordLogReader(DataSourceStreamReader):
         self.index = options["index"]
         self.value = options.get("value", "value")
         self.start = int(options.get("startingOffset", 0))
+        self.stop = int(options["endingOffset"]) if "endingOffset" in options else None
         self.most = int(options.get("maxRecordsPerTrigger", 0))
         self.per_task = int(options.get("recordsPerTask", TASK_RECORDS))
         if self.start < 0 or self.most < 0 or self.per_task < 1:
             raise ValueError("offsets and numbers of records must not be negative, and a task reads one at least")
+        if self.stop is not None and self.stop < self.start:
+            raise ValueError("a stream must not end before it begins")
         # Spark plans the last batch again before it asks for another, so this is known after a restart.
         self.at: int | None = None
 
@@ -129,6 +139,7 @@ class RecordLogReader(DataSourceStreamReader):
         begin = self.start if self.at is None else self.at
         files = self._files()
         end = files[-1]["first"] + files[-1]["n_records"] if files else 0
+        end = end if self.stop is None else min(end, self.stop)
         self.at = max(begin, min(end, begin + self.most) if self.most else end)
         return {"records": self.at}
 
@@ -145,16 +156,21 @@ class RecordLogReader(DataSourceStreamReader):
     def read(self, partition: Records) -> Iterator[pa.RecordBatch]:
         system, path = fs.FileSystem.from_uri(partition.path)
         with system.open_input_file(path) as file:
-            opened, row = pq.ParquetFile(file), 0
+            # Through a buffer, as else the values of a whole row group are read before the first one.
+            opened, row = pq.ParquetFile(file, buffer_size=BUFFER_BYTES), 0
             for group in range(opened.num_row_groups):
                 n = opened.metadata.row_group(group).num_rows
-                if row < partition.end and row + n > partition.begin:
+                if row >= partition.end:
+                    return
+                if row + n > partition.begin:
                     at = row
-                    for batch in opened.iter_batches(row_groups=[group], columns=[self.value]):
+                    for batch in opened.iter_batches(batch_size=BATCH_RECORDS, row_groups=[group], columns=[self.value], use_threads=False):
                         a, b = max(partition.begin - at, 0), min(partition.end - at, batch.num_rows)
                         if a < b:
                             yield batch.slice(a, b - a).rename_columns(["value"]).cast(pa.schema([("value", pa.binary())]))
                         at += batch.num_rows
+                        if at >= partition.end:
+                            return
                 row += n
 
 
@@ -174,6 +190,12 @@ class RecordLog(DataSource):
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
+def shares(start: int, end: int, most: int, n: int) -> list[tuple[int, int]]:
+    """At most `n` parts of the records from `start` to before `end`, all but the last of whole batches of `most`."""
+    per_share = max(1, -(-(end - start) // (most * n))) * most
+    return [(begin, min(begin + per_share, end)) for begin in range(start, end, per_share)]
+
+
 def read_record_log(
     spark: SparkSession,
     index: str,
@@ -181,13 +203,16 @@ def read_record_log(
     starting_offset: int = 0,
     value: str = "value",
     records_per_task: int = TASK_RECORDS,
+    ending_offset: int | None = None,
 ) -> DataFrame:
-    """Stream of record bytes by an index; what is indexed later follows.
+    """Stream of record bytes by an index; what is indexed later follows, up to `ending_offset`.
 
     Give it a trigger by time: a run of all that is available now would end after one batch.
     """
     options = {"index": index, "value": value, "startingOffset": starting_offset, "recordsPerTask": records_per_task}
     options["maxRecordsPerTrigger"] = max_records_per_trigger or 0
+    if ending_offset is not None:
+        options["endingOffset"] = ending_offset
     texts = {name: str(option) for name, option in options.items()}
     RecordLogReader(texts)  # checks them
     spark.dataSource.register(RecordLog)
