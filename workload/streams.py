@@ -1,6 +1,6 @@
 """Queries that run streams to their end and read what they stored."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tidelog import model
@@ -181,30 +181,49 @@ def _record_log(spark, sf) -> tuple[str, int]:
     def write(root: str) -> None:
         # Each record with its time, as a producer knows it; the stream itself reads only the bytes.
         rows = wire.decode_records(derive.wire_rows(spark, sf)).select("us", "event_id", "value", decoded)
-        rows.repartitionByRange(5, "us", "event_id").sortWithinPartitions("us", "event_id").drop("us", "event_id").write.parquet(f"{root}/records")
+        placed = rows.repartitionByRange(5, "us", "event_id").sortWithinPartitions("us", "event_id").drop("us", "event_id")
+        # Small row groups, as batches take few records from any place in a file.
+        placed.write.option("parquet.block.size", 1 << 20).parquet(f"{root}/records")
         records.extend_index(spark, f"{root}/records", f"{root}/index", decoded)
 
     root = derive.once(spark, sf, "record-log", write)
     return f"{root}/index", records.extend_index(spark, f"{root}/records", f"{root}/index", decoded)
 
 
-def _run_log(spark, index: str, root: str, most: int, start: int = 0) -> list[int]:
-    """Reads the log to its end; returns the records of each batch."""
+# Streams that share a log.
+_SHARES = 8
+
+
+def _run_log(spark, index: str, root: str, most: int, start: int, end: int) -> list[int]:
+    """Reads the log from `start` to `end`; returns the records of each batch.
+
+    Batches are many and small, so each stream is planned with all its steps once, a batch is one job,
+    and several streams, each with a checkpoint of its own, share the log.
+    """
     sizes: list[int] = []
 
-    def write(batch: DataFrame, number: int) -> None:
-        kept = batch.persist()
-        sizes.append(kept.count())
-        sink = ingest.ingest_rows(kept)
-        sink.write.mode("overwrite").parquet(f"{root}/logs/batch={number}")
-        kept.unpersist()
+    def begin(first: int, last: int):
+        folder = f"{root}/logs/first={first}"
 
-    source = records.read_record_log(spark, index, most, start, records_per_task=most // 3 + 1)
-    stream = source.writeStream.option("checkpointLocation", f"{root}/checkpoint").foreachBatch(write).start()
+        def write(batch: DataFrame, number: int) -> None:
+            counted = Observation()
+            sink = batch.observe(counted, F.count(F.lit(1)).alias("n"))
+            sink.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+            sizes.append(counted.get["n"])
+
+        source = records.read_record_log(spark, index, most, first, records_per_task=most // 3 + 1, ending_offset=last)
+        writer = ingest.ingest_rows(source).writeStream.option("checkpointLocation", f"{root}/checkpoint/{first}")
+        return writer.foreachBatch(write).start()
+
+    streams = []
     try:
-        stream.processAllAvailable()
+        for share in records.shares(start, end, most, _SHARES):
+            streams.append(begin(*share))
+        for stream in streams:
+            stream.processAllAvailable()
     finally:
-        stream.stop()
+        for stream in streams:
+            stream.stop()
     return sizes
 
 
@@ -218,8 +237,8 @@ def _(spark, sf):
     """Batches of 700 records, wherever files begin and end, over a restart in the middle."""
     index, n_records = _record_log(spark, sf)
     root = work_folder(spark, "admitted")
-    sizes = [n for n in _run_log(spark, index, root, 700) if n]
-    sizes += [n for n in _run_log(spark, index, root, 700) if n]
+    sizes = [n for n in _run_log(spark, index, root, 700, 0, n_records) if n]
+    sizes += [n for n in _run_log(spark, index, root, 700, 0, n_records) if n]
     rows = spark.read.parquet(f"{root}/logs").groupBy("service_name").agg(F.count(F.lit(1)).alias("n"))
     return rows.select(
         "service_name",
@@ -241,10 +260,10 @@ SELECT f.number AS first_offset, count(*) AS n FROM numbered n, first f WHERE n.
 )
 def _(spark, sf):
     """A stream that begins at the first record at or after an instant."""
-    index, _ = _record_log(spark, sf)
+    index, n_records = _record_log(spark, sf)
     root = work_folder(spark, "since")
     start = records.offset_at(spark, index, _START_SECONDS, F.col("seconds"))
-    sizes = _run_log(spark, index, root, 1500, start)
+    sizes = _run_log(spark, index, root, 1500, start, n_records)
     return spark.range(1).select(
         F.lit(start).cast("bigint").alias("first_offset"), F.lit(sum(sizes)).cast("bigint").alias("n")
     )
