@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidelog.functions import timefmt
 from tidelog.operators.adjacent import with_adjacent
-from tidelog.operators.multiline import group_multiline, label_lines
+from tidelog.operators.multiline import entry_parts, group_multiline, label_lines
 from tidelog.sources.files import read_text_lines
 
 TRACE = """[07:15:02] WARN pool.orders: lease not renewed
@@ -39,6 +39,17 @@ def test_a_long_entry_is_one_row(spark):
     assert (entry.n_lines, len(entry.message)) == (3000, 1 + 2999 * 1001)
 
 
+def test_a_long_entry_stays_in_parts(spark):
+    rows = [("f", i // 100, i % 100, f"{i}" if i else "S") for i in range(1000)]
+    df = spark.createDataFrame(rows, "file_path string, block bigint, row bigint, value string")
+    parts = entry_parts(df, "^S", chunk_lines=30)
+    found = sorted(parts.collect(), key=lambda r: r.place)
+    assert {(r.file_path, r.entry) for r in found} == {("f", 1)} and max(r.n_lines for r in found) == 30
+    assert "\n".join(r.part for r in found).split("\n") == ["S", *map(str, range(1, 1000))]
+    plan = parts._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\(file_path#\d+, entry", plan)
+
+
 def brute_entries(files):
     entries = {}
     for file, lines in files.items():

@@ -78,7 +78,7 @@ def label_lines(
     )
 
 
-def group_multiline(
+def entry_parts(
     lines: DataFrame,
     start_pattern: str,
     file: str = "file_path",
@@ -87,12 +87,10 @@ def group_multiline(
     text: str = "value",
     chunk_lines: int = 4096,
 ) -> DataFrame:
-    """Entries of each file: a line matching `start_pattern` starts one, others continue it.
+    """Entries of each file in parts of at most `chunk_lines` lines: file, entry, place, n_lines and part.
 
-    Lines before a file's first start form entry 0. Line order is (`block`, `row`). Every entry
-    is one row, however long. Lines are shuffled by chunk and joined there into fragments of
-    entries; only fragments are shuffled once more. To keep entries that are too long for a
-    row apart line by line, use `label_lines`.
+    Parts of an entry in order of `place`, with a line feed between them, are its text. Nothing is
+    gathered beyond a part, so an entry may be longer than a row can be.
     """
     chunked = _chunked(lines, start_pattern, file, block, row, text, chunk_lines)
     bases = chunked.groupBy(*_PLACE).agg(F.sum("_starts").alias("_n")).select(
@@ -106,13 +104,33 @@ def group_multiline(
             _joined(F.collect_list(F.struct("_row", F.col("_text").alias("text")))).alias("_text"),
         )
     )
-    return (
-        fragments.join(bases, _PLACE)
-        .groupBy(F.col("_file").alias(file), (F.col("_entries") + F.col("_local")).alias("entry"))
-        .agg(
-            F.sum("_lines").alias("n_lines"),
-            _joined(
-                F.collect_list(F.struct("_block", "_chunk", F.col("_text").alias("text")))
-            ).alias("message"),
-        )
+    return fragments.join(bases, _PLACE).select(
+        F.col("_file").alias(file),
+        (F.col("_entries") + F.col("_local")).alias("entry"),
+        F.struct("_block", "_chunk").alias("place"),
+        F.col("_lines").alias("n_lines"),
+        F.col("_text").alias("part"),
+    )
+
+
+def group_multiline(
+    lines: DataFrame,
+    start_pattern: str,
+    file: str = "file_path",
+    block: str = "block",
+    row: str = "row",
+    text: str = "value",
+    chunk_lines: int = 4096,
+) -> DataFrame:
+    """Entries of each file: a line matching `start_pattern` starts one, others continue it.
+
+    Lines before a file's first start form entry 0. Line order is (`block`, `row`). Every entry
+    is one row, however long. Lines are shuffled by chunk and joined there into fragments of
+    entries; only fragments are shuffled once more. Entries that are too long for a row or a
+    task are kept apart by `entry_parts`, or line by line by `label_lines`.
+    """
+    parts = entry_parts(lines, start_pattern, file, block, row, text, chunk_lines)
+    return parts.groupBy(file, "entry").agg(
+        F.sum("n_lines").alias("n_lines"),
+        _joined(F.collect_list(F.struct("place", F.col("part").alias("text")))).alias("message"),
     )
