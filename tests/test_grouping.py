@@ -10,6 +10,7 @@ from tidelog.functions import timefmt
 from tidelog.operators.adjacent import with_adjacent
 from tidelog.operators.multiline import entry_parts, group_multiline, label_lines
 from tidelog.sources.files import read_text_lines
+from workload import logs
 
 TRACE = """[07:15:02] WARN pool.orders: lease not renewed
 Traceback (most recent call last):
@@ -120,3 +121,9 @@ def test_adjacent_rows_equal_brute_force(spark, direction):
             expected.add((*r, other[2], other[1]))
     assert {tuple(r) for r in got.collect()} == expected
     assert got.columns == ["k", "t", "v", "other_v", "other_t"]
+
+
+def test_each_streamed_file_is_written_by_a_task_of_its_own(spark):
+    rows = spark.range(80).select((F.col("id") % 8).alias("file"), F.col("id").alias("doc_id"))
+    placed = logs._one_file_each(rows).select("file", F.spark_partition_id().alias("task")).distinct().collect()
+    assert len(placed) == 8 and len({r.task for r in placed}) == 8

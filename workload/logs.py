@@ -439,6 +439,11 @@ def _(spark, sf):
     return rows.select("topic", "service_name", "message", "timestamp", time.alias("time"))
 
 
+def _one_file_each(rows):
+    """Eight tasks of a file each, by its number: by hashes several files meet in one task."""
+    return rows.repartitionById(8, F.col("file").cast("int")).sortWithinPartitions("file", "doc_id")
+
+
 @query(
     "g5_multiline_stream",
     f"""WITH {derive.LINES}, marked AS (
@@ -452,8 +457,7 @@ def _(spark, sf):
     rows = derive.table(spark, sf, "documents").select((F.col("doc_id") % 8).alias("file"), "doc_id", "text")
 
     def write(folder):
-        one_file_each = rows.repartition(8, "file").sortWithinPartitions("file", "doc_id")
-        one_file_each.select("file", F.col("text").alias("value")).write.partitionBy("file").text(folder)
+        _one_file_each(rows).select("file", F.col("text").alias("value")).write.partitionBy("file").text(folder)
 
     source = derive.once(spark, sf, "stream-lines", write)
     root = work_folder(spark, "entries")
