@@ -174,3 +174,31 @@ def test_pieces_join_whole_entries(spark):
         (4, 1, "B", True, True, False),
         (5, 2, "C\nd", True, False, True),
     ]
+
+
+def test_many_small_pieces_share_tasks(tmp_path):
+    for n in range(300):
+        with open(f"{tmp_path}/{n:03}.log", "w") as file:
+            file.writelines(f"{n}:{i}\n" for i in range(50))
+    reader = follow.GrowingFilesReader({"path": f"{tmp_path}/*.log", "pieceBytes": "40"})
+    tasks = reader.partitions({}, reader.latestOffset())
+    pieces = [p for t in tasks for p in t.pieces]
+    assert len(tasks) < 2 * follow.SINGLE_PIECES < len(pieces)
+    read = [row["value"] for t in tasks for batch in reader.read(t) for row in batch.to_pylist()]
+    assert len(read) == 15_000 and set(read) == {f"{n}:{i}" for n in range(300) for i in range(50)}
+    assert all(a.file_id != b.file_id or a.end == b.begin for t in tasks for a, b in zip(t.pieces, t.pieces[1:], strict=False))
+
+
+def test_whole_entries_of_many_files_keep_their_files(spark, folder):
+    for n in range(40):
+        folder.add(f"{n}.log", "".join(f"E {n} {i}\n at\n" for i in range(60)))
+    lines = folder.follow()
+    stream = entries.start_entries(lines, "^E", f"{folder.root}/table", f"{folder.root}/checkpoint", 3600, 0.2)
+    try:
+        entries.drain(stream)
+    finally:
+        stream.stop()
+    rows = spark.read.schema(entries.ENTRY).parquet(f"{folder.root}/table").collect()
+    # The last entry of each file stays open.
+    assert sorted(r.message for r in rows) == sorted(f"E {n} {i}\n at" for n in range(40) for i in range(59))
+    assert len({r.file_id for r in rows}) == 40 and all(r.message.split()[1] in r.file_path for r in rows)

@@ -4,7 +4,8 @@
 
 The offset of the stream is, for every file that matches, the byte behind its last whole line. A batch
 reads what lies between two such offsets, in pieces of bounded size that are cut at line ends, so a line is never
-read before it is whole, and never twice: after a restart Spark asks for the very same byte ranges.
+read before it is whole, and never twice: after a restart Spark asks for the very same byte ranges. Where a
+batch has many small pieces, as of many files, a task reads several that follow each other.
 
 A file is known by its first line and, where the file system tells it, its inode, not by its name. A
 renamed file thus goes on where it was, if the pattern matches the new name as well, and a new file under the old
@@ -39,6 +40,9 @@ PIECE_BYTES = 64 << 20
 SEARCH_BYTES = 1 << 16
 BATCH_LINES = 8192
 HEAD_BYTES = 1024
+# Pieces of a batch that get a task each; of more than these a task reads up to so many bytes.
+SINGLE_PIECES = 512
+TASK_BYTES = 4 << 20
 
 
 @dataclass
@@ -51,6 +55,28 @@ class Piece(InputPartition):
     end: int
 
 
+@dataclass
+class Pieces(InputPartition):
+    """Pieces that one task reads one after the other; those of a file are neighbours."""
+
+    pieces: list[Piece]
+
+
+def _bundled(pieces: list[Piece]) -> list[InputPartition]:
+    """The pieces, or tasks of several where there are too many for a task each."""
+    if len(pieces) <= SINGLE_PIECES:
+        return pieces
+    most = min(TASK_BYTES, sum(p.end - p.begin for p in pieces) // SINGLE_PIECES)
+    tasks, size = [], most
+    for piece in pieces:
+        if size + piece.end - piece.begin > most:
+            tasks.append(Pieces([]))
+            size = 0
+        tasks[-1].pieces.append(piece)
+        size += piece.end - piece.begin
+    return tasks
+
+
 class _Files:
     """The files of a glob and their bytes."""
 
@@ -181,10 +207,14 @@ class GrowingFilesReader(DataSourceStreamReader):
                     stop = _line_end_from(file, min(begin + self.piece_bytes, now["end"]) - 1, now["end"])
                     pieces.append(Piece(path, file_id, begin, stop))
                     begin = stop
-        return pieces
+        return _bundled(pieces)
 
-    def read(self, partition: Piece) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Piece | Pieces) -> Iterator[pa.RecordBatch]:
         files = _Files(self.pattern)
+        for piece in partition.pieces if isinstance(partition, Pieces) else [partition]:
+            yield from self._read_piece(files, piece)
+
+    def _read_piece(self, files: _Files, partition: Piece) -> Iterator[pa.RecordBatch]:
         path = files.find(partition.path, partition.file_id)
         if path is None:
             raise FileNotFoundError(f"{partition.path} ({partition.file_id}) is gone before its lines were read")

@@ -26,8 +26,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 FRAGMENT = "file_id string, file_path string, offset bigint, n_lines bigint, message string, starts boolean, closed boolean, edge boolean"
 ENTRY = "file_id string, file_path string, offset bigint, n_lines bigint, message string"
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-# Groups that whole entries of a file are dealt to; the state of the file is the group before them.
-SPREAD = 64
+# Groups that whole entries of all files are dealt to; the state of each file is a group of its own.
+SPREAD = 1024
 
 
 class _Piece:
@@ -111,7 +111,8 @@ class OpenEntries(StatefulProcessor):
         names = [column.split()[0] for column in ENTRY.split(", ")]
         file_id, group = key
         if group >= 0:
-            yield from (batch[names] for batch in rows)
+            for batch in rows:
+                yield batch.drop(columns="file_id").rename(columns={"own_id": "file_id"})[names]
             return
         done = []
         fragments = pd.concat(list(rows)).sort_values("offset", kind="stable")
@@ -153,9 +154,11 @@ def followed_entries(lines: DataFrame, start_pattern: str, quiet_seconds: float
     """
     marked = lines.select("file_id", "file_path", "offset", "value", F.col("value").rlike(start_pattern).alias("starts"))
     fragments = marked.mapInArrow(_join_pieces, FRAGMENT)
-    group = F.when(F.col("edge"), -1).otherwise(F.pmod(F.hash("offset"), F.lit(SPREAD)))
+    # Groups cost more than rows: their number must not grow with the files.
+    group = F.when(F.col("edge"), -1).otherwise(F.pmod(F.hash("file_id", "offset"), F.lit(SPREAD)))
+    owner = F.when(F.col("edge"), F.col("file_id")).otherwise(F.lit(""))
     return (
-        fragments.withColumn("group", group)
+        fragments.withColumns({"group": group, "own_id": F.col("file_id"), "file_id": owner})
         .groupBy("file_id", "group")
         .transformWithStateInPandas(OpenEntries(quiet_seconds), ENTRY, "append", "processingTime")
     )
@@ -188,18 +191,23 @@ def start_entries(
 def drain(query: StreamingQuery, close: bool = False, timeout_seconds: float = 600, poll_seconds: float = 0.2) -> None:
     """Waits until a batch has found no new lines and, with `close`, no file has an open entry.
 
-    For runs that end; a stream with timers never runs out of batches by itself.
+    For runs that end; a stream with timers never runs out of batches by itself. `timeout_seconds` count from
+    the last batch with lines, however many there are.
     """
     deadline = time.monotonic() + timeout_seconds
-    first = query.lastProgress["batchId"] if query.lastProgress else -1
+    first = seen = query.lastProgress["batchId"] if query.lastProgress else -1
     while query.isActive:
         progress = query.lastProgress
+        if progress and progress["batchId"] > seen:
+            seen = progress["batchId"]
+            if progress["numInputRows"]:
+                deadline = time.monotonic() + timeout_seconds
         if progress and progress["batchId"] > first + 1 and progress["numInputRows"] == 0:
             kept = sum(state["numRowsTotal"] for state in progress["stateOperators"])
             if not close or kept == 0:
                 return
         if time.monotonic() > deadline:
-            raise TimeoutError(f"the stream {query.name} still had lines or open entries after {timeout_seconds} s")
+            raise TimeoutError(f"the stream {query.name} still had lines or open entries {timeout_seconds} s after its last lines")
         query.awaitTermination(poll_seconds)
     if query.exception():
         raise query.exception()
