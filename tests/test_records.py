@@ -146,3 +146,22 @@ def test_streams_that_share_a_log_read_all_of_it_once(log):
     assert read == [list(range(a, a + 4)) for a in range(3, 23, 4)]
     with pytest.raises(ValueError):
         records.RecordLogReader({"index": log.index, "startingOffset": "2", "endingOffset": "1"})
+
+
+def test_the_index_is_read_again_only_for_records_behind_it(log, monkeypatch):
+    log.add(*range(10))
+    reads, given = [], records.pq.read_table
+    monkeypatch.setattr(records.pq, "read_table", lambda *args, **kwargs: reads.append(1) or given(*args, **kwargs))
+    reader = records.RecordLogReader({"index": log.index, "maxRecordsPerTrigger": "2", "endingOffset": "12"})
+
+    def batches(n):
+        begin = reader.initialOffset()["records"] if reader.at is None else reader.at
+        for _ in range(n):
+            parts = reader.partitions({"records": begin}, reader.latestOffset())
+            yield [int(v) for p in parts for b in reader.read(p) for v in b.column("value").to_pylist()]
+            begin = reader.at
+
+    assert list(batches(5)) == [[a, a + 1] for a in range(0, 10, 2)] and len(reads) == 1
+    assert list(batches(1)) == [[]] and len(reads) == 2
+    log.add(*range(10, 20))
+    assert list(batches(2)) == [[10, 11], []] and len(reads) == 3

@@ -268,3 +268,20 @@ def test_repeated_rows_are_dropped(spark, tmp_path):
     )
     query.awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/out").count() == 2
+
+
+def test_batches_share_their_compiled_code(spark, tmp_path):
+    """The time of ingest differs from batch to batch; as a number in the code it had each compiled anew."""
+    for n in range(6):
+        records(spark, ("s", str(n), T0 + n, 0)).coalesce(1).write.mode("append").parquet(f"{tmp_path}/source")
+    compiled = spark._jvm.org.apache.spark.metrics.source.CodegenMetrics.METRIC_COMPILATION_TIME()
+    counts = []
+
+    def write(batch, number):
+        batch.write.parquet(f"{tmp_path}/out/batch={number}")
+        counts.append(compiled.getCount())
+
+    rows = ingest.ingest_rows(ingest.read_record_files(spark, f"{tmp_path}/source", 1))
+    stream = rows.writeStream.option("checkpointLocation", f"{tmp_path}/checkpoint").trigger(availableNow=True)
+    stream.foreachBatch(write).start().awaitTermination()
+    assert len(counts) == 6 and counts[1] == counts[-1]

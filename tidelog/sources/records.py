@@ -14,6 +14,7 @@ A task decodes the row groups that hold its records up to its last record, so a
 small batches is best written with small row groups (`parquet.block.size`).
 """
 
+import gc
 import sys
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -110,6 +111,11 @@ class Records(InputPartition):
     end: int
 
 
+def _end(files: list[dict]) -> int:
+    """Offset behind the last record of files in order."""
+    return files[-1]["first"] + files[-1]["n_records"] if files else 0
+
+
 class RecordLogReader(DataSourceStreamReader):
     def __init__(self, options: dict[str, str]):
         self.index = options["index"]
@@ -124,8 +130,15 @@ class RecordLogReader(DataSourceStreamReader):
             raise ValueError("a stream must not end before it begins")
         # Spark plans the last batch again before it asks for another, so this is known after a restart.
         self.at: int | None = None
+        self.known: list[dict] = []
+
+    def _files(self, end: int | None) -> list[dict]:
+        """The indexed files; read again only for records behind those known, as an index only grows."""
+        if end is None or not self.known or _end(self.known) < end:
+            self.known = self._read_files()
+        return self.known
 
-    def _files(self) -> list[dict]:
+    def _read_files(self) -> list[dict]:
         system, path = fs.FileSystem.from_uri(self.index) if ":" in self.index else (fs.LocalFileSystem(), self.index)
         if system.get_file_info(path).type == fs.FileType.NotFound:
             return []
@@ -137,23 +150,27 @@ class RecordLogReader(DataSourceStreamReader):
 
     def latestOffset(self) -> dict:
         begin = self.start if self.at is None else self.at
-        files = self._files()
-        end = files[-1]["first"] + files[-1]["n_records"] if files else 0
-        end = end if self.stop is None else min(end, self.stop)
-        self.at = max(begin, min(end, begin + self.most) if self.most else end)
+        bounds = [begin + self.most] if self.most else []
+        bounds += [] if self.stop is None else [self.stop]
+        wanted = min(bounds, default=None)
+        end = _end(self._files(wanted))
+        self.at = max(begin, end if wanted is None else min(end, wanted))
         return {"records": self.at}
 
     def partitions(self, start: dict, end: dict) -> Sequence[InputPartition]:
         if self.at is None:
             self.at = end["records"]
         parts = []
-        for file in self._files():
+        for file in self._files(end["records"]):
             begin = max(start["records"] - file["first"], 0)
             stop = min(end["records"] - file["first"], file["n_records"])
             parts += [Records(file["path"], a, min(a + self.per_task, stop)) for a in range(begin, stop, self.per_task)]
         return parts
 
     def read(self, partition: Records) -> Iterator[pa.RecordBatch]:
+        # Keeps what is imported out of the garbage collection that a worker makes after each task.
+        if not gc.get_freeze_count():
+            gc.freeze()
         system, path = fs.FileSystem.from_uri(partition.path)
         with system.open_input_file(path) as file:
             # Through a buffer, as else the values of a whole row group are read before the first one.

@@ -81,10 +81,17 @@ def _decode_arrow(df: DataFrame, value: str) -> DataFrame:
 
     def decode(batches: Iterable) -> Iterator:
         # Self-contained, so that executors need only protobuf and Arrow.
+        import gc
+
         import pyarrow as pa
         from google.protobuf import descriptor_pb2, descriptor_pool, message_factory
         from google.protobuf.message import DecodeError
 
+        # A worker collects garbage after each task, which takes longer than a small batch does when it
+        # walks through all that is imported; once frozen, that is left out.
+        if not gc.get_freeze_count():
+            gc.freeze()
+
         pool = descriptor_pool.DescriptorPool()
         for file in descriptor_pb2.FileDescriptorSet.FromString(descriptors).file:
             pool.Add(file)
@@ -161,10 +168,14 @@ def log_rows(
         dead = dead | no_time
     micros = F.unix_micros(F.current_timestamp())
     at_ingest = (F.col("_dead") | no_time) if on_missing_ts == "ingest_time" else F.col("_dead")
-    rows = records.withColumn("_dead", dead).withColumns(
+    # Inside a lambda, which Spark does not write out as code: the instant changes with each batch of a
+    # stream, and as a number in the generated code it would have all of it compiled anew for each batch.
+    ingested = F.get(F.transform(F.array(at_ingest), lambda late: F.when(late, micros)), F.lit(0))
+    rows = records.withColumn("_dead", dead).withColumn("_ingested", ingested)
+    rows = rows.withColumns(
         {
-            "_seconds": F.when(at_ingest, timefmt.int_div(micros, 1_000_000)).otherwise(F.col("seconds")),
-            "_nanos": F.when(at_ingest, F.pmod(micros, F.lit(1_000_000)) * 1000).otherwise(F.col("nanos")),
+            "_seconds": F.coalesce(timefmt.int_div(F.col("_ingested"), 1_000_000), "seconds"),
+            "_nanos": F.coalesce(F.pmod("_ingested", F.lit(1_000_000)) * 1000, "nanos"),
         }
     )
     seconds, nanos = timefmt.carried(F.col("_seconds"), F.col("_nanos"))

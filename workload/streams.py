@@ -1,6 +1,6 @@
 """Queries that run streams to their end and read what they stored."""
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog import model
@@ -194,37 +194,38 @@ def _record_log(spark, sf) -> tuple[str, int]:
 _SHARES = 8
 
 
-def _run_log(spark, index: str, root: str, most: int, start: int, end: int) -> list[int]:
-    """Reads the log from `start` to `end`; returns the records of each batch.
+def _run_log(spark, index: str, root: str, most: int, start: int, end: int, runs: int = 1) -> DataFrame:
+    """Stores the rows of the log from `start` to `end`, each batch in a folder of its own; returns all stored rows.
 
-    Batches are many and small, so each stream is planned with all its steps once, a batch is one job,
-    and several streams, each with a checkpoint of its own, share the log.
+    Batches are many and small, so each stream is planned with all its steps once, a batch is one job that
+    reads its parts in one task and writes one file, and several streams, each with a checkpoint of its own,
+    share the log. Later runs go on behind the checkpoints of earlier ones.
     """
-    sizes: list[int] = []
 
     def begin(first: int, last: int):
         folder = f"{root}/logs/first={first}"
 
         def write(batch: DataFrame, number: int) -> None:
-            counted = Observation()
-            sink = batch.observe(counted, F.count(F.lit(1)).alias("n"))
-            sink.write.mode("overwrite").parquet(f"{folder}/batch={number}")
-            sizes.append(counted.get["n"])
+            batch.write.mode("overwrite").parquet(f"{folder}/batch={number}")
 
         source = records.read_record_log(spark, index, most, first, records_per_task=most // 3 + 1, ending_offset=last)
-        writer = ingest.ingest_rows(source).writeStream.option("checkpointLocation", f"{root}/checkpoint/{first}")
+        writer = ingest.ingest_rows(source.coalesce(1)).writeStream.option("checkpointLocation", f"{root}/checkpoint/{first}")
         return writer.foreachBatch(write).start()
 
-    streams = []
-    try:
-        for share in records.shares(start, end, most, _SHARES):
-            streams.append(begin(*share))
-        for stream in streams:
-            stream.processAllAvailable()
-    finally:
-        for stream in streams:
-            stream.stop()
-    return sizes
+    shares = records.shares(start, end, most, _SHARES)
+    for _ in range(runs):
+        streams = []
+        try:
+            for share in shares:
+                streams.append(begin(*share))
+            for stream in streams:
+                stream.processAllAvailable()
+        finally:
+            for stream in streams:
+                stream.stop()
+    if not shares:
+        return spark.createDataFrame([], "service_name string, first string, batch string")
+    return spark.read.parquet(f"{root}/logs")
 
 
 @query(
@@ -237,15 +238,16 @@ def _(spark, sf):
     """Batches of 700 records, wherever files begin and end, over a restart in the middle."""
     index, n_records = _record_log(spark, sf)
     root = work_folder(spark, "admitted")
-    sizes = [n for n in _run_log(spark, index, root, 700, 0, n_records) if n]
-    sizes += [n for n in _run_log(spark, index, root, 700, 0, n_records) if n]
-    rows = spark.read.parquet(f"{root}/logs").groupBy("service_name").agg(F.count(F.lit(1)).alias("n"))
+    stored = _run_log(spark, index, root, 700, 0, n_records, runs=2)
+    sizes = stored.groupBy("first", "batch").agg(F.count(F.lit(1)).alias("n"))
+    batches = sizes.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max("n"), F.lit(0)).alias("most")).first()
+    rows = stored.groupBy("service_name").agg(F.count(F.lit(1)).alias("n"))
     return rows.select(
         "service_name",
         "n",
         F.lit(n_records).cast("bigint").alias("records"),
-        F.lit(len(sizes)).cast("bigint").alias("batches"),
-        F.lit(max(sizes, default=0)).cast("bigint").alias("most"),
+        F.lit(batches["n"]).cast("bigint").alias("batches"),
+        F.lit(batches["most"]).cast("bigint").alias("most"),
     )
 
 
@@ -263,7 +265,5 @@ def _(spark, sf):
     index, n_records = _record_log(spark, sf)
     root = work_folder(spark, "since")
     start = records.offset_at(spark, index, _START_SECONDS, F.col("seconds"))
-    sizes = _run_log(spark, index, root, 1500, start, n_records)
-    return spark.range(1).select(
-        F.lit(start).cast("bigint").alias("first_offset"), F.lit(sum(sizes)).cast("bigint").alias("n")
-    )
+    stored = _run_log(spark, index, root, 1500, start, n_records)
+    return stored.agg(F.count(F.lit(1)).alias("n")).select(F.lit(start).cast("bigint").alias("first_offset"), "n")
